@@ -10,6 +10,8 @@ for each class of length.  Runs that stay are spans of kind ``random``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,11 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1.0 - tail)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def battery(token: Column) -> Column:
     """struct(encoding int, klass int, p double): null where no encoding is inferred.
 
@@ -74,37 +81,49 @@ def battery(token: Column) -> Column:
     most 1): too uneven use of the alphabet, too few or too many runs about its middle, and
     neighbouring values that depend on each other.
     """
-    body = F.regexp_replace(token, "=+$", "")
     enc = F.coalesce(*[F.when(token.rlike(rx), F.lit(i)) for i, (_, rx, _) in enumerate(ENCODINGS)])
-    alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), enc + 1)
-    k = F.length(alphabet).cast("double")
-    n = F.length(body).cast("double")
-    chars = F.split(body, "")
-    values = F.transform(F.filter(chars, lambda c: c != ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
-    # chi-squared over the alphabet, to a normal score by the cube root
-    squares = F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
-    chi = k / n * squares - n
-    df = k - 1.0
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1.0 / 3)) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
-    p_chi = _normal_tail(z_chi)
-    # runs of values above and below the middle of the alphabet
-    high = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.when(v >= k / 2, F.lit(1.0)).otherwise(F.lit(0.0)))
-    low = n - high
-    pairs = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1.0 + F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.when((x["a"] >= k / 2) != (x["b"] >= k / 2), F.lit(1.0)).otherwise(F.lit(0.0)))
-    mean = 1.0 + 2.0 * high * low / n
-    var = (mean - 1.0) * (mean - 2.0) / (n - 1.0)
-    p_runs = F.when(var > 0, 2.0 * _normal_tail(F.abs(runs - mean) / F.sqrt(var))).otherwise(F.lit(0.0))
-    # lag-one serial correlation
-    m = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    ss = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - m) * (v - m))
-    cross = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x["a"] - m) * (x["b"] - m))
-    p_serial = F.when(ss > 0, 2.0 * _normal_tail(F.abs(cross / ss + 1.0 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-    klass = F.lit(0)
-    for top in LENGTHS:
-        klass = klass + F.when(F.length(body) > top, F.lit(1)).otherwise(F.lit(0))
-    p = F.least(F.lit(1.0), 3.0 * F.least(p_chi, p_runs, p_serial))
-    return F.when(enc.isNotNull() & (n >= 20), F.struct(enc.alias("encoding"), klass.cast("int").alias("klass"), p.alias("p")))
+    alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
+
+    def prepared(x: Column) -> Column:
+        """Characters and their places in the alphabet."""
+        chars = F.filter(F.split(F.regexp_replace(x["t"], "=+$", ""), ""), lambda c: c != "")
+        alphabet = F.element_at(alphabets, x["enc"] + 1)
+        values = F.transform(chars, lambda c: F.position(c, alphabet).cast("double") - 1.0)
+        return F.struct(x["enc"].alias("enc"), chars.alias("chars"), values.alias("v"), F.length(alphabet).cast("double").alias("k"), F.size(chars).cast("double").alias("n"))
+
+    def summed(x: Column) -> Column:
+        v, k, n = x["v"], x["k"], x["n"]
+        total = F.aggregate(v, F.lit(0.0), lambda s, y: s + y)
+        high = F.aggregate(v, F.lit(0.0), lambda s, y: s + F.when(y >= k / 2, 1.0).otherwise(0.0))
+        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, y: s + F.pow(F.size(F.filter(v, lambda z: z == y)).cast("double"), F.lit(2.0)))
+        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.struct(x["enc"].alias("enc"), v.alias("v"), k.alias("k"), n.alias("n"), (total / n).alias("m"), high.alias("high"), squares.alias("squares"), pairs.alias("pairs"))
+
+    def scored(x: Column) -> Column:
+        k, n, m = x["k"], x["n"], x["m"]
+        # chi-squared over the alphabet, to a normal score by the cube root
+        df = k - 1.0
+        z_chi = (F.pow(F.greatest(k / n * x["squares"] - n, F.lit(0.0)) / df, F.lit(1.0 / 3)) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
+        # runs of values above and below the middle of the alphabet
+        runs = 1.0 + F.aggregate(x["pairs"], F.lit(0.0), lambda s, y: s + F.when((y["a"] >= k / 2) != (y["b"] >= k / 2), 1.0).otherwise(0.0))
+        mean = 1.0 + 2.0 * x["high"] * (n - x["high"]) / n
+        var = (mean - 1.0) * (mean - 2.0) / (n - 1.0)
+        z_runs = F.when(var > 0, F.abs(runs - mean) / F.sqrt(var)).otherwise(F.lit(40.0))
+        # lag-one serial correlation
+        ss = F.aggregate(x["v"], F.lit(0.0), lambda s, y: s + (y - m) * (y - m))
+        cross = F.aggregate(x["pairs"], F.lit(0.0), lambda s, y: s + (y["a"] - m) * (y["b"] - m))
+        z_serial = F.when(ss > 0, F.abs(cross / ss + 1.0 / n) * F.sqrt(n)).otherwise(F.lit(40.0))
+        return F.struct(x["enc"].alias("enc"), n.alias("n"), F.array(z_chi, z_runs, z_serial).alias("z"))
+
+    def combined(x: Column) -> Column:
+        tails = F.transform(x["z"], _normal_tail)
+        klass = F.size(F.filter(F.array(*[F.lit(float(t)) for t in LENGTHS]), lambda t: x["n"] > t))
+        p = F.least(F.lit(1.0), 3.0 * F.least(tails[0], 2.0 * tails[1], 2.0 * tails[2]))
+        return F.struct(x["enc"].alias("encoding"), klass.cast("int").alias("klass"), p.alias("p"))
+
+    out = F.struct(token.alias("t"), enc.alias("enc"))
+    out = _let(_let(_let(_let(out, prepared), summed), scored), combined)
+    return F.when(enc.isNotNull() & (F.length(F.regexp_replace(token, "=+$", "")) >= 20), out)
 
 
 def false_discovery_thresholds(tested: DataFrame, rate: float) -> list[float]:
