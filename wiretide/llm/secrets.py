@@ -184,3 +184,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] < KINDS.index("random"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(kind))).cast("long")
     return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """Text with every span, sorted by start, replaced by a mark; overlapping spans share one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = x["s"] >= acc["at"]
+        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
