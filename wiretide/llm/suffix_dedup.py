@@ -28,7 +28,10 @@ PIECE = 1 << 20
 #: Different segments of one minimizer beyond which its windows are resolved one by one.
 HOT_SEGMENTS = 1000
 #: Bytes of segments whose suffixes are sorted together, at least one minimizer's.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 2 << 20
+#: Neighbouring windows of such a segment that are first compared together.
+SLICE = 8
+_OFF = 1 << 20
 _POWERS: dict[int, Powers] = {}
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -44,7 +47,7 @@ def kgram_length(min_len: int) -> int:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, min_len: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Yields (text index, start in text, windows, minimizer hash, content hash) of all segments, piece by piece."""
+    """Yields (text index, start in text, windows, minimizer hash, content hash, minimizer's place from start) of all segments, piece by piece."""
     k = kgram_length(min_len)
     w = min_len - k + 1
     n = len(data)
@@ -85,12 +88,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, min_len: int) -> Iterator[tu
         ends = stops - 1 + min_len
         content = fmix(((q[ends] - q[starts]) * _powers(1).down[starts]) ^ (ends - starts).astype(U64))
         doc = np.searchsorted(offsets, starts + a, "right") - 1
-        yield doc, starts + a - offsets[doc], stops - starts, h[at[starts]], content
+        yield doc, starts + a - offsets[doc], stops - starts, h[at[starts]], content, at[starts] - starts
 
 
 def _runs_of(data: np.ndarray, offsets: np.ndarray, min_len: int) -> list[np.ndarray]:
     got = list(segments(data, offsets, min_len))
-    return [np.concatenate([g[i] for g in got]) for i in range(5)] if got else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, U64)] * 2
+    return [np.concatenate([g[i] for g in got]) for i in range(6)] if got else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)]
 
 
 def _repeated_minimizers(docs: DataFrame, min_len: int) -> DataFrame:
@@ -136,18 +139,19 @@ def _repeated_minimizers(docs: DataFrame, min_len: int) -> DataFrame:
 
 
 def _all_segments(docs: DataFrame, min_len: int) -> DataFrame:
-    """``(rk, id, s, n, mh, ch)`` of every segment of ``docs(rk, id, text)``."""
+    """``(rk, id, s, n, mh, ch)`` of every segment of ``docs(rk, id, text)``; n is windows + _OFF * place of the minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, s, n, mh, ch = _runs_of(*as_binary(batch.column(2)), min_len)
+            doc, s, n, mh, ch, off = _runs_of(*as_binary(batch.column(2)), min_len)
+            n = n + off * _OFF
             for i in range(0, len(doc), 200_000):
                 j = slice(i, i + 200_000)
                 of = pa.array(doc[j])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(s[j]), pa.array(n[j], pa.int32()), pa.array(mh[j].view(np.int64)), pa.array(ch[j].view(np.int64))], ["rk", "id", "s", "n", "mh", "ch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(s[j]), pa.array(n[j]), pa.array(mh[j].view(np.int64)), pa.array(ch[j].view(np.int64))], ["rk", "id", "s", "n", "mh", "ch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("rk", "id", "text").mapInArrow(run, f"rk bigint, id {kind}, s bigint, n int, mh bigint, ch bigint")
+    return docs.select("rk", "id", "text").mapInArrow(run, f"rk bigint, id {kind}, s bigint, n bigint, mh bigint, ch bigint")
 
 
 # -- suffix arrays -----------------------------------------------------------------------------
@@ -303,7 +307,7 @@ def repeated_spans(docs: DataFrame, min_len: int, keep: str) -> DataFrame:
     whole = segs.join(dup, ["mh", "ch"])
     if first_stays:
         whole = whole.where((F.col("rk") != F.col("first_rk")) | (F.col("s") != F.col("first_s")))
-    whole = whole.select("rk", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
+    whole = whole.select("rk", F.col("s").alias("a"), (F.col("s") + F.col("n") % _OFF).alias("b"))
 
     # segments that share a minimizer but differ: the first of each class brings its bytes
     mixed = classes.join(many, "mh").select("rk", F.struct("mh", "ch", "copies", "id", "s", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot")).alias("x"))
@@ -317,14 +321,20 @@ def repeated_spans(docs: DataFrame, min_len: int, keep: str) -> DataFrame:
             for i, (rk, xs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 text = data[offs[i] : offs[i + 1]].tobytes()
                 for x in xs:
+                    off, n = divmod(x["n"], _OFF)
                     if x["hot"]:
-                        for j in range(x["s"], x["s"] + x["n"]):
-                            d = hashlib.blake2b(text[j : j + min_len], digest_size=16).digest()
-                            row = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), rk, x["id"], j, 1, x["copies"], True, None)
+                        # slices lie alike in every segment: by their place from the minimizer
+                        edge = [*range((off - n + 1) // SLICE, off // SLICE + 1)]
+                        for e in edge:
+                            lo, hi = max(0, off - e * SLICE - SLICE + 1), min(n, off - e * SLICE + 1)
+                            j = x["s"] + lo
+                            hashes = b"".join(hashlib.blake2b(text[j + i : j + i + min_len], digest_size=16).digest() for i in range(hi - lo))
+                            d = hashlib.blake2b(hashes, digest_size=16).digest()
+                            row = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), rk, x["id"], j, hi - lo, x["copies"], True, hashes)
                             for c, v in zip(out, row, strict=True):
                                 c.append(v)
                     else:
-                        row = (x["mh"], x["ch"], rk, x["id"], x["s"], x["n"], x["copies"], False, text[x["s"] : x["s"] + x["n"] - 1 + min_len])
+                        row = (x["mh"], x["ch"], rk, x["id"], x["s"], n, x["copies"], False, text[x["s"] : x["s"] + n - 1 + min_len])
                         for c, v in zip(out, row, strict=True):
                             c.append(v)
                 if len(out[0]) > 20_000:
@@ -342,13 +352,33 @@ def repeated_spans(docs: DataFrame, min_len: int, keep: str) -> DataFrame:
     cold = parts.where("not hot").select("k1", "k2", "rk", "s", "n", "bytes", "id")
     dealt = cold.repartition(shuffle_partitions(spark), "k1").sortWithinPartitions("k1", "id", "rk", "s").select("k1", "k2", "rk", "s", "n", "bytes")
     sorted_out = dealt.mapInArrow(_matched_windows(min_len, first_stays), "rk bigint, a bigint, b bigint")
-    windows = parts.where("hot").select("k1", "k2", "rk", "id", "s", "copies").distinct()
-    met = windows.groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.min(F.struct("id", "rk", "s")).alias("first")).where("copies > 1")
-    met = materialize(met, "windows")
-    single = windows.select("k1", "k2", "rk", F.col("id").alias("i"), "s").join(met, ["k1", "k2"])
+    # windows of hot minimizers: equal slices are counted first, then the windows of each different slice
+    sliced = parts.where("hot").drop("hot").dropDuplicates(["k1", "k2", "rk", "s"])
+    kinds = sliced.groupBy("k1", "k2").agg(F.sum("copies").alias("total"), F.min(F.struct("id", "rk", "s", "n", "bytes")).alias("f"))
+    kinds = materialize(kinds, "slices")
+    again = kinds.where("total > 1").select("k1", "k2", F.col("f.rk").alias("first_rk"), F.col("f.s").alias("first_s"))
+    equal = sliced.select("k1", "k2", "rk", "s", "n").join(again, ["k1", "k2"])
     if first_stays:
-        single = single.where((F.col("rk") != F.col("first.rk")) | (F.col("s") != F.col("first.s")))
-    single = single.select("rk", F.col("s").alias("a"), (F.col("s") + 1).alias("b"))
+        equal = equal.where((F.col("rk") != F.col("first_rk")) | (F.col("s") != F.col("first_s")))
+    equal = equal.select("rk", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
+
+    def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(3).to_numpy().astype(np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            key = np.frombuffer(as_binary(batch.column(4))[0].tobytes(), np.int64).reshape(-1, 2)
+            take = pa.array(of)
+            s = batch.column(2).to_numpy()[of] + inner
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), batch.column(0).take(take), batch.column(1).take(take), pa.array(s), batch.column(5).take(take)], ["w1", "w2", "id", "rk", "s", "total"])
+
+    windows = kinds.select("f.id", "f.rk", "f.s", "f.n", "f.bytes", "total").mapInArrow(unroll, f"w1 bigint, w2 bigint, id {kind}, rk bigint, s bigint, total bigint")
+    met = windows.groupBy("w1", "w2").agg(F.sum("total").alias("all"), F.min(F.struct("id", "rk", "s")).alias("first")).where("all > 1")
+    met = materialize(met.select("w1", "w2", F.col("first.rk").alias("first_rk"), F.col("first.s").alias("first_s")), "windows")
+    single = (windows if first_stays else windows.where("total = 1")).join(met, ["w1", "w2"])
+    if first_stays:
+        single = single.where((F.col("rk") != F.col("first_rk")) | (F.col("s") != F.col("first_s")))
+    single = single.select("rk", F.col("s").alias("a"), (F.col("s") + 1).alias("b")).unionByName(equal)
     spans = whole.unionByName(sorted_out).unionByName(single)
     return materialize(spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
