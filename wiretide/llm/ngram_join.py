@@ -82,16 +82,16 @@ def _emit_keys(keys: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "keys", "nodes", "leads", "others"])
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``(id, n_shingles, node)`` of every row; node is null where the set is empty."""
+def signatures(rows: DataFrame, k: int) -> DataFrame:
+    """``(id, rk, n_shingles, node)`` of every row of ``rows(id, rk, text)``; node is null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(*as_binary(batch.column(1)), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], ["id", "n_shingles", "node"])
+            sets = shingle_sets(*as_binary(batch.column(2)), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], ["id", "rk", "n_shingles", "node"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles bigint, node bigint")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "rk", "text").mapInArrow(run, f"id {kind}, rk bigint, n_shingles bigint, node bigint")
 
 
 def _block_members(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -239,8 +239,9 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Repeated rows form one group.  A null id is grouped like any other; a group of null ids
     only has a null component_id.  Other columns are ignored.
     """
-    sig = materialize(signatures(docs, id_col, text_col, k), "signatures")
-    members = _block_members(docs, text_col, k, num, den)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).cast("string").alias("text"))
+    sig = materialize(signatures(rows, k), "signatures")
+    members = _block_members(rows, "text", k, num, den)
     sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("g"))
     wide = members.join(sizes, "leader")
     # a large block is dealt into g chunks of rows; each pair of chunks is a product of its own
@@ -249,7 +250,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wide = materialize(wide.select("leader", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node"), "products")
 
     # a text for each node that some block needs: the filter on ids reaches the scan before the text is shuffled
-    carrier = materialize(sig.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "carriers")
+    carrier = materialize(sig.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("rk").alias("rk")), "carriers")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +259,8 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     spark = docs.sparkSession
     with prefiltered(spark):
-        picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(carrier.select("id").distinct(), F.col("id").eqNullSafe(carrier["id"]) if _has_null(carrier) else "id", "left_semi")
-        sets = picked.select("id", "text").mapInArrow(to_sets, "node bigint, shingles binary").dropDuplicates(["node"])
+        picked = rows.select("rk", "text").join(carrier.select("rk"), "rk", "left_semi")
+        sets = picked.mapInArrow(to_sets, "node bigint, shingles binary").dropDuplicates(["node"])
         sets = materialize(sets, "sets")
     routed = wide.join(sets, "node").select("leader", "i", "j", "node", "shingles")
     dealt = routed.repartition(shuffle_partitions(spark), "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
@@ -271,10 +272,6 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rooted.join(lowest, "root", "left").select("id", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _has_null(df: DataFrame) -> bool:
-    return not df.where("id is null").isEmpty()
-
-
 class prefiltered:
     """Lets joins inside filter a large scan by a Bloom filter of the other side, which Spark bounds at 8 MB."""
 
