@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wiretide.llm.common import materialize, table
 from wiretide.llm.language_id import held_out, predict_language, train_prototypes
 from wiretide.llm.mixing import mix_sources
-from wiretide.llm.ngram_join import ngram_jaccard_groups
+from wiretide.llm.ngram_join import ngram_jaccard_groups, prefiltered
 from wiretide.llm.packing import document_pieces, pack_pieces
 from wiretide.llm.secrets import redact, scan_secrets
 
@@ -23,7 +23,7 @@ MAX_TOKENS, END_ID = 4096, 1
 
 def _row_key(docs: DataFrame) -> DataFrame:
     """Rows told apart by id and text; fully repeated rows share a key."""
-    return docs.withColumn("_key", F.struct("doc_id", F.xxhash64(F.lit(21), "doc_id", "text").alias("h")))
+    return docs.withColumn("_key", F.xxhash64(F.lit(21), "doc_id", "text"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group; repeated rows become one."""
     keyed = _row_key(docs)
-    groups = ngram_jaccard_groups(keyed, "_key", "text", SHINGLE, *NEAR)
-    stay = materialize(groups.where("id = component_id").select(F.col("id").alias("_key")).distinct(), "stay")
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    groups = ngram_jaccard_groups(keyed.withColumn("_id", F.struct("doc_id", "_key")), "_id", "text", SHINGLE, *NEAR)
+    stay = materialize(groups.where("id = component_id").groupBy(F.col("id._key").alias("_key")).agg(F.count("*").alias("_n")), "stay")
+    out = keyed.join(stay.where("_n = 1"), "_key", "left_semi").select(*docs.columns)
+    again = stay.where("_n > 1")
+    if not again.isEmpty():  # fully repeated rows: the filter on keys leaves only them before texts are shuffled
+        with prefiltered(spark):
+            once = materialize(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns), "once")
+        out = out.unionByName(once)
+    return out
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,7 +248,7 @@ def test_secrets(docs, rows, empty):
 
 def test_random_runs(spark):
     keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(60)]
-    plain = ["aaaaaaaa1111111111zzzzzzzzzz", "abcdefghijklmnopqrst0123456789", "configuration-management-2021-final", "1234567890" * 3]
+    plain = ["aaaaaaaa1111111111zzzzzzzzzz", "abcdefghijklmnopqrst0123456789", "configuration-management-2021-final", "zyxwvutsrqponmlkjihg9876543210"]
     df = spark.createDataFrame([(i, f"é {t} .") for i, t in enumerate(keys + plain)], "doc_id long, text string")
     found = {r.doc_id for r in scan_secrets(df).where("size(spans) > 0").collect()}
     assert len(found & set(range(60))) >= 54 and not found & set(range(60, 64))
