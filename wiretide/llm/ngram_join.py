@@ -10,6 +10,8 @@ block, hence no link is lost, while documents that only share a passage rarely m
 
 from __future__ import annotations
 
+import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,6 @@ from wiretide.llm.shingles import shingle_sets
 BLOCK_ROWS = 512
 #: Keys that a task holds before it passes them on.
 KEYS_HELD = 3_000_000
-_BAND = 2
 
 
 def _node(s: np.ndarray) -> int:
@@ -35,15 +36,25 @@ def _node(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+@functools.cache
+def _bands(n: int) -> tuple[int, ...]:
+    """Lower ends of size bands up to size n, each about a quarter above the one before."""
+    out = [1]
+    while out[-1] <= n:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return tuple(out)
+
+
 def _part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the parts of a set, for its own size band and the band below where a partner may be in it."""
+    """Keys of the parts of a set, for its own size band and those below where a partner may be."""
     n = len(s)
-    band = n.bit_length() - 1
+    edges = _bands(1 << (n.bit_length()))
+    band = bisect.bisect_right(edges, n) - 1
     out = []
-    for b in (band, band - 1):
-        if b < 0 or (b < band and n * num > den * ((_BAND ** (b + 1)) - 1)):
-            break  # every set small enough for band b is too small for this one
-        top = _BAND ** (b + 1) - 1  # the smaller set of a pair met in this band has at most so many
+    for b in range(band, -1, -1):
+        if (edges[b + 1] - 1) * den < n * num:
+            break  # every set of band b is too small for this one
+        top = edges[b + 1] - 1  # the smaller set of a pair met in this band has at most so many
         d = (den - num) * (top + top * den // num) // (den + num)  # most shingles in which the two differ
         parts = d + 1 + (d + 9) // 10
         part = (((s >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
