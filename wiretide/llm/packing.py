@@ -121,7 +121,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_pieces: int | Non
         return df
 
     out = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    return pieces.select("*", shard).groupBy("shard").applyInPandas(run, f"{out}, sequence_id bigint, offset bigint")
+    return pieces.select("*", shard).repartition(shards, "shard").groupBy("shard").applyInPandas(run, f"{out}, sequence_id bigint, offset bigint")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
