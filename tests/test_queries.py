@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
-from wiretide.plans.oracle import ORACLE
-from wiretide.plans.queries import QUERIES
+from wiretide.plans import frame_queries
+from wiretide.plans.oracle import ORACLE as PACKET_SQL
+from wiretide.plans.queries import QUERIES as PACKET_QUERIES
+
+QUERIES, ORACLE = PACKET_QUERIES | frame_queries.QUERIES, PACKET_SQL | frame_queries.ORACLE
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +22,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.sql(ORACLE[name])

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wiretide.functions.frames import big_endian, build, octets
+
 #: Server and port of each event type.
 SERVERS = {"error": ("203.0.113.1", 53), "click": ("203.0.113.2", 443), "view": ("203.0.113.3", 80), "signup": ("203.0.113.4", 8080), "purchase": ("203.0.113.5", 25)}
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return project(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return project(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def project(e: DataFrame) -> DataFrame:
+    e = e.select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     pick = lambda i: F.coalesce(*[F.when(F.col("event_type") == n, F.lit(v[i])) for n, v in SERVERS.items()])
     e = e.select(
@@ -41,3 +53,28 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         flags.alias("flags"),
         "k",
     )
+
+
+def frames(packets: DataFrame) -> DataFrame:
+    """The packets as Ethernet frames with messages of their service: DNS, HTTP, a ClientHello, or filler."""
+    k = F.col("k").cast("string")
+    asked = F.col("k") % 2 == 0
+    port = F.when(asked, F.col("dst_port")).otherwise(F.col("src_port"))
+    host = F.concat(F.lit("h"), k, F.lit(".example.com"))
+    text = lambda c: F.encode(c, "UTF-8")
+    label = F.concat(F.lit("h"), k)
+    question = F.concat(big_endian(F.length(label), 1), text(label), octets("076578616d706c6503636f6d0000010001"))
+    answer = F.concat(octets("c00c00010001000000780004"), octets("cb0071"), big_endian(F.col("k") % 5 + 1, 1))
+    ident = big_endian(F.col("packet_id") % 65536, 2)
+    dns = F.when(asked, F.concat(ident, octets("01000001000000000000"), question)).otherwise(F.concat(ident, octets("81800001000100000000"), question, answer))
+    http = F.when(asked, text(F.concat(F.lit("GET /"), k, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")))).otherwise(text(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n")))
+    n = F.length(host)
+    name = F.concat(octets("0000"), big_endian(n + 5, 2), big_endian(n + 3, 2), octets("00"), big_endian(n, 2), text(host))
+    hello = F.concat(octets("0303"), text(F.lit("r" * 32)), octets("0000021301" + "0100"), big_endian(n + 9, 2), name)
+    shake = F.concat(octets("01"), big_endian(F.octet_length(hello), 3), hello)
+    tls = F.concat(octets("160301"), big_endian(F.octet_length(shake), 2), shake)
+    filler = text(F.repeat(F.lit("x"), F.greatest(F.col("length") - 40, F.lit(0))))
+    payload = F.when(F.col("protocol") == "DNS", dns).when(port.isin(80, 8080), http).when((port == 443) & asked, tls).otherwise(filler)
+    seq = F.col("packet_id") % (1 << 32)
+    raw = build(F.col("source"), F.col("destination"), F.col("protocol"), F.col("src_port"), F.col("dst_port"), F.col("body"), F.col("flags"), seq, F.lit(0), F.col("k") * 100)
+    return packets.withColumn("body", payload).select("session_id", "packet_id", "ts_us", "k", raw.alias("raw"))
