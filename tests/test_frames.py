@@ -119,3 +119,19 @@ def test_stream_of_segments(spark):
     got = QUERIES["reassembly"](spark, "/root/testdata/sf0.001").select("session_id", "flow_id", "resp", "packet_id", "text", "issue", "at_seq", "detail").collect()
     assert {x[5] for x in want} >= {"gap", "overlap", None}
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+
+
+def test_reassembly_over_batches(spark, tmp_path):
+    """Two micro-batches share the state of a direction: the hole of the first is filled by the second."""
+    from wiretide.streaming.flows import ROCKSDB, reassemble_stream, run_to_end
+
+    schema = "session_id string, flow_id long, resp boolean, packet_id long, seq long, data binary"
+    for i, part in enumerate([[(1, 1000, b"AAAA"), (2, 1008, b"CCCC")], [(3, 1004, b"BBBB"), (4, 1000, b"AAAA")]]):
+        spark.createDataFrame([("s", 1, False, p, s, bytearray(d)) for p, s, d in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = {r.packet_id: (bytes(r.data), r.issue) for r in run_to_end(reassemble_stream(stream), "append").collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == {1: (b"AAAA", None), 3: (b"BBBBCCCC", None), 4: (b"", "retransmission")}

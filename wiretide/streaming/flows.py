@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wiretide.operators.flows import rollup
-from wiretide.operators.reassembly import DIRECTION, Cursor
+from wiretide.operators.reassembly import DIRECTION, OUTPUT, Cursor
 from wiretide.operators.scratch import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SEGMENT = "session_id string, flow_id long, resp boolean, packet_id long, data binary, issue string, at_seq long, detail string"
 
 
 def flow_rollup(packets: DataFrame) -> DataFrame:
@@ -52,7 +51,7 @@ class Reassembler(StatefulProcessor):
                 out.append((*key, packet, found, *(issue or (None, None, None))))
         seq, data = cursor.waiting[0] if cursor.waiting else (None, None)
         self.state.update((cursor.next, seq, data))
-        names = [c.split()[0] for c in SEGMENT.split(", ")]
+        names = [c.split()[0] for c in OUTPUT.split(", ")]
         yield pd.DataFrame(out, columns=names).astype({"packet_id": "int64", "at_seq": "Int64"})
 
     def close(self) -> None:
@@ -62,7 +61,7 @@ class Reassembler(StatefulProcessor):
 def reassemble_stream(segments: DataFrame) -> DataFrame:
     """Contiguous bytes and issues as segments arrive; needs the RocksDB state store.  What waits at a stream's end stays in its state."""
     s = segments.selectExpr("session_id", "cast(flow_id as long) flow_id", "resp", "cast(packet_id as long) packet_id", "cast(seq as long) seq", "data").where("octet_length(data) > 0 and seq is not null")
-    return s.groupBy(*DIRECTION).transformWithStateInPandas(Reassembler(), SEGMENT, "Append", "None")
+    return s.groupBy(*DIRECTION).transformWithStateInPandas(Reassembler(), OUTPUT, "Append", "None")
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
