@@ -134,6 +134,25 @@ def test_ngram_jaccard(docs, rows, empty, monkeypatch, block):
     assert ngram_join.ngram_jaccard_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("held", [3_000_000, 300])
+def test_ngram_jaccard_shared_passage(spark, monkeypatch, held):
+    """Rows i and i + 120 share an own word after the passage and link by one shingle; others stay just below."""
+    monkeypatch.setattr(ngram_join, "KEYS_HELD", held)
+    own = random.Random(11)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join([*passage, f"w{i % 120}", *(f"o{own.getrandbits(60)}" for _ in range(9))])) for i in range(240)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, text string")
+    s = [{tuple(t.split()[i : i + 5]) for i in range(86)} for _, t in rows]
+    root = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            if 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]):
+                root[i] = min(root[i], root[j])
+    assert root == [i % 120 for i in range(240)]
+    got = ngram_join.ngram_jaccard_groups(df).collect()
+    assert sorted(map(tuple, got)) == [(i, 86, root[i]) for i in range(240)]
+
+
 def test_tokens(spark, docs, rows, empty):
     lib = Tokenizer.from_file(BYTE)
     ids = {r[0]: lib.encode(r[1] or "", add_special_tokens=False).ids for r in rows}

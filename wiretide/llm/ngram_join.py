@@ -68,29 +68,30 @@ def _part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _leaders(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys once, the smallest node of each, and pairs leader, node for its other nodes)."""
+def _leaders(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Pairs (smallest node of a key, other node of it), each once."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    lead = nodes[at][np.cumsum(first) - 1] if len(keys) else nodes
+    lead = nodes[first][np.cumsum(first) - 1] if len(keys) else nodes
     other = lead != nodes
-    pairs = np.unique(np.stack([lead[other], nodes[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[at], nodes[at], pairs[:, 0], pairs[:, 1]
+    return np.unique(np.stack([lead[other], nodes[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
 
 
-_KEYED = "bucket int, keys binary, nodes binary, leads binary, others binary"
+_KEYED = "bucket int, keys binary, nodes binary"
 
 
 def _emit_keys(keys: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    k, n, lead, other = _leaders(keys, nodes)
-    rows = []
-    kb, lb = (k >> U64(40)).astype(np.int64) % buckets, (lead.view(U64) >> U64(40)).astype(np.int64) % buckets
-    for b in range(buckets):
-        m, e = kb == b, lb == b
-        rows.append((b, k[m].tobytes(), n[m].tobytes(), lead[e].tobytes(), other[e].tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "keys", "nodes", "leads", "others"])
+    """Every distinct (key, node), to the key's bucket: a leader chosen here would part the key's nodes from those of other tasks."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+    keys, nodes = keys[new], nodes[new]
+    bucket = (keys >> U64(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(1, buckets))
+    parts = [[x.tobytes() for x in np.split(col[order], cut)] for col in (keys, nodes)]
+    return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["bucket", "keys", "nodes"])
 
 
 def signatures(rows: DataFrame, k: int) -> DataFrame:
@@ -107,7 +108,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
 
 def _block_members(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """``(leader, node)``: the rows of each block; sets with an equal part meet in some block."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets, most = shuffle_partitions(docs.sparkSession), KEYS_HELD
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -122,23 +123,21 @@ def _block_members(docs: DataFrame, text_col: str, k: int, num: int, den: int) -
                 keys.append(_part_keys(s, num, den))
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
                 held += len(keys[-1])
-                if held >= KEYS_HELD:
+                if held >= most:
                     yield _emit_keys(np.concatenate(keys), np.concatenate(nodes), buckets)
                     seen, keys, nodes, held = set(), [], [], 0
         if keys:
             yield _emit_keys(np.concatenate(keys), np.concatenate(nodes), buckets)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], [], []]
+        got: list[list[np.ndarray]] = [[], []]
         for batch in batches:
-            for j, kind in enumerate((U64, np.int64, np.int64, np.int64)):
+            for j, kind in enumerate((U64, np.int64)):
                 data, _ = as_binary(batch.column(j + 1))
                 got[j].append(np.frombuffer(data.tobytes(), kind))
         if not got[0]:
             return
-        keys, nodes, leads, others = (np.concatenate(x) for x in got)
-        _, _, a, b = _leaders(keys, nodes)
-        pairs = np.unique(np.stack([np.concatenate([a, leads]), np.concatenate([b, others])], 1), axis=0)
+        pairs = _leaders(*(np.concatenate(x) for x in got))
         for i in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["leader", "node"])
 
