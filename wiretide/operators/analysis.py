@@ -61,9 +61,13 @@ def event_diff(events: DataFrame, before: str, after: str) -> DataFrame:
     return e.withColumn("delta", F.col("n_after") - F.col("n_before"))
 
 
-def domain_features(flows: DataFrame, events: DataFrame, max_events: int = 50_000) -> DataFrame:
-    """``(session_id, kind, feature, count)``: names in DNS and TLS events, addresses, protocol and port."""
-    first = events.where(F.col("event_id") <= max_events).where(F.col("event_type").isin("DNS", "TLS"))
+def domain_features(flows: DataFrame, events: DataFrame, max_events: int | None = None) -> DataFrame:
+    """``(session_id, kind, feature, count)``: names in DNS and TLS events, addresses, protocol and port.
+
+    ``max_events`` bounds the events of a session that are searched for names; None takes all.
+    """
+    first = events if max_events is None else events.where(F.col("event_id") <= max_events)
+    first = first.where(F.col("event_type").isin("DNS", "TLS"))
     names = F.array(F.regexp_extract("summary", r"sni=([^\s]+)", 1), F.regexp_extract("summary", r"DNS (?:QUERY|RESPONSE) ([^\s(]+)", 1))
     d = first.select("session_id", F.lit("domain").alias("kind"), F.explode(names).alias("feature")).where("feature <> ''").withColumn("feature", F.lower("feature"))
     i = flows.select("session_id", F.lit("ip").alias("kind"), F.explode(F.array("source", "destination")).alias("feature"))

@@ -104,6 +104,13 @@ SELECT session_id, round(sum(x * coalesce(y, 0)) / (sqrt(sum(x * x)) * sqrt((SEL
 FROM v LEFT JOIN tg USING (kind, feature) WHERE session_id <> 's0' GROUP BY 1 {tail}"""
 
 
+_DOM_ALL = r""", dom_all AS (
+  SELECT session_id, kind, feature, count(*) AS count FROM (
+    SELECT session_id, 'domain' AS kind, lower(regexp_extract(summary, 'DNS (?:QUERY|RESPONSE) ([^\s(]+)', 1)) AS feature FROM ev WHERE event_type IN ('DNS', 'TLS')
+    UNION ALL SELECT session_id, 'domain', lower(regexp_extract(summary, 'sni=([^\s]+)', 1)) FROM ev WHERE event_type IN ('DNS', 'TLS')
+    UNION ALL SELECT session_id, 'ip', source FROM f UNION ALL SELECT session_id, 'ip', destination FROM f
+    UNION ALL SELECT session_id, 'port', concat(protocol, ':', dst_port) FROM f WHERE dst_port <> 0) WHERE feature <> '' GROUP BY 1, 2, 3)
+"""
 _PACKET = "session_id, packet_id, ts_us, source, destination, protocol, src_port, dst_port, length"
 _SELECTS = {
     "flow_rollup": "SELECT * FROM f",
@@ -139,8 +146,10 @@ SELECT session_id, packet_id, flow_id, concat('FLOW_', upper(replace(now, '-', '
     "event_diff": "SELECT * FROM ed",
     "identical": "SELECT (SELECT coalesce(bool_and(status = 'unchanged'), true) FROM fd) AND (SELECT coalesce(bool_and(delta = 0), true) FROM ed) AS identical",
     "domain_fingerprint": "SELECT * FROM dom",
+    "domain_fingerprint_all": _DOM_ALL + "SELECT * FROM dom_all",
     "behaviour_fingerprint": "SELECT * FROM pat",
     "similar_sessions": _cosine("dom", "WHEN 'domain' THEN 3 WHEN 'ip' THEN 1 WHEN 'port' THEN 0.5", "HAVING score > 0 ORDER BY score DESC, session_id LIMIT 10"),
+    "similar_sessions_all": _DOM_ALL + _cosine("dom_all", "WHEN 'domain' THEN 3 WHEN 'ip' THEN 1 WHEN 'port' THEN 0.5", "HAVING score > 0 ORDER BY score DESC, session_id LIMIT 10"),
     "similar_incidents": _cosine("pat", "WHEN 'proto' THEN 1 WHEN 'event' THEN 1.5 WHEN 'port' THEN 0.75"),
     "probe_search": "SELECT session_id, sum(count)::BIGINT AS score FROM pat GROUP BY 1 HAVING bool_or(kind = 'event' AND feature = 'STREAM_GAP') AND bool_or(kind = 'proto' AND feature IN ('TCP', 'UDP'))",
     "loss_spans": "SELECT * FROM sp",

@@ -16,6 +16,8 @@ from wiretide.sources.adapter import packets
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 FLOW = ["session_id", "flow_id", "source", "destination", "protocol", "src_port", "dst_port", "start_us", "end_us", "packet_count", "bytes", "state"]
+#: Events of a session that the SQL of domain_fingerprint and similar_sessions searches for names.
+SQL_EVENTS = 50_000
 PACKET = ["session_id", "packet_id", "ts_us", "source", "destination", "protocol", "src_port", "dst_port", "length"]
 
 
@@ -205,6 +207,12 @@ def identical(s, d):
 
 @query
 def domain_fingerprint(s, d):
+    """Names of the first 50,000 events of a session, as its SQL and the reference have it."""
+    return A.domain_features(_flows(s, d), _events(s, d), SQL_EVENTS)
+
+
+@query
+def domain_fingerprint_all(s, d):
     return A.domain_features(_flows(s, d), _events(s, d))
 
 
@@ -215,6 +223,12 @@ def behaviour_fingerprint(s, d):
 
 @query
 def similar_sessions(s, d):
+    c = A.cosine_to(A.domain_features(_flows(s, d), _events(s, d), SQL_EVENTS), A.DOMAIN_WEIGHTS, "s0")
+    return c.where("score > 0").orderBy(F.col("score").desc(), "session_id").limit(10)
+
+
+@query
+def similar_sessions_all(s, d):
     c = A.cosine_to(A.domain_features(_flows(s, d), _events(s, d)), A.DOMAIN_WEIGHTS, "s0")
     return c.where("score > 0").orderBy(F.col("score").desc(), "session_id").limit(10)
 
