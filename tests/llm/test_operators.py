@@ -273,6 +273,27 @@ def test_random_runs(spark):
     assert len(found & set(range(60))) >= 54 and not found & set(range(60, 64))
 
 
+@pytest.mark.parametrize(
+    ("before", "alphabet", "after"),
+    [("https://a.example/reset/", "-_", "/end"), ("api_v2/", "+/", ""), ("left+", "-_", ""), ("/configuration/management/settings/release/deployment/", "", "/information/about/everything")],
+)
+def test_random_parts_of_runs(spark, before, alphabet, after):
+    """A key joined to path words or a name is found where it stands, whatever separators join them."""
+    own = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(own.choices(chars + alphabet, k=18)) + f"a1{alphabet}Z9" + "".join(own.choices(chars + alphabet, k=18)) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"é {before}{k}{after} .") for i, k in enumerate(keys)], "doc_id long, text string")
+    rows = scan_secrets(df).collect()
+    at = 2 + len(before)
+    found = 0
+    for r in rows:
+        spans = [(x.s, x.e) for x in r.spans]
+        assert all(r.text[x.s : x.e] == x.m for x in r.spans)
+        found += any(s <= at and at + len(keys[r.doc_id]) <= e for s, e in spans)
+        assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] for a in spans for b in spans)
+    assert found >= 50
+
+
 VEC = "vec_id long, embedding array<float>, label int, id int, v string, node int, rank int, score int"
 
 

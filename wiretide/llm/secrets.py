@@ -1,8 +1,8 @@
 """Secret scans with a battery of randomness tests, in DataFrame functions only.
 
 Base patterns find assignments, access keys and long hex runs.  The battery looks at other long
-runs of key characters: the encoding is inferred from the characters that occur, and the run is
-tested for uniform use of that alphabet (chi-squared), for runs above and below the alphabet's
+runs of key characters, and at their parts between separators, as a path or a name may be joined to
+a key: the encoding is inferred from the characters that occur, and the run is tested for uniform use of that alphabet (chi-squared), for runs above and below the alphabet's
 middle, and for serial correlation.  Each test gives a p-value of "as random as a key"; the three
 are combined, and a false-discovery rule rejects runs that are not random, with its own threshold
 for each class of length.  Runs that stay are spans of kind ``random``.
@@ -74,6 +74,33 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _encoding(token: Column) -> Column:
+    """Place in ENCODINGS, null where none fits."""
+    return F.coalesce(*[F.when(token.rlike(rx), F.lit(i)) for i, (_, rx, _) in enumerate(ENCODINGS)])
+
+
+def _with_parts(run: Column) -> Column:
+    """The run and its parts of 20 characters or more between separators, with their own positions.
+
+    A run is cut at "/"; one without an encoding mixes the two base64 alphabets (or lacks what all
+    need), so it is also cut at the last characters of the one and of the other.
+    """
+
+    def cut(separator: str) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x)
+            span = F.struct(acc["at"].alias("s"), end.alias("e"), run["kind"].alias("kind"), x.alias("m"))
+            return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        parts = F.aggregate(F.split(run["m"], separator, -1), F.struct(run["s"].alias("at"), none.alias("out")), step)
+        return F.filter(parts["out"], lambda x: x["e"] - x["s"] >= 20)
+
+    none = F.array().cast(_SPANS)
+    paths = F.when(run["m"].contains("/"), cut("/")).otherwise(none)
+    mixed = F.when(_encoding(run["m"]).isNull(), F.concat(cut("[/+]"), cut("[_-]"))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(run), paths, mixed))
+
+
 def battery(token: Column) -> Column:
     """struct(encoding int, klass int, p double): null where no encoding is inferred.
 
@@ -81,7 +108,7 @@ def battery(token: Column) -> Column:
     most 1): too uneven use of the alphabet, too few or too many runs about its middle, and
     neighbouring values that depend on each other.
     """
-    enc = F.coalesce(*[F.when(token.rlike(rx), F.lit(i)) for i, (_, rx, _) in enumerate(ENCODINGS)])
+    enc = _encoding(token)
     alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
 
     def prepared(x: Column) -> Column:
@@ -151,7 +178,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind is a place in KINDS.  Base spans: per kind leftmost non-overlapping matches; an
     assignment whose value has under 6 characters is dropped.  Random spans never overlap base
-    spans.  Null and empty texts have none; repeated rows are scanned alike; no row is shuffled.
+    spans; they are whole runs or parts of runs, never one in another.  Null and empty texts have none; repeated rows are scanned alike; no row is shuffled.
     A column of docs named spans is replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -166,11 +193,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     assign = F.filter(_spans(body, F.col("_a"), ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
     base = F.concat(assign, _spans(body, F.col("_k"), ACCESS, "access"), _spans(body, F.col("_h"), HEX, "hex"))
     found = found.withColumn("_base", base).withColumn("_runs", _spans(body, F.col("_r"), RUN, "random")).drop("_text", "_a", "_k", "_h", "_r")
-    clear = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
+    clear = F.filter(F.flatten(F.transform("_runs", _with_parts)), lambda r: ~F.exists("_base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
     found = found.withColumn("_runs", F.filter(F.transform(clear, lambda r: F.struct(r.alias("span"), battery(r["m"]).alias("t"))), lambda x: x["t"].isNotNull()))
     tested = found.select(F.explode("_runs").alias("r")).select("r.t.klass", "r.t.p")
     limits = F.array(*[F.lit(x) for x in false_discovery_thresholds(tested, fdr)])
     random = F.transform(F.filter("_runs", lambda x: x["t"]["p"] > F.element_at(limits, x["t"]["klass"] + 1)), lambda x: x["span"])
+    # a part of a run that stays is in its span
+    within = lambda x, y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (x["e"] - x["s"] < y["e"] - y["s"])
+    random = _let(random, lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: within(x, y))))
     return found.withColumn("spans", F.array_sort(F.concat("_base", random), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["kind"] - b["kind"]))).drop("_base", "_runs")
 
 
