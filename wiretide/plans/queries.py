@@ -137,6 +137,12 @@ def flow_packets(s, d):
     return t.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("packet_id")), lambda x: x.cast("string")), ",").alias("packet_ids"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
+@query
+def flow_packets_all(s, d):
+    t = W.tracked(packets(s, d))
+    return t.groupBy("session_id", "flow_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("packet_id")), lambda x: x.cast("string")), ",").alias("packet_ids"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
 @query
 def filter_proto_port(s, d):
     return apply_filter(packets(s, d).select(*PACKET), "tcp and port == 443")
