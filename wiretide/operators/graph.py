@@ -1,4 +1,4 @@
-"""Event graph: parents, children, ancestors and descendants."""
+"""Event graph: the parent of each event, and size and depth of the tree below each root."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def with_parents(events: DataFrame) -> DataFrame:
 
 
 def descendants(graph: DataFrame) -> DataFrame:
-    """``(session_id, root, depth, events)``: events at each depth below each root, by pointer doubling.
+    """``(session_id, root, events, depth)``: number of events in each root's tree and its greatest depth, by pointer doubling.
 
     Every event points at its parent; pointers double until all reach roots, so a chain of n
     events takes log2(n) joins.  A cycle never reaches a root and is left out.
