@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wiretide.llm import embedding_dedup, ngram_join, suffix_dedup
+from wiretide.llm import common, embedding_dedup, ngram_join, shingles, suffix_dedup
 from wiretide.llm.ann import nearest_neighbours
 from wiretide.llm.bitpack import pack_bits, read_token_files, unpack_bits, write_token_files
 from wiretide.llm.common import scratch_dir
@@ -115,6 +115,7 @@ def test_suffix_array_factors():
 @pytest.mark.parametrize("block", [512, 3])
 def test_ngram_jaccard(docs, rows, empty, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(common, "HEAVY", 10 if block == 3 else 200)
 
     def sets(t, k):
         w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower())
@@ -134,6 +135,24 @@ def test_ngram_jaccard(docs, rows, empty, monkeypatch, block):
     assert ngram_join.ngram_jaccard_groups(empty).count() == 0
 
 
+def test_ngram_jaccard_words_of_like_structure(spark):
+    """Thue-Morse words have equal polynomial hashes modulo a power of two."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = [(1, word[:1024]), (2, word[1024:]), (3, word), (4, word.translate(str.maketrans("ab", "ba"))), (5, word[:1024])]
+    got = ngram_join.ngram_jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
+
+
+@pytest.mark.parametrize("piece", [7, 64])
+def test_shingles_of_texts_beyond_a_piece(monkeypatch, piece):
+    data = [t.encode() for t in texts() if t]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])])
+    whole = shingles.shingle_sets(np.frombuffer(b"".join(data), np.uint8), offsets, 3)
+    monkeypatch.setattr(shingles, "PIECE", piece)
+    cut = shingles.shingle_sets(np.frombuffer(b"".join(data), np.uint8), offsets, 3)
+    assert [s.tolist() for s in whole] == [s.tolist() for s in cut]
+
+
 @pytest.mark.parametrize("held", [3_000_000, 300])
 def test_ngram_jaccard_shared_passage(spark, monkeypatch, held):
     """Rows i and i + 120 share an own word after the passage and link by one shingle; others stay just below."""

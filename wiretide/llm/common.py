@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -17,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             base = jvm_dir.get()
+        elif not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wiretide-"))
             base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -40,6 +43,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*cols: Column | str) -> Column:
+    """128-bit key of a row's columns; rows equal in all of them share it."""
+    cols = tuple(F.col(c) if isinstance(c, str) else c for c in cols)
+    null = [c.isNull() for c in cols]
+    half = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *cols, *null)), 16, "0") for seed in (1, 2)]
+    return F.unhex(F.concat(*half))
+
+
+#: A key with more than one in so many rows of a table is heavy; so there are fewer heavy keys than this.
+HEAVY = 200
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of a stored ``left`` with ``right``, which has each key once.
+
+    Keys with over 1/HEAVY of left's rows, fewer than HEAVY by count, are joined by broadcast of
+    their rows alone; no task gets all rows of one key.  Null keys match nothing and aren't shuffled.
+    """
+    key = F.col(on)
+    heavy = [r[0] for r in left.where(key.isNotNull()).groupBy(on).count().where(F.col("count") > left.count() / HEAVY).select(on).collect()]
+    if heavy:
+        few = right.where(key.isin(heavy))
+        out = left.where(~key.isin(heavy)).join(right, on, how).unionByName(left.where(key.isin(heavy)).join(F.broadcast(few), on, how))
+    else:
+        out = left.where(key.isNotNull()).join(right, on, how)
+    if how == "left":
+        new = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != on]
+        out = out.unionByName(left.where(key.isNull()).select("*", *new))
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

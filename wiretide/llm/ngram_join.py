@@ -6,6 +6,11 @@ is discarded before it is counted.  Row blocks come from partition keys: in a si
 sets that link differ in at most d shingles, so if the shingles are dealt into parts and a set
 fills more than d of them, some filled part is equal in both.  Sets with an equal part share a
 block, hence no link is lost, while documents that only share a passage rarely meet.
+
+Only groups are asked for, so pairs that other links join already need no count.  In a first round
+each set goes to one block of its own, dealt into chunks that all hold the block's leader; what
+links there is one component.  In a second round only blocks that still hold several components
+are multiplied, and there the largest component only with the others, not with itself.
 """
 
 from __future__ import annotations
@@ -16,24 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import U64, as_binary, fmix, materialize, shuffle_partitions, table
+from wiretide.llm.common import U64, as_binary, fmix, join_unique, materialize, row_key, shuffle_partitions, table
 from wiretide.llm.components import connected_components
-from wiretide.llm.shingles import shingle_sets
+from wiretide.llm.shingles import set_ids, shingle_sets
 
-#: Rows of one side of a block product.
-BLOCK_ROWS = 512
+#: Rows, and shingles of all rows, of one side of a block product.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 #: Keys that a task holds before it passes them on.
-KEYS_HELD = 3_000_000
-
-
-def _node(s: np.ndarray) -> int:
-    """64-bit identity of a shingle set; equal sets are one row of the matrix."""
-    with np.errstate(over="ignore"):
-        h = fmix(np.array([s.sum() + U64(len(s)) * U64(0x9E3779B97F4A7C15) + fmix(s ^ U64(0xABCDEF12345)).sum() * U64(3)], U64))
-    return int(h.view(np.int64)[0])
+KEYS_HELD = 1_000_000
+#: Bytes of keys that meet in one task.
+MEET_BYTES = 24 << 20
 
 
 @functools.cache
@@ -95,39 +95,50 @@ def _emit_keys(keys: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBa
 
 
 def signatures(rows: DataFrame, k: int) -> DataFrame:
-    """``(id, rk, n_shingles, node)`` of every row of ``rows(id, rk, text)``; node is null where the set is empty."""
+    """``(id, rk, n_shingles, node, code)`` of every row of ``rows(id, rk, text)``.
+
+    node is the 128-bit identity of the row's shingle set, code its first half; null where the set is empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*as_binary(batch.column(2)), k)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], ["id", "rk", "n_shingles", "node"])
+            size = np.array([len(s) for s in sets], np.int64)
+            ids = set_ids(sets)
+            node = pa.array([x.tobytes() if n else None for x, n in zip(ids, size, strict=True)], pa.binary())
+            code = pa.array(np.ascontiguousarray(ids[:, 0]).view(np.int64), mask=size == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size), node, code], ["id", "rk", "n_shingles", "node", "code"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "rk", "text").mapInArrow(run, f"id {kind}, rk bigint, n_shingles bigint, node bigint")
+    return rows.select("id", "rk", "text").mapInArrow(run, f"id {kind}, rk binary, n_shingles bigint, node binary, code bigint")
 
 
-def _block_members(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """``(leader, node)``: the rows of each block; sets with an equal part meet in some block."""
-    buckets, most = shuffle_partitions(docs.sparkSession), KEYS_HELD
+def _met_pairs(rows: DataFrame, shingles: int, k: int, num: int, den: int) -> DataFrame:
+    """``(leader, code)``: sets with an equal part and the leader of that part.  Sets go by code here; two with one code just meet."""
+    # a set has about 2 (den - num) / (den + num) keys a shingle, in two bands
+    per = 4.5 * (den - num) / (den + num)
+    buckets = max(shuffle_partitions(rows.sparkSession), int(shingles * min(per, 2.5) * 16 / MEET_BYTES))
+    most = KEYS_HELD
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for s in shingle_sets(*as_binary(batch.column(0)), k):
-                if not len(s) or (node := _node(s)) in seen:
+            sets = shingle_sets(*as_binary(batch.column(0)), k)
+            for s, code in zip(sets, np.ascontiguousarray(set_ids(sets)[:, 0]).view(np.int64).tolist(), strict=True):
+                if not len(s) or code in seen:
                     continue
-                seen.add(node)
+                seen.add(code)
                 keys.append(_part_keys(s, num, den))
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
+                codes.append(np.full(len(keys[-1]), code, np.int64))
                 held += len(keys[-1])
                 if held >= most:
-                    yield _emit_keys(np.concatenate(keys), np.concatenate(nodes), buckets)
-                    seen, keys, nodes, held = set(), [], [], 0
+                    yield _emit_keys(np.concatenate(keys), np.concatenate(codes), buckets)
+                    seen, keys, codes, held = set(), [], [], 0
         if keys:
-            yield _emit_keys(np.concatenate(keys), np.concatenate(nodes), buckets)
+            yield _emit_keys(np.concatenate(keys), np.concatenate(codes), buckets)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[], []]
@@ -139,11 +150,10 @@ def _block_members(docs: DataFrame, text_col: str, k: int, num: int, den: int) -
             return
         pairs = _leaders(*(np.concatenate(x) for x in got))
         for i in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["leader", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["leader", "code"])
 
-    dealt = docs.select(text_col).mapInArrow(keyed, _KEYED).repartition(buckets, "bucket")
-    pairs = dealt.mapInArrow(met, "leader bigint, node bigint").distinct()
-    return materialize(pairs.unionByName(pairs.select("leader", F.col("leader").alias("node")).distinct()), "blocks")
+    dealt = rows.select("text").mapInArrow(keyed, _KEYED).repartition(buckets, "bucket")
+    return materialize(dealt.mapInArrow(met, "leader bigint, code bigint").distinct(), "pairs")
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
@@ -195,15 +205,17 @@ def local_roots(adjacent: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _block_links(num: int, den: int):
+def _block_links(k: int, num: int, den: int):
+    """Links among rows ``(block, i, j, node, text)`` sorted by (block, i, j): each row linked with the first of its component."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, ids = None, [], []
+        key, rows, ids = None, [], {}
 
         def product() -> pa.RecordBatch | None:
             if len(rows) < 2:
                 return None
             size = np.array([len(r) for r in rows])
-            node = np.array(ids, np.int64)
+            node = np.array(list(ids), object)
             order = np.argsort(size, kind="stable")
             size, node = size[order], node[order]
             links_u, links_v = [], []
@@ -222,64 +234,113 @@ def _block_links(num: int, den: int):
                 links_v.append(node[part][move])
             if not links_u:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(links_u)), pa.array(np.concatenate(links_v))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(links_u), pa.binary()), pa.array(np.concatenate(links_v), pa.binary())], ["u", "v"])
 
         for batch in batches:
-            lead, i, j, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            data, offs = as_binary(batch.column(4))
-            for x in range(len(lead)):
-                if (lead[x], i[x], j[x]) != key:
+            block, i, j = (batch.column(c).to_numpy() for c in range(3))
+            sets = shingle_sets(*as_binary(batch.column(4)), k)
+            for x, (s, own, node) in enumerate(zip(sets, set_ids(sets), batch.column(3).to_pylist(), strict=True)):
+                if (block[x], i[x], j[x]) != key:
                     if (out := product()) is not None:
                         yield out
-                    key, rows, ids = (lead[x], i[x], j[x]), [], []
-                rows.append(np.frombuffer(data[offs[x] : offs[x + 1]].tobytes(), U64))
-                ids.append(node[x])
+                    key, rows, ids = (block[x], i[x], j[x]), [], {}
+                # repeated rows bring a set again, and rows that share a key by chance another set
+                if node not in ids and own.tobytes() == node:
+                    ids[node] = None
+                    rows.append(s)
         if (out := product()) is not None:
             yield out
 
     return run
 
 
+def _parts(rows: str, shingles: str) -> Column:
+    """Number of chunks of so many rows and shingles."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _multiply(rows: DataFrame, routes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links found in the products that ``routes(block, i, j, node, rk)`` deals the texts of ``rows(rk, text)`` to."""
+    spark = rows.sparkSession
+    routes = materialize(routes, "routes")
+    with prefiltered(spark):  # the filter on keys reaches the scan before texts are shuffled
+        texts = rows.select("rk", "text").join(routes, "rk").select("block", "i", "j", "node", "text")
+        dealt = texts.repartition(shuffle_partitions(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j")
+        return materialize(dealt.mapInArrow(_block_links(k, num, den), "u binary, v binary"), "links")
+
+
+def _home_routes(pairs: DataFrame, carriers: DataFrame) -> DataFrame:
+    """First round: every set in the block of its least leader, and the leader in each chunk of it."""
+    home = pairs.groupBy("code").agg(F.min("leader").alias("block")).join(carriers, "code")
+    home = materialize(home.select("block", "node", "rk", "n"), "homes")
+    g = home.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).select("block", _parts("rows", "shingles").alias("g"))
+    g = materialize(g, "home-chunks")
+    chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")).cast("int")
+    own = join_unique(home, g, "block").select("block", chunk.alias("i"), F.lit(0).alias("j"), "node", "rk")
+    lead = g.join(carriers, g["block"] == carriers["code"]).select("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), F.lit(0).alias("j"), "node", "rk")
+    return own.unionByName(lead)
+
+
+def _open_routes(pairs: DataFrame, carriers: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Second round: blocks that still hold several components; None where there are none."""
+    comp = carriers.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    comp = comp.select("code", "node", "rk", "n", F.coalesce("root", "node").alias("comp"))
+    leaders = pairs.select("leader", F.col("leader").alias("code")).distinct()
+    members = materialize(pairs.unionByName(leaders), "members")
+    members = materialize(join_unique(members, _one_or_list(comp), "code").select(F.col("leader").alias("block"), F.inline("sets")), "block-members")
+    by_comp = members.groupBy("block", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    # the largest component of a block is its main one
+    plan = by_comp.groupBy("block").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "s", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("kinds > 1")
+    small = (F.col("c") <= BLOCK_ROWS) & (F.col("s") <= BLOCK_SHINGLES)
+    plan = plan.select("block", small.alias("small"), F.col("main.comp").alias("main"), F.col("main.c").alias("mc"), F.col("main.s").alias("ms"), (F.col("c") - F.col("main.c")).alias("oc"), (F.col("s") - F.col("main.s")).alias("os"))
+    plan = plan.select("block", "main", F.when(F.col("small"), 1).otherwise(_parts("oc", "os")).alias("h"), F.when(F.col("small"), 0).otherwise(_parts("mc", "ms")).alias("m"))
+    plan = materialize(plan, "open-blocks")
+    if plan.isEmpty():
+        return None
+    placed = join_unique(members, plan, "block")
+    alone = (F.col("comp") != F.col("main")) | (F.col("m") == 0)
+    placed = placed.withColumn("alone", alone).withColumn("c", F.pmod(F.xxhash64("node", F.lit(4)), F.when(F.col("alone"), F.col("h")).otherwise(F.col("m"))).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda o: F.struct(F.least(F.col("c"), o).alias("i"), F.greatest(F.col("c"), o).alias("j")))
+    mains = F.when(F.col("m") > 0, F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.col("c").alias("i"), (F.col("h") + o).alias("j"))))
+    to = F.when(F.col("alone"), F.concat(others, F.coalesce(mains, F.array().cast("array<struct<i:int,j:int>>"))))
+    to = to.otherwise(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda o: F.struct(o.alias("i"), (F.col("h") + F.col("c")).alias("j"))))
+    return placed.select("block", F.inline(to), "node", "rk")
+
+
+def _one_or_list(comp: DataFrame) -> DataFrame:
+    """``(code, sets)``: the sets of a code, one but for codes that meet by chance."""
+    return comp.groupBy("code").agg(F.collect_list(F.struct("node", "rk", "n", "comp")).alias("sets"))
+
+
 def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Near-duplicate groups: ``(id, n_shingles, component_id)`` for every row of ``docs``.
 
     Two rows link when the Jaccard similarity of their k-word shingle sets is at least num/den,
-    compared exactly in integers.  component_id is the smallest id reachable by links.  Rows
-    without words have an empty set, n_shingles 0, and are alone.  Null text counts as empty.
-    Repeated rows form one group.  A null id is grouped like any other; a group of null ids
-    only has a null component_id.  Other columns are ignored.
+    compared in integers; shingles go by 64-bit hashes and whole sets by 128-bit ones, so other
+    words are taken for the same only by chance (about shingles of both sets squared / 2**65 a
+    pair).  component_id is the smallest id reachable by links.  Rows without words (null, empty
+    or blank text) have an empty set, n_shingles 0, and are alone.  A text of any length is one
+    set.  Repeated rows form one group.  A null id is grouped like any other; a group of null ids
+    only has a null component_id.  An empty table gives an empty result.  Other columns, whatever
+    their names, are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("rk"), text.alias("text"))
     sig = materialize(signatures(rows, k), "signatures")
-    members = _block_members(rows, "text", k, num, den)
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("g"))
-    wide = members.join(sizes, "leader")
-    # a large block is dealt into g chunks of rows; each pair of chunks is a product of its own
-    mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")).cast("int")
-    wide = wide.select("leader", "node", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    wide = materialize(wide.select("leader", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node"), "products")
-
-    # a text for each node that some block needs: the filter on ids reaches the scan before the text is shuffled
-    carrier = materialize(sig.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("rk").alias("rk")), "carriers")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(*as_binary(batch.column(1)), k)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
-
-    spark = docs.sparkSession
-    with prefiltered(spark):
-        picked = rows.select("rk", "text").join(carrier.select("rk"), "rk", "left_semi")
-        sets = picked.mapInArrow(to_sets, "node bigint, shingles binary").dropDuplicates(["node"])
-        sets = materialize(sets, "sets")
-    routed = wide.join(sets, "node").select("leader", "i", "j", "node", "shingles")
-    dealt = routed.repartition(shuffle_partitions(spark), "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    links = dealt.mapInArrow(_block_links(num, den), "u bigint, v bigint")
+    pairs = _met_pairs(rows, sig.agg(F.sum("n_shingles")).first()[0] or 0, k, num, den)
+    met = pairs.select("code").unionByName(pairs.select(F.col("leader").alias("code"))).distinct()
+    carriers = sig.where("node is not null").groupBy("node", "code").agg(F.min("rk").alias("rk"), F.first("n_shingles").alias("n"))
+    carriers = materialize(carriers.join(met, "code", "left_semi"), "carriers")
+    links = _multiply(rows, _home_routes(pairs, carriers), k, num, den)
     labels = connected_components(links)
-    rooted = sig.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted")
+    routes = _open_routes(pairs, carriers, labels)
+    if routes is not None:
+        labels = connected_components(links.unionByName(_multiply(rows, routes, k, num, den)))
+    rooted = join_unique(sig.select("id", "n_shingles", "node"), labels, "node", "left")
+    rooted = materialize(rooted.select("id", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
     lowest = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "lowest")
-    return rooted.join(lowest, "root", "left").select("id", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = join_unique(rooted, lowest, "root", "left")
+    return out.select("id", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 class prefiltered:

@@ -8,68 +8,61 @@ from __future__ import annotations
 
 import numpy as np
 
-from wiretide.llm.common import U64, Powers, fmix
+from wiretide.llm.common import U64, fmix
 
 PIECE = 1 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: Powers | None = None
 _MULT = [U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
 
 
-def _powers() -> Powers:
-    global _POWERS
-    if _POWERS is None:
-        _POWERS = Powers(_BASE, PIECE)
-    return _POWERS
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of each text, and the number of words of each text.
 
-    data, offsets: concatenated UTF-8 bytes and where each text starts (one more at the end).
+    data, offsets: concatenated UTF-8 bytes and where each text starts (one more at the end).  A
+    word's hash mixes the sum of mixed (place, byte) values: no structure of a word, as a
+    polynomial's has, makes different words collide other than by chance.
     """
-    pw = _powers()
     n = len(data)
-    hashes, starts_all = [], []
-    carry, carry_len = 0, 0  # an open word that began in an earlier piece
+    hashes, starts = [], []
+    open_at, open_sum = -1, U64(0)  # a word that began in an earlier piece
     bounds = offsets[1:-1]
     for a in range(0, n, PIECE):
         b = min(n, a + PIECE)
-        raw = data[a:b]
-        ws = _WS[raw]
-        prefix = pw.prefix(_LOWER[raw])
+        raw = _LOWER[data[a:b]]
+        word = ~_WS[raw]
+        lo, hi = np.searchsorted(bounds, [a, b])
         cut = np.zeros(b - a, bool)  # a text starts here
-        inside = bounds[(bounds >= a) & (bounds < b)] - a
-        cut[inside] = True
-        begins = ~ws
-        begins[1:] &= ws[:-1] | cut[1:]
-        ends = ~ws
-        ends[:-1] &= ws[1:] | cut[1:]
-        s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        h = (prefix[e] - prefix[s]) * pw.down[s]
-        length = (e - s).astype(np.int64)
-        pos = s + a
-        if carry_len and len(s) and s[0] == 0 and not cut[0]:
-            h[0] = U64((carry + pow(_BASE, carry_len, 1 << 64) * int(h[0])) % (1 << 64))
-            length[0] += carry_len
-            pos[0] = a - carry_len
-        elif carry_len:
-            hashes.append(np.array([carry], U64) ^ U64(carry_len))
-            starts_all.append(np.array([a - carry_len]))
-        carry_len = 0
-        if len(e) and e[-1] == b - a and b < n and b not in (bounds[np.searchsorted(bounds, b) : np.searchsorted(bounds, b) + 1]):
-            carry, carry_len = int(h[-1]), int(length[-1])
-            h, length, pos = h[:-1], length[:-1], pos[:-1]
-        hashes.append(h ^ length.astype(U64))
-        starts_all.append(pos)
+        cut[bounds[lo:hi] - a] = True
+        begins = word.copy()
+        begins[1:] &= ~word[:-1] | cut[1:]
+        s = np.flatnonzero(begins)
+        at = s + a
+        inside = np.flatnonzero(word)
+        goes_on = open_at >= 0 and bool(word[0]) and not cut[0]
+        if goes_on:
+            at[0] = open_at
+        elif open_at >= 0:
+            hashes.append(np.array([open_sum], U64))
+            starts.append(np.array([open_at]))
+        if not len(s):
+            open_at = -1
+            continue
+        place = (inside + a - at[np.cumsum(begins)[inside] - 1]).astype(U64)
+        total = np.add.reduceat(fmix((place << U64(8) | raw[inside].astype(U64)) + U64(0x9E3779B97F4A7C15)), np.searchsorted(inside, s))
+        if goes_on:
+            total[:1] += open_sum
+        open_at = -1
+        if word[-1] and b < n and not (hi < len(bounds) and bounds[hi] == b):
+            open_at, open_sum = int(at[-1]), total[-1]
+            at, total = at[:-1], total[:-1]
+        hashes.append(total)
+        starts.append(at)
     if not hashes:
         return np.zeros(0, U64), np.zeros(len(offsets) - 1, np.int64)
-    starts = np.concatenate(starts_all)
-    counts = np.diff(np.searchsorted(starts, offsets))
+    counts = np.diff(np.searchsorted(np.concatenate(starts), offsets))
     return fmix(np.concatenate(hashes)), counts
 
 
@@ -99,6 +92,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
+def set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, 2) of 64 bits: a 128-bit identity of each set, zero for empty ones."""
+    size = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), 2), U64)
+    full = np.flatnonzero(size)
+    if len(full):
+        flat = np.concatenate(sets)
+        first = (np.cumsum(size) - size)[full]
+        for i, seed in enumerate((U64(0xABCDEF12345), U64(0x3C6EF372FE94F82A))):
+            out[full, i] = fmix(np.add.reduceat(fmix(flat ^ seed), first) + size[full].astype(U64) * U64(0x9E3779B97F4A7C15))
+    return out
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     if len(x) > 1:
