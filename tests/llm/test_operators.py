@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wiretide.llm import common, embedding_dedup, ngram_join, shingles, suffix_dedup
+from wiretide.llm import common, embedding_dedup, language_id, ngram_join, shingles, suffix_dedup
 from wiretide.llm.ann import nearest_neighbours
 from wiretide.llm.bitpack import pack_bits, read_token_files, unpack_bits, write_token_files
 from wiretide.llm.common import scratch_dir
@@ -271,6 +272,54 @@ def test_language_id(spark, docs, rows, empty):
     assert out and all(r.lang_pred == ("en" if r.id % 2 else "de") for r in out)
 
 
+def bundle(text, n, dims):
+    """Sum over n-grams of the product of letters' vectors, each rotated by its place."""
+    letters = "".join(c.lower() if c.isalpha() else " " for c in text or "")
+    letters = " " + " ".join(letters.split()) + " " if letters.strip() else " "
+    out = np.zeros(dims)
+    for i in range(len(letters) - n + 1):
+        gram = np.ones(dims)
+        for j, c in enumerate(letters[i : i + n]):
+            gram *= np.roll(language_id._letter_vector(0 if c == " " else ord(c), dims), n - 1 - j)
+        out += gram
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "grams", "block"), [(1 << 20, 2048, 1024), (50, 7, 2), (301, 64, 3)])
+def test_language_vectors(monkeypatch, chunk, grams, block):
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    monkeypatch.setattr(language_id, "GRAM_BLOCK", grams)
+    monkeypatch.setattr(language_id, "TEXT_BLOCK", block)
+    some = [*texts()[:20], "\u4e2d\u6587" * 40 + " abc", "a-b--c", "-- --", prose(60) + "   " * 30 + prose(2), "".join(map(chr, range(0x4E00, 0x4F40)))]
+    seen = 0
+    for at, x, has in language_id.document_vectors(pa.array(some), 3, 64):
+        for i, (v, letters) in enumerate(zip(x, has, strict=True)):
+            assert letters == any(c.isalpha() for c in some[at + i] or "")
+            if letters:
+                np.testing.assert_array_equal(v, bundle(some[at + i], 3, 64))
+        assert at == seen
+        seen += len(x)
+    assert seen == len(some)
+
+
+def test_prototypes_and_predictions(spark):
+    """All of training and prediction against plain numpy."""
+    own = random.Random(4)
+    words = {lang: ["".join(own.choices(abc, k=own.randint(2, 7))) for _ in range(60)] for lang, abc in (("x", "abcdefgh"), ("y", "efghijkl"), ("z", "ijklmnop"))}
+    rows = [(i, " ".join(own.choices(words[lang], k=own.randint(1, 12))), lang if i % 7 else None) for i, lang in enumerate("xyz" * 40)]
+    got = {r.id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    unit = lambda v: v / np.linalg.norm(v)
+    vec = {i: unit(bundle(t, 3, language_id.DIMENSIONS)) for i, t, _ in rows}
+    proto = {k: unit(sum(vec[i] for i, _, lang in rows if lang == k and not held[i])) for k in "xyz"}
+    mean = sum(proto.values()) / 3
+    for i, _, _ in rows:
+        cos = {k: float(unit(vec[i] - mean) @ unit(p - mean)) for k, p in proto.items()}
+        best = max(cos, key=cos.get)
+        assert (got[i].held_out, got[i].lang_pred) == (held[i], best)
+        assert abs(got[i].score - min(1, max(0, cos[best]))) < 1e-5
+
+
 def test_secrets(docs, rows, empty):
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     got = scan_secrets(docs).select("doc_id", "text", span_text(F.col("spans")).alias("s")).collect()

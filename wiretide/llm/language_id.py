@@ -21,8 +21,12 @@ from wiretide.llm.common import as_binary, table
 DIMENSIONS = 1024
 #: Training documents for each language, in expectation; more are not needed for a prototype.
 TRAIN_PER_LANGUAGE = 4000
-#: Bytes of text handled at once.
-CHUNK = 2 << 20
+#: Most different languages that are learned; a column with more is no column of languages.
+MAX_LANGUAGES = 1000
+#: Bytes of text, and texts, handled at once; a longer text is walked in pieces.
+CHUNK, TEXTS = 1 << 20, 2048
+#: n-grams whose vectors exist at once, and texts counted against them.
+GRAM_BLOCK, TEXT_BLOCK = 2048, 1024
 _FOLD: np.ndarray | None = None
 _VECTORS: dict[tuple[int, int], np.ndarray] = {}
 
@@ -47,13 +51,17 @@ def _letter_vector(code: int, dims: int) -> np.ndarray:
     return _VECTORS[code, dims]
 
 
-def _grams(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram of each place, its document, letters of each gram): runs of non-letters count as one blank."""
+def _collapse(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of non-letters of a text count as one blank."""
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (doc[1:] != doc[:-1])
-    codes, doc = codes[keep], doc[keep]
+    return codes[keep], doc[keep]
+
+
+def _grams(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram of each place, its document, letters of each gram)."""
     letters = np.flatnonzero(np.bincount(codes, minlength=1))
-    index = np.zeros(int(letters[-1]) + 1, np.int64)
+    index = np.zeros(int(letters[-1]) + 1 if len(letters) else 1, np.int64)
     index[letters] = np.arange(len(letters))
     small = index[codes]
     m = len(codes) - n + 1
@@ -75,44 +83,72 @@ def _grams(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return gram, doc, letters[digits]
 
 
+def _bound(letters: np.ndarray, dims: int) -> np.ndarray:
+    """Vectors of n-grams: the product of their letters' vectors, each rotated by its place."""
+    n = letters.shape[1]
+    out = np.ones((len(letters), dims), np.int8)
+    for j in range(n):
+        codes, where = np.unique(letters[:, j], return_inverse=True)
+        out *= np.stack([np.roll(_letter_vector(int(c), dims), n - 1 - j) for c in codes])[where]
+    return out.astype(np.float32)
+
+
+def _bundle(out: np.ndarray, codes: np.ndarray, doc: np.ndarray, n: int) -> None:
+    """Adds to each row of ``out`` the vectors of its document's n-grams, a block of n-grams at a time."""
+    gram, of, letters = _grams(codes, doc, n)
+    order = np.argsort((gram // GRAM_BLOCK).astype(np.uint16), kind="stable")
+    gram, of = gram[order], of[order]
+    edges = np.searchsorted(gram // GRAM_BLOCK, np.arange(-(-len(letters) // GRAM_BLOCK) + 1))
+    for g, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        first = g * GRAM_BLOCK
+        bound = _bound(letters[first : first + GRAM_BLOCK], out.shape[1])
+        gb, ob, width = gram[s:e] - first, of[s:e], len(bound)
+        texts = ob[np.concatenate([[True], ob[1:] != ob[:-1]])]
+        for t in range(0, len(texts), TEXT_BLOCK):
+            here = texts[t : t + TEXT_BLOCK]
+            p, q = np.searchsorted(ob, [here[0], here[-1] + 1])
+            if (q - p) * 32 >= len(here) * width:
+                row = np.searchsorted(here, ob[p:q])
+                counts = np.bincount(row * width + gb[p:q], minlength=len(here) * width).reshape(len(here), width)
+                out[here] += counts.astype(np.float32) @ bound
+            else:  # few n-grams in each text: their vectors are added one by one
+                for c in range(p, q, 4096):
+                    o = ob[c : min(q, c + 4096)]
+                    start = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                    out[o[start]] += np.add.reduceat(bound[gb[c : c + len(o)]], start)
+
+
 def document_vectors(texts: pa.Array, n: int = 3, dims: int = DIMENSIONS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields (first text, bundles of some texts, whether each has a letter)."""
+    """Yields (first text, bundles of some texts, whether each has a letter).  A blank stands before and after each text."""
     data, offsets = as_binary(texts)
     a = 0
     fold = _fold_table()
     while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+        b = min(a + TEXTS, max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1))
         out = np.zeros((b - a, dims), np.float32)
         has = np.zeros(b - a, bool)
-        lo = int(offsets[a])
-        while lo < offsets[b]:  # a text longer than a chunk is walked in pieces; each piece repeats n - 1 characters at most
-            hi = int(min(offsets[b], lo + 2 * CHUNK))
-            while hi < offsets[b] and data[hi] & 0xC0 == 0x80:
+        lo, end = int(offsets[a]), int(offsets[b])
+        tail = np.zeros(1, np.uint32)
+        while lo < end:
+            hi = min(end, lo + CHUNK) if b - a == 1 else end
+            while hi < end and data[hi] & 0xC0 == 0x80:
                 hi += 1
             raw = data[lo:hi]
             codes = fold[np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
-            at = np.flatnonzero((raw & 0xC0) != 0x80) + lo
-            doc = np.searchsorted(offsets[a : b + 1], at, "right") - 1
-            has |= np.bincount(doc[codes > 0], minlength=b - a) > 0
-            # a blank before and after each text
-            edge = np.flatnonzero(np.diff(doc, prepend=-1, append=b - a))
-            codes, doc = np.insert(codes, edge, 0), np.insert(doc, edge, np.minimum(np.append(doc, doc[-1])[edge], b - a - 1))
-            gram, of, letters = _grams(codes, doc, n)
-            if len(gram):
-                bound = np.ones((len(letters), dims), np.int8)
-                for j in range(n):
-                    codes_j, where = np.unique(letters[:, j], return_inverse=True)
-                    bound *= np.stack([np.roll(_letter_vector(int(c), dims), n - 1 - j) for c in codes_j])[where]
-                bound = bound.astype(np.float32)
-                g = len(letters)
-                step = max(1, (8 << 20) // g)
-                order = np.argsort(of, kind="stable")
-                of, gram = of[order], gram[order]
-                for d in range(0, b - a, step):
-                    s, e = np.searchsorted(of, [d, d + step])
-                    k = min(step, b - a - d)
-                    counts = np.bincount((of[s:e] - d) * g + gram[s:e], minlength=k * g).reshape(k, g)
-                    out[d : d + k] += counts.astype(np.float32) @ bound
+            if b - a == 1:  # the last letters of a piece go before the next, so no n-gram is lost or made up at a cut
+                has[0] |= bool(codes.any())
+                codes = np.concatenate([tail, codes, np.zeros(int(hi == end), np.uint32)])
+                codes, doc = _collapse(codes, np.zeros(len(codes), np.int64))
+                tail = codes[len(codes) - n + 1 :] if len(codes) >= n else codes
+            else:
+                at = np.flatnonzero((raw & 0xC0) != 0x80) + lo
+                doc = np.searchsorted(offsets[a : b + 1], at, "right") - 1
+                has |= np.bincount(doc[codes > 0], minlength=b - a) > 0
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                codes, doc = np.insert(codes, first, 0), np.insert(doc, first, doc[first])
+                last = np.flatnonzero(np.diff(doc, append=b - a)) + 1
+                codes, doc = _collapse(np.insert(codes, last, 0), np.insert(doc, last, doc[last - 1]))
+            _bundle(out, codes, doc, n)
             lo = hi
         yield a, out, has
         a = b
@@ -126,12 +162,18 @@ def _units(x: np.ndarray) -> np.ndarray:
 def train_prototypes(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = TRAIN_PER_LANGUAGE, n: int = 3, dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototype of each language: sums are made in tasks and by lang; one vector a language reaches the driver.
 
-    At most about ``per_language`` documents of a language are used, chosen by a hash of the id.
+    At most about ``per_language`` documents of a language are used, chosen by a hash of id and
+    text.  Rows without lang or text teach nothing; an empty table gives no prototypes.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"))
+    rows = labelled.where(F.col(lang_col).isNotNull())
+    counts = rows.groupBy(F.col(lang_col)).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} different values")
+    if not counts:
+        return {}
     share = F.pmod(F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("l")).where(share * F.col("n") < per_language)
+    odds = F.create_map(*[F.lit(x) for name, c in counts for x in (name, per_language / c)])
+    picked = rows.where((share < F.element_at(odds, F.col(lang_col))) & F.col(text_col).isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -158,8 +200,9 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
     """``docs`` with ``lang_pred`` and ``score`` (cosine with the chosen prototype, 0 to 1) added.
 
     Null text and text without letters, or with no prototypes given, is ``und`` with score 0.
-    Ties go to the language that comes first by code point.  Columns of docs named lang_pred or
-    score are replaced.
+    Ties go to the language that comes first by code point.  Whole texts count, of any length;
+    repeated rows are predicted alike, and an empty table stays empty.  Columns of docs named
+    lang_pred or score are replaced; others are carried.
     """
     names = list(prototypes)
     proto = _units(np.array([prototypes[k] for k in names])) if names else np.zeros((0, dims))
@@ -167,11 +210,12 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
     basis = _units(proto - centre)
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     cols = [f.name for f in kept]
+    place = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for at, x, has in document_vectors(batch.column(0), n, dims):
+            for at, x, has in document_vectors(batch.column(place).cast(pa.string()), n, dims):
                 if not names:
                     continue
                 cos = _units(_units(x) - centre) @ basis.T
@@ -179,10 +223,10 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
                 for i in np.flatnonzero(has):
                     lang[at + i] = names[best[i]]
                     score[at + i] = min(1.0, max(0.0, float(cos[i, best[i]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*cols, "lang_pred", "score"])
 
     schema = docs.select(*cols).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(run, schema)
 
 
 def held_out(id_col: str) -> Column:
