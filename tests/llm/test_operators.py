@@ -1,6 +1,7 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wiretide.llm import common, embedding_dedup, language_id, ngram_join, shingles, suffix_dedup
+from wiretide.llm import common, embedding_dedup, language_id, ngram_join, secrets, shingles, suffix_dedup
 from wiretide.llm.ann import nearest_neighbours
 from wiretide.llm.bitpack import pack_bits, read_token_files, unpack_bits, write_token_files
 from wiretide.llm.common import scratch_dir
@@ -67,10 +68,10 @@ def same_ids(got, rows):
     assert Counter(got) == Counter(r[0] for r in rows)
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-@pytest.mark.parametrize("keep", ["none", "first"])
-def test_suffix_dedup(spark, docs, rows, empty, monkeypatch, hot, keep):
-    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+@pytest.mark.parametrize(("split", "keep"), [(1000, "none"), (1000, "first"), (1, "first"), (3, "none"), (3, "first")])
+def test_suffix_dedup(spark, docs, rows, empty, monkeypatch, split, keep):
+    monkeypatch.setattr(suffix_dedup, "SPLIT_ABOVE", split)
+    monkeypatch.setattr(common, "HEAVY", 200 if split == 1000 else 20)
     size = 100
     rows = [r for i, r in enumerate(rows) if keep == "none" or r not in rows[:i]]
     df = docs if keep == "none" else docs.distinct()
@@ -87,14 +88,57 @@ def test_suffix_dedup(spark, docs, rows, empty, monkeypatch, hot, keep):
                 mark[i : i + size] = True
             met.add(w)
         left = np.frombuffer(t, np.uint8)[~mark].tobytes()
-        want[k] = (len(t), int(mark.sum()), hashlib.sha256(left).hexdigest())
+        want[k] = (len(t), int(mark.sum()), int((mark[1:] & ~mark[:-1]).sum() + mark[:1].sum()), hashlib.sha256(left).hexdigest())
     got = suffix_dedup.remove_repeats(df, min_len=size, keep=keep).collect()
     same_ids([r.id for r in got], rows)
     for r in got:
-        assert (r.n_bytes, r.n_removed, r.kept_sha256) == want[r.id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.id]
     assert suffix_dedup.remove_repeats(empty, keep=keep).count() == 0
 
 
+def test_segments_of_texts_beyond_a_piece(monkeypatch):
+    """Pieces cut segments, but every window has the same minimizer and is in one segment."""
+    data = [(t or "").encode() for t in texts()]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])])
+
+    def windows():
+        out = {}
+        for part in suffix_dedup.segments(np.frombuffer(b"".join(data), np.uint8), offsets, 100):
+            for doc, s, n, mh, _, off in zip(*(x.tolist() for x in part), strict=True):
+                for i in range(n):
+                    assert (doc, s + i) not in out
+                    out[doc, s + i] = mh, s + off
+        return out
+
+    whole = windows()
+    assert sorted(whole) == [(d, i) for d, t in enumerate(data) for i in range(len(t) - 99)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert windows() == whole
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_arrays_decide(docs, monkeypatch, keep):
+    """Every removed byte comes from longest factors: without them nothing goes."""
+    assert sum(r.n_removed for r in suffix_dedup.remove_repeats(docs, min_len=100, keep=keep).collect()) > 5000
+    plain = suffix_dedup._matched_windows
+
+    def blind(min_len, first_stays):
+        run = plain(min_len, first_stays)
+
+        def without(batches):
+            real = suffix_dedup.factors  # in a worker, which other tests use again
+            suffix_dedup.factors = lambda sa, lcp, least: (np.zeros_like(lcp), np.zeros_like(lcp))
+            try:
+                yield from run(batches)
+            finally:
+                suffix_dedup.factors = real
+
+        return without
+
+    monkeypatch.setattr(suffix_dedup, "_matched_windows", blind)
+    assert sum(r.n_removed for r in suffix_dedup.remove_repeats(docs, min_len=100, keep=keep).collect()) == 0
+
+
 def test_suffix_array_factors():
     data = np.frombuffer(bytes(rng.choices(b"ab", k=300)), np.uint8)
     at = np.arange(0, 300 - 12)
@@ -225,11 +269,37 @@ def test_packing(docs, rows, empty):
 
 
 def test_best_fit_capacities():
-    lengths = np.sort(np.random.default_rng(0).integers(1, 100, 500))[::-1]
+    lengths = np.sort(np.random.default_rng(0).integers(1, 78, 500))[::-1]
     b, _ = best_fit(lengths, 100, 3, 6000.0)
+    counts = set()
     for k in range(b.max() + 1):
         x = lengths[b == k]
-        assert x.sum() <= 100 and len(x) <= 3 and (x.astype(float) ** 2).sum() <= 10000
+        counts.add((x.sum() > 95, len(x) == 3, (x.astype(float) ** 2).sum() > 5700))
+        assert x.sum() <= 100 and len(x) <= 3 and (x.astype(float) ** 2).sum() <= 6000
+    assert all(any(c[i] for c in counts) for i in range(3))  # each capacity binds somewhere
+    for bad in ((np.array([78]), 100, 3, 6000.0), (np.array([101]), 100, 3, 1e9)):
+        with pytest.raises(ValueError, match="capacity"):
+            best_fit(*bad)
+
+
+def test_pieces_against_library(spark, docs, rows):
+    """piece, start, length and ids_crc32 as the library's ids give them, also for texts over a task's piece of text."""
+    lib = Tokenizer.from_file(WORD)
+    long = prose(700) + " " + "x" * 3000 + " " + prose(900)
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, long)], "doc_id long, text string"))
+    want = Counter()
+    for doc_id, text in [(r[0], r[1]) for r in rows] + [(900, long)]:
+        ids = [*lib.encode(text or "", add_special_tokens=False).ids, 1]
+        for i in range(0, len(ids), 256):
+            part = ids[i : i + 256]
+            want[doc_id, i // 256, i, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    got = pack_pieces(document_pieces(df, WORD, 1, 256), 256).collect()
+    assert Counter((r.id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0] + [n for _, n in sorted(parts)])[:-1]) and sum(n for _, n in parts) <= 256
 
 
 def test_mixing(spark, docs, rows, empty):
@@ -333,6 +403,69 @@ def test_secrets(docs, rows, empty):
     assert scan_secrets(empty).count() == 0
 
 
+def battery_by_hand(token):
+    """(length class, p) of a run, or None, from the definition of the three tests."""
+    enc = next((a for _, rx, a in secrets.ENCODINGS if re.search(rx, token)), None)
+    body = token.rstrip("=")
+    if enc is None or len(body) < 20:
+        return None
+    v, k, n = np.array([enc.index(c) for c in body], float), len(enc), len(body)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = k / n * sum(c * c for c in Counter(v.tolist()).values()) - n
+    df = k - 1
+    z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = v >= k / 2
+    runs, h = 1 + (high[1:] != high[:-1]).sum(), high.sum()
+    mean = 1 + 2 * h * (n - h) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = abs(runs - mean) / math.sqrt(var) if var > 0 else 40
+    d = v - v.mean()
+    z_serial = abs((d[1:] * d[:-1]).sum() / (d @ d) + 1 / n) * math.sqrt(n) if d.any() else 40
+    return sum(n > x for x in secrets.LENGTHS), min(1, 3 * min(tail(z_chi), 2 * tail(z_runs), 2 * tail(z_serial)))
+
+
+def test_random_spans_against_battery(spark):
+    """All spans of a corpus of keys, paths and prose against the battery and its thresholds by hand."""
+    own = random.Random(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(own.choices("etaoinsrhldcu", k=own.randint(3, 9)))
+    made = []
+    for i in range(120):
+        key = "".join(own.choices(chars + own.choice(["", "+/", "-_"]), k=own.randint(20, 120)))
+        made.append([key, f"{word()}/{word()}2/{word().title()}/{word()}", f"/{word()}{own.choice('/_-+')}{key}/{word()}", f"token={key} {key[:25]}", "a1B2" * 9, word()][i % 6])
+    df = spark.createDataFrame([(i, f"\u00e9 {t} .") for i, t in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_secrets(df).collect()}
+    tried = {}
+    for i, r in got.items():
+        base = [(x.s, x.e) for x in r.spans if x.kind < 3]
+        for m in re.finditer(secrets.RUN, r.text):
+            parts = {m.span()}
+            cuts = ["/"] if "/" in m[0] else []
+            if not any(re.search(rx, m[0]) for _, rx, _ in secrets.ENCODINGS):
+                cuts += ["[/+]", "[_-]"]
+            for c in cuts:
+                edges = [m.start() - 1, *(m.start() + x.start() for x in re.finditer(c, m[0])), m.end()]
+                parts |= {(a + 1, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 20}
+            for s, e in parts:
+                if not any(s < y and x < e for x, y in base) and (t := battery_by_hand(r.text[s:e])):
+                    tried[i, s, e] = t
+    limits = []
+    for c in range(len(secrets.LENGTHS) + 1):
+        bins = sorted(min(math.floor(-math.log10(max(p, 1e-40)) * 10), 399) for k, p in tried.values() if k == c)[::-1]
+        limits.append(max([10 ** (-b / 10) for j, b in enumerate(bins, 1) if bins[j : j + 1] != [b] and 10 ** (-b / 10) <= secrets.FDR * j / len(bins)], default=0.0))
+    stay = {x for x, (c, p) in tried.items() if p > limits[c]}
+    want = {x for x in stay if not any(y[0] == x[0] and y != x and y[1] <= x[1] and x[2] <= y[2] for y in stay)}
+    assert len(want) > 40 and {(i, x.s, x.e) for i, r in got.items() for x in r.spans if x.kind == 3} == want
+
+
+def test_secrets_of_dense_text(spark):
+    """Many matches in one text, with and without overlaps."""
+    text = " ".join(f"token=abc{i:06d}x AKIAABCDEFGHIJKL{i:06d} {i:032x}" for i in range(700))
+    (row,) = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(row.spans) >= 2100 and all(text[x.s : x.e] == x.m for x in row.spans)
+    assert [x.s for x in row.spans] == sorted(x.s for x in row.spans)
+
+
 def test_random_runs(spark):
     keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(60)]
     plain = ["aaaaaaaa1111111111zzzzzzzzzz", "abcdefghijklmnopqrst0123456789", "configuration-management-2021-final", "zyxwvutsrqponmlkjihg9876543210"]

@@ -3,12 +3,14 @@
 Largest inner product becomes smallest distance by one more coordinate, which lifts all vectors
 of a shard to the same norm.  A graph grows in batches: a greedy beam search over the graph so far
 proposes neighbours, relaxed distance pruning keeps diverse edges, and edges back are pruned alike
-where a node has too many.  Every query runs a beam search on every shard; the shards' best are
-merged.  Distances of what is returned are computed again in double precision.
+where a node has too many.  Every query runs a beam search on every shard, so shards are as large
+as a task's memory bears; queries stream past a shard that is read once.  The shards' best are
+merged.  Scores of what is returned are computed again in double precision.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import materialize, shuffle_partitions, table
-from wiretide.llm.vectors import usable
+from wiretide.llm.common import materialize, row_key, shuffle_partitions, table
+from wiretide.llm.vectors import matrix, usable
 
-#: Distinct vectors of a shard, on average.
-SHARD_ROWS = 6000
+#: Distinct vectors of a shard, on average; 64 dimensions take about 1 kB a vector while a graph grows.
+SHARD_ROWS = 50_000
+#: Queries that one task searches in a shard, at most on average.
+TASK_QUERIES = 2048
 DEGREE = 28
 BEAM_BUILD = 64
 BEAM_SEARCH = 128
@@ -156,79 +160,81 @@ _INDEX = "shard int, dim int, vectors binary, graph binary, entry binary, member
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, dim) -> one index row each."""
+    """Rows ``(shard, dim, v, members)`` sorted by (shard, dim) -> one index row each."""
     key, vecs, ids = None, [], []
 
     def flush() -> pa.RecordBatch:
-        raw = np.stack([np.frombuffer(v, np.float64) for v in vecs])
-        x = lift(raw)
-        graph, entry = build_graph(x)
+        raw = np.concatenate(vecs)
+        graph, entry = build_graph(lift(raw))
+        members = pa.concat_arrays(ids)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(members)], pa.int32()), members)
         return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([raw.tobytes()], pa.binary()), pa.array([graph.astype(np.int32).tobytes()], pa.binary()), pa.array([entry.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.list_(pa.int64())))],
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([raw.tobytes()], pa.binary()), pa.array([graph.astype(np.int32).tobytes()], pa.binary()), pa.array([entry.tobytes()], pa.binary()), whole],
             ["shard", "dim", "vectors", "graph", "entry", "members"],
         )
 
     for batch in batches:
-        for shard, dim, v, member in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (shard, dim) != key:
+        if not batch.num_rows:
+            continue
+        shard, dim = (batch.column(i).to_numpy() for i in (0, 1))
+        edges = np.flatnonzero((shard[1:] != shard[:-1]) | (dim[1:] != dim[:-1])) + 1
+        for i, j in itertools.pairwise([0, *edges.tolist(), len(shard)]):
+            if (shard[i], dim[i]) != key:
                 if vecs:
                     yield flush()
-                key, vecs, ids = (shard, dim), [], []
-            vecs.append(np.array(v, np.float64).tobytes())
-            ids.append(member)
+                key, vecs, ids = (shard[i], dim[i]), [], []
+            vecs.append(matrix(batch.column(2).slice(i, j - i), int(dim[i])).astype(np.float64))
+            ids.append(batch.column(3).slice(i, j - i))
     if vecs:
         yield flush()
 
 
-def _search(top: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                dim = batch.column("dim")[row].as_py()
-                raw = np.frombuffer(batch.column("vectors")[row].as_py(), np.float64).reshape(-1, dim)
-                graph = np.frombuffer(batch.column("graph")[row].as_py(), np.int32).reshape(len(raw) + 1, -1).astype(np.int64)
-                entry = np.frombuffer(batch.column("entry")[row].as_py(), np.int64)
-                members = batch.column("members")[row].as_py()
-                qid = batch.column("qids")[row].as_py()
-                q = np.array(batch.column("qvecs")[row].as_py(), np.float64)
-                size = np.sqrt((q**2).sum(1, keepdims=True))
-                beam = max(BEAM_SEARCH, 2 * (top + 1))
-                if len(raw) <= 2 * beam:
-                    near = np.tile(np.arange(len(raw)), (len(q), 1))
-                else:
-                    x = lift(raw)
-                    near, _ = beam_search(x, graph, entry, np.concatenate([q / size, np.zeros((len(q), 1))], 1).astype(np.float32), beam)
-                out: list[tuple[int, int, float]] = []
-                for i, me in enumerate(qid):
-                    nodes = near[i][near[i] >= 0]
-                    score = (raw[nodes] * q[i]).sum(1)
-                    got = 0
-                    # equal scores are taken together, so that ties go to the smallest ids
-                    order = np.lexsort((nodes, -score))
-                    best: list[tuple[float, int]] = []
-                    for j in order:
-                        if got >= top and score[j] < best[-1][0]:
-                            break
-                        more = [(float(score[j]), m) for m in members[nodes[j]] if m != me]
-                        best += more
-                        got += len(more)
-                    best.sort(key=lambda s: (-s[0], s[1]))
-                    out += [(me, m, s) for s, m in best[:top]]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
-
-    return run
+_WORK = "shard int, dim int, split int, kind int, vectors binary, graph binary, entry binary, members array<array<bigint>>, qid bigint, qv array<double>"
 
 
-def _few_ids(top: int):
-    """Per batch the smallest ids of each distinct vector: more can't be among a query's nearest."""
+def _search(top: int):
+    """Over rows sorted by (shard, dim, split, kind): an index row, then the queries that search it."""
+    beam = max(BEAM_SEARCH, 2 * (top + 1))
+
+    def search(index: tuple, qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        raw, x, graph, entry, ids, offs = index
+        size = np.sqrt((q**2).sum(1, keepdims=True))
+        near, _ = beam_search(x, graph, entry, np.concatenate([q / size, np.zeros((len(q), 1))], 1).astype(np.float32), beam)
+        got = near >= 0
+        row, node = np.nonzero(got)[0], near[got]
+        score = np.concatenate([(raw[node[c : c + 65536]] * q[row[c : c + 65536]]).sum(1) for c in range(0, len(node), 65536)])
+        # every id of a vector that was met, but the query's own; ties of score go to smaller ids
+        count = offs[node + 1] - offs[node]
+        place = np.repeat(offs[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        row, score, vid = np.repeat(row, count), np.repeat(score, count), ids[place]
+        own = vid == qid[row]
+        row, score, vid = row[~own], score[~own], vid[~own]
+        order = np.lexsort((vid, -score, row))
+        row, score, vid = row[order], score[order], vid[order]
+        first = np.searchsorted(row, np.arange(len(q)))
+        keep = np.arange(len(row)) - first[row] < top
+        return pa.RecordBatch.from_arrays([pa.array(qid[row[keep]]), pa.array(vid[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, index = None, None
         for batch in batches:
-            node, vid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            o = np.lexsort((vid, node))
-            first = np.concatenate([[True], node[o][1:] != node[o][:-1]]) if len(o) else np.zeros(0, bool)
-            place = np.arange(len(o)) - np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
-            yield batch.take(pa.array(o[place <= top]))
+            if not batch.num_rows:
+                continue
+            shard, dim, split, kind = (batch.column(i).to_numpy() for i in range(4))
+            edges = np.flatnonzero((shard[1:] != shard[:-1]) | (dim[1:] != dim[:-1]) | (split[1:] != split[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, j in itertools.pairwise([0, *edges.tolist(), len(shard)]):
+                here = (shard[i], dim[i], split[i])
+                if kind[i] == 0:
+                    raw = np.frombuffer(batch.column(4)[i].as_py(), np.float64).reshape(-1, dim[i])
+                    graph = np.frombuffer(batch.column(5)[i].as_py(), np.int32).reshape(len(raw) + 1, -1).astype(np.int64)
+                    lists = batch.column(7)[i].values
+                    offs = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                    key, index = here, (raw, lift(raw), graph, np.frombuffer(batch.column(6)[i].as_py(), np.int64), lists.flatten().to_numpy(), offs)
+                elif here == key:  # a query without an index row has no vector of its length in the shard
+                    qid = batch.column(8).slice(i, j - i).to_numpy()
+                    q = matrix(batch.column(9).slice(i, j - i), int(dim[i])).astype(np.float64)
+                    for c in range(0, len(q), QUERY_BLOCK):
+                        yield search(index, qid[c : c + QUERY_BLOCK], q[c : c + QUERY_BLOCK])
 
     return run
 
@@ -239,27 +245,31 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, top: int, id_col:
     A query's own id is no candidate.  Ties go to the smaller id.  Only vectors of the query's
     length are candidates.  Vectors null, empty, zero, or with null or non-finite components, and
     rows with a null id, take no part.  Every distinct vector is indexed once, with the smallest
-    top + 1 ids that have it, so copies and repeated rows never fill a graph.
+    top + 1 ids that have it, so copies and repeated rows never fill a graph.  An empty table, of
+    vectors or of queries, gives an empty result.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
     wide = F.transform(v, lambda y: y.cast("double"))
-    rows = vectors.where(usable(v) & F.col(id_col).isNotNull()).select(F.xxhash64(F.lit(3), F.size(v), v).alias("node"), F.col(id_col).cast("long").alias("id"), wide.alias("v"))
-    few = rows.mapInArrow(_few_ids(top), "node bigint, id bigint, v array<double>")
-    classes = few.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("id")), 1, top + 1).alias("members"), F.first("v").alias("v"))
+    rows = vectors.where(usable(v) & F.col(id_col).isNotNull()).select(row_key(v).alias("node"), F.col(id_col).cast("long").alias("id"), wide.alias("v"))
+    # the smallest ids of each vector: Spark limits groups before the shuffle and again after it
+    few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= top + 1)
+    classes = few.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("members"), F.first("v").alias("v"))
     classes = materialize(classes.withColumn("dim", F.size("v")), "vectors")
     shards = max(1, -(-classes.count() // SHARD_ROWS))
     dealt = classes.select(F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(shards)).cast("int").alias("shard"), "dim", "v", "members")
     dealt = dealt.repartition(max(shards, shuffle_partitions(spark)), "shard", "dim").sortWithinPartitions("shard", "dim")
     index = materialize(dealt.mapInArrow(_build, _INDEX), "graphs")
 
-    asked = queries.where(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), wide.alias("qv"), F.size(v).alias("dim"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = asked.groupBy("dim", F.pmod(F.xxhash64(F.lit(6), "qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "qv")).alias("qs"))
-    packed = packed.select("dim", F.col("qs.qid").alias("qids"), F.col("qs.qv").alias("qvecs"), "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    packed = packed.repartition(shuffle_partitions(spark) * 4, "block", "shard")
-    work = packed.join(index, ["shard", "dim"])
-    found = work.select("dim", "vectors", "graph", "entry", "members", "qids", "qvecs").mapInArrow(_search(top), "query_id bigint, vec_id bigint, score double")
+    asked = queries.where(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), wide.alias("qv"), F.size(v).alias("dim")).distinct()
+    splits = max(1, -(-asked.count() // TASK_QUERIES), -(-shuffle_partitions(spark) // shards))
+    share = F.pmod(F.xxhash64(F.lit(6), "qid"), F.lit(splits)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    none = {c: F.lit(None).cast(t) for c, t in (x.rsplit(" ", 1) for x in _WORK.split(", "))}
+    indexes = index.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(0).alias("kind"), "vectors", "graph", "entry", "members", none["qid"].alias("qid"), none["qv"].alias("qv"))
+    searches = asked.select(every.alias("shard"), "dim", share.alias("split"), F.lit(1).alias("kind"), *(none[c].alias(c) for c in ("vectors", "graph", "entry", "members")), "qid", "qv")
+    work = indexes.unionByName(searches).repartition(max(shards * splits, shuffle_partitions(spark)), "shard", "dim", "split").sortWithinPartitions("shard", "dim", "split", "kind")
+    found = work.mapInArrow(_search(top), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -55,22 +56,25 @@ def row_key(*cols: Column | str) -> Column:
 HEAVY = 200
 
 
-def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", heavy: list[int] | None = None) -> DataFrame:
     """Join (inner or left) of a stored ``left`` with ``right``, which has each key once.
 
     Keys with over 1/HEAVY of left's rows, fewer than HEAVY by count, are joined by broadcast of
     their rows alone; no task gets all rows of one key.  Null keys match nothing and aren't shuffled.
+    heavy: xxhash64 of the heavy keys, where the caller has them.
     """
-    key = F.col(on)
-    heavy = [r[0] for r in left.where(key.isNotNull()).groupBy(on).count().where(F.col("count") > left.count() / HEAVY).select(on).collect()]
+    known = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    code = F.xxhash64(*on)
+    if heavy is None:
+        heavy = [r[0] for r in left.where(known).groupBy(code.alias("h")).count().where(F.col("count") > left.count() / HEAVY).collect()]
     if heavy:
-        few = right.where(key.isin(heavy))
-        out = left.where(~key.isin(heavy)).join(right, on, how).unionByName(left.where(key.isin(heavy)).join(F.broadcast(few), on, how))
+        out = left.where(known & ~code.isin(heavy)).join(right, on, how)
+        out = out.unionByName(left.where(known & code.isin(heavy)).join(F.broadcast(right.where(code.isin(heavy))), on, how))
     else:
-        out = left.where(key.isNotNull()).join(right, on, how)
+        out = left.where(known).join(right, on, how)
     if how == "left":
-        new = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != on]
-        out = out.unionByName(left.where(key.isNull()).select("*", *new))
+        new = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in on]
+        out = out.unionByName(left.where(~known).select("*", *new))
     return out
 
 
@@ -96,6 +100,22 @@ def as_binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary array of the slices of ``data`` that start at ``starts``."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    place = np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[place])])
+
+
+def codes(*halves: np.ndarray) -> pa.Array:
+    """Binary array of values of 64 bits side by side."""
+    both = np.ascontiguousarray(np.stack([h.view(U64) for h in halves], 1))
+    width = 8 * len(halves)
+    return pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer((np.arange(len(both) + 1) * width).astype(np.int32)), pa.py_buffer(both)])
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(33))

@@ -58,7 +58,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     square root of their size over their source's mean, within a factor of 4.  Null text has
     size 0; a null source is a source of its own; sources of size 0 have target 0.  Reruns
     agree, as random numbers are hashes of id, text and seed; rows equal in id and text are
-    taken alike.
+    taken alike; ties of rank go to the smaller id, then size.  Words of long texts are all
+    counted; an empty table gives an empty result; other columns are ignored but for ``keep``.
+    The closing row of a source is picked by size, not by rank: its odds are not a Pareto draw's,
+    which changes the inclusion odds of one row a source.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 52)) + 0.5) / float(1 << 52)

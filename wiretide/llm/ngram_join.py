@@ -276,7 +276,7 @@ def _home_routes(pairs: DataFrame, carriers: DataFrame) -> DataFrame:
     g = home.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).select("block", _parts("rows", "shingles").alias("g"))
     g = materialize(g, "home-chunks")
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")).cast("int")
-    own = join_unique(home, g, "block").select("block", chunk.alias("i"), F.lit(0).alias("j"), "node", "rk")
+    own = join_unique(home, g, ["block"]).select("block", chunk.alias("i"), F.lit(0).alias("j"), "node", "rk")
     lead = g.join(carriers, g["block"] == carriers["code"]).select("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), F.lit(0).alias("j"), "node", "rk")
     return own.unionByName(lead)
 
@@ -287,7 +287,7 @@ def _open_routes(pairs: DataFrame, carriers: DataFrame, labels: DataFrame) -> Da
     comp = comp.select("code", "node", "rk", "n", F.coalesce("root", "node").alias("comp"))
     leaders = pairs.select("leader", F.col("leader").alias("code")).distinct()
     members = materialize(pairs.unionByName(leaders), "members")
-    members = materialize(join_unique(members, _one_or_list(comp), "code").select(F.col("leader").alias("block"), F.inline("sets")), "block-members")
+    members = materialize(join_unique(members, _one_or_list(comp), ["code"]).select(F.col("leader").alias("block"), F.inline("sets")), "block-members")
     by_comp = members.groupBy("block", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     # the largest component of a block is its main one
     plan = by_comp.groupBy("block").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "s", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("kinds > 1")
@@ -297,7 +297,7 @@ def _open_routes(pairs: DataFrame, carriers: DataFrame, labels: DataFrame) -> Da
     plan = materialize(plan, "open-blocks")
     if plan.isEmpty():
         return None
-    placed = join_unique(members, plan, "block")
+    placed = join_unique(members, plan, ["block"])
     alone = (F.col("comp") != F.col("main")) | (F.col("m") == 0)
     placed = placed.withColumn("alone", alone).withColumn("c", F.pmod(F.xxhash64("node", F.lit(4)), F.when(F.col("alone"), F.col("h")).otherwise(F.col("m"))).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda o: F.struct(F.least(F.col("c"), o).alias("i"), F.greatest(F.col("c"), o).alias("j")))
@@ -336,10 +336,10 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     routes = _open_routes(pairs, carriers, labels)
     if routes is not None:
         labels = connected_components(links.unionByName(_multiply(rows, routes, k, num, den)))
-    rooted = join_unique(sig.select("id", "n_shingles", "node"), labels, "node", "left")
+    rooted = join_unique(sig.select("id", "n_shingles", "node"), labels, ["node"], "left")
     rooted = materialize(rooted.select("id", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
     lowest = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "lowest")
-    out = join_unique(rooted, lowest, "root", "left")
+    out = join_unique(rooted, lowest, ["root"], "left")
     return out.select("id", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -25,7 +25,11 @@ SHARD_PIECES = 16_384
 
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, piece, start, length, ids_crc32)``: each document's ids and the end id, cut only where longer than max_tokens."""
+    """``(id, piece, start, length, ids_crc32)``: each document's ids and the end id, cut only where longer than max_tokens.
+
+    Null and empty texts are the end id alone.  Texts of any length are encoded whole.  Null ids
+    and repeated rows give pieces like others; an empty table gives none.  Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,8 +51,10 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_token
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_cost: float, weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece; lengths must be in descending order."""
+    """(bin, offset) of each piece; lengths must be in descending order, and each must fit an empty bin."""
     n = len(lengths)
+    if n and (lengths[0] > max_tokens or float(lengths[0]) ** 2 > max_cost or max_pieces < 1):
+        raise ValueError("a piece exceeds a capacity of an empty bin")
     cap = np.array([max_tokens, max_pieces, max_cost], float)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     # bins with the same residuals are interchangeable: one state, a stack of its bins
@@ -100,7 +106,9 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_pieces: int | Non
     """Adds ``sequence_id`` and ``offset`` to pieces ``(id, piece, start, length, ids_crc32)``.
 
     Every piece is placed once; offsets in a sequence are gapless from 0.  Without max_pieces or
-    max_cost those capacities are wide enough never to bind.  A piece longer than max_tokens,
+    max_cost those capacities never bind (as in op4 and the pipeline, whose task bounds tokens
+    only) and act through the weights of the norm alone.  Ties go to the smaller id, piece and
+    checksum.  A piece longer than max_tokens,
     or costlier than max_cost, can't be placed and is an error.  Null ids and repeated rows are
     pieces like others; an empty table gives none.
     """

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import table
+from wiretide.llm.common import materialize, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # from the leftmost AKIA of a run to its end, so shorter ones need not match
@@ -44,20 +44,51 @@ _BINS = 400
 _SPANS = "array<struct<s:int,e:int,kind:int,m:string>>"
 
 
+def _chunks(array: Column) -> Column:
+    """An array dealt into arrays of about the square root of its size, so that a running value costs no square of it."""
+    width = F.ceil(F.sqrt(F.size(array))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), F.size(array), width), lambda i: F.slice(array, i, width))
+    return F.when(F.size(array) > 0, pieces)
+
+
 def _spans(text: Column, found: Column, pattern: str, kind: str) -> Column:
     """Array of (start, end, kind, match), in code points, of the matches ``found`` of a pattern in text."""
     # split gives the gaps between matches; running place: each gap, then its match
     pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"))
+    return F.when(F.size(found) == 0, F.array().cast(_SPANS)).otherwise(_let(pairs, lambda x: _placed(x, KINDS.index(kind))))
+
+
+def _placed(pairs: Column, kind: int) -> Column:
+    """Spans of (gap g, match m) pairs that follow each other: places within a chunk first, then the chunks' places."""
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("s"), end.alias("e"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("m"))
+        span = F.struct(start.alias("s"), end.alias("e"), F.lit(kind).alias("kind"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    none = F.array().cast(_SPANS)
-    run = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
-    return F.when(F.size(found) == 0, none).otherwise(run["out"])
+    def after(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda y: F.struct((y["s"] + acc["at"]).alias("s"), (y["e"] + acc["at"]).alias("e"), y["kind"].alias("kind"), y["m"].alias("m")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    zero = F.lit(0).alias("at")
+    parts = F.transform(_chunks(pairs), lambda c: F.aggregate(c, F.struct(zero, F.array().cast(_SPANS).alias("out")), step))
+    return F.flatten(F.aggregate(parts, F.struct(zero, F.array().cast(f"array<{_SPANS}>").alias("out")), after)["out"])
+
+
+def _clear_of(spans: Column, base: Column) -> Column:
+    """Spans that overlap none of base.  Base, in order of starts, is looked up by chunks, each with its first start and last end."""
+
+    def hit(x: Column, y: Column) -> Column:
+        return (y["s"] < x["e"]) & (x["s"] < y["e"])
+
+    def block(c: Column) -> Column:
+        return F.struct(F.array_min(F.transform(c, lambda y: y["s"])).alias("s"), F.array_max(F.transform(c, lambda y: y["e"])).alias("e"), c.alias("c"))
+
+    def filtered(blocks: Column) -> Column:
+        return F.filter(spans, lambda x: ~F.exists(blocks, lambda b: hit(x, b) & F.exists(b["c"], lambda y: hit(x, y))))
+
+    return F.when(F.size(base) == 0, spans).otherwise(_let(F.transform(_chunks(base), block), filtered))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -87,18 +118,15 @@ def _with_parts(run: Column) -> Column:
     """
 
     def cut(separator: str) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + F.length(x)
-            span = F.struct(acc["at"].alias("s"), end.alias("e"), run["kind"].alias("kind"), x.alias("m"))
-            return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        parts = F.aggregate(F.split(run["m"], separator, -1), F.struct(run["s"].alias("at"), none.alias("out")), step)
-        return F.filter(parts["out"], lambda x: x["e"] - x["s"] >= 20)
+        pairs = F.transform(F.split(run["m"], separator, -1), lambda x, i: F.struct(F.when(i > 0, F.lit(" ")).otherwise(F.lit("")).alias("g"), x.alias("m")))
+        placed = F.filter(_placed(pairs, KINDS.index("random")), lambda x: (x["e"] - x["s"] >= 20) & (x["e"] - x["s"] < run["e"] - run["s"]))
+        return F.transform(placed, lambda x: F.struct((x["s"] + run["s"]).alias("s"), (x["e"] + run["s"]).alias("e"), x["kind"].alias("kind"), x["m"].alias("m")))
 
     none = F.array().cast(_SPANS)
-    paths = F.when(run["m"].contains("/"), cut("/")).otherwise(none)
-    mixed = F.when(_encoding(run["m"]).isNull(), F.concat(cut("[/+]"), cut("[_-]"))).otherwise(none)
-    return F.array_distinct(F.concat(F.array(run), paths, mixed))
+    # a part between "/" without "+" is also one between "/" and "+"
+    mixed = F.concat(F.filter(cut("/"), lambda x: x["m"].contains("+")), cut("[/+]"), cut("[_-]"))
+    parts = F.when(_encoding(run["m"]).isNull(), mixed).when(run["m"].contains("/"), cut("/")).otherwise(none)
+    return F.concat(F.array(run), parts)
 
 
 def battery(token: Column) -> Column:
@@ -173,35 +201,41 @@ def false_discovery_thresholds(tested: DataFrame, rate: float) -> list[float]:
     return out
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", fdr: float = FDR, with_text: bool = True) -> DataFrame:
     """Adds to ``docs`` the array ``spans`` of struct(s, e, kind, m): starts and ends in code points.
 
     kind is a place in KINDS.  Base spans: per kind leftmost non-overlapping matches; an
     assignment whose value has under 6 characters is dropped.  Random spans never overlap base
-    spans; they are whole runs or parts of runs, never one in another.  Null and empty texts have none; repeated rows are scanned alike; no row is shuffled.
-    A column of docs named spans is replaced.
+    spans; they are whole runs or parts of runs, never one in another.  Null and empty texts have
+    none; texts of any length are scanned whole, in time near the number of matches to the power
+    1.5 at worst; repeated rows are scanned alike, and an empty table stays empty.  No row is
+    shuffled: matches and p-values are stored once, then compared with the thresholds.  A column
+    of docs named spans is replaced, others are carried (text_col only if with_text).
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    found = docs.drop("spans", "_text", "_a", "_k", "_h", "_r", "_base", "_runs").withColumn("_text", text)
+    kept = [c for c in docs.columns if c != "spans" and (with_text or c != text_col)]
+    found = docs.select(F.struct(*[F.col(c) for c in kept]).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # what a pattern needs is looked for first: a key, a hex run or a random run lies in a long run of key characters
-    found = found.withColumn("_r", F.regexp_extract_all("_text", F.lit(RUN), F.lit(0)))
-    found = found.withColumn("_a", F.when(F.col("_text").contains("=") | F.col("_text").contains(":"), F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(0))).otherwise(none))
-    found = found.withColumn("_k", F.when((F.size("_r") > 0) & F.col("_text").contains("AKIA"), F.regexp_extract_all("_text", F.lit(ACCESS), F.lit(0))).otherwise(none))
-    found = found.withColumn("_h", F.when(F.size("_r") > 0, F.regexp_extract_all("_text", F.lit(HEX), F.lit(0))).otherwise(none))
-    body = F.col("_text")
-    assign = F.filter(_spans(body, F.col("_a"), ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
-    base = F.concat(assign, _spans(body, F.col("_k"), ACCESS, "access"), _spans(body, F.col("_h"), HEX, "hex"))
-    found = found.withColumn("_base", base).withColumn("_runs", _spans(body, F.col("_r"), RUN, "random")).drop("_text", "_a", "_k", "_h", "_r")
-    clear = F.filter(F.flatten(F.transform("_runs", _with_parts)), lambda r: ~F.exists("_base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    found = found.withColumn("_runs", F.filter(F.transform(clear, lambda r: F.struct(r.alias("span"), battery(r["m"]).alias("t"))), lambda x: x["t"].isNotNull()))
-    tested = found.select(F.explode("_runs").alias("r")).select("r.t.klass", "r.t.p")
+    found = found.withColumn("r", F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))
+    found = found.withColumn("a", F.when(F.col("text").contains("=") | F.col("text").contains(":"), F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0))).otherwise(none))
+    found = found.withColumn("k", F.when((F.size("r") > 0) & F.col("text").contains("AKIA"), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0))).otherwise(none))
+    found = found.withColumn("h", F.when(F.size("r") > 0, F.regexp_extract_all("text", F.lit(HEX), F.lit(0))).otherwise(none))
+    body = F.col("text")
+    assign = F.filter(_spans(body, F.col("a"), ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
+    found = found.select("doc", _in_order(F.concat(assign, _spans(body, F.col("k"), ACCESS, "access"), _spans(body, F.col("h"), HEX, "hex"))).alias("base"), _spans(body, F.col("r"), RUN, "random").alias("runs"))
+    tried = lambda r: F.filter(F.transform(_clear_of(_with_parts(r), F.col("base")), lambda x: F.struct(x.alias("span"), battery(x["m"]).alias("t"))), lambda x: x["t"].isNotNull())
+    found = materialize(found.select("doc", "base", F.filter(F.transform("runs", tried), lambda a: F.size(a) > 0).alias("runs")), "secrets")
+    tested = found.select(F.explode(F.flatten("runs")).alias("r")).select("r.t.klass", "r.t.p")
     limits = F.array(*[F.lit(x) for x in false_discovery_thresholds(tested, fdr)])
-    random = F.transform(F.filter("_runs", lambda x: x["t"]["p"] > F.element_at(limits, x["t"]["klass"] + 1)), lambda x: x["span"])
     # a part of a run that stays is in its span
     within = lambda x, y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (x["e"] - x["s"] < y["e"] - y["s"])
-    random = _let(random, lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: within(x, y))))
-    return found.withColumn("spans", F.array_sort(F.concat("_base", random), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["kind"] - b["kind"]))).drop("_base", "_runs")
+    random = lambda r: F.transform(F.filter(r, lambda x: x["t"]["p"] > F.element_at(limits, x["t"]["klass"] + 1)), lambda x: x["span"])
+    random = F.flatten(F.transform("runs", lambda r: _let(random(r), lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: within(x, y))))))
+    return found.select("doc.*", _in_order(F.concat("base", random)).alias("spans"))
+
+
+def _in_order(spans: Column) -> Column:
+    return F.array_sort(spans, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["kind"] - b["kind"]))
 
 
 def span_text(spans: Column) -> Column:
@@ -210,7 +244,7 @@ def span_text(spans: Column) -> Column:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan_secrets(table(spark, sf_dir, "documents"))
+    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     base = F.filter("spans", lambda x: x["kind"] < KINDS.index("random"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(kind))).cast("long")
     return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))

@@ -3,11 +3,17 @@
 A suffix array of the whole corpus fits no machine, so suffixes are first dealt into blocks.  Each
 window of min_len bytes is represented by its minimizer, the k-gram in it with the smallest hash:
 equal windows have equal minimizers, hence meet in one block.  Consecutive windows with one
-minimizer travel as one segment.  Segments equal in full are counted by hash; only segments that
-share a minimizer but differ need their bytes, which a suffix array then orders.  From it come the
-longest-previous-factor array, by previous and next smaller positions in suffix order, and its
-mirror image for later matches.  Minimizers met in very many different segments are resolved one
-window at a time instead, each window a segment of its own, so no block grows with the corpus.
+minimizer travel as one segment.  Segments equal in full form a class: one representative, with
+the class's number of copies, stands for them all.  A suffix array orders the suffixes of a
+block's classes; a class of several copies has each suffix once more, next to itself, for its
+later copies.  From the array come the longest-previous-factor array, by previous and next smaller
+positions in suffix order, and its mirror image for later matches; these decide every window, and
+what they say of a class's later copies goes to its members.
+
+A block of very many classes is split by a longer common core, as a k-gram extended on both sides:
+windows are dealt by their place about the minimizer into narrow ranges, and a range's block is
+what all its windows share.  What is still too large is split into single windows, whose core is
+the window itself, so that a block is one class.  No block grows with the corpus.
 """
 
 from __future__ import annotations
@@ -17,20 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import U64, Powers, as_binary, fmix, materialize, shuffle_partitions, table
+from wiretide.llm.common import HEAVY, U64, Powers, as_binary, codes, fmix, gathered, join_unique, materialize, row_key, shuffle_partitions, table
 from wiretide.llm.ngram_join import prefiltered
 
 #: Bytes walked at once.
 PIECE = 1 << 20
-#: Different segments of one minimizer beyond which its windows are resolved one by one.
-HOT_SEGMENTS = 1000
-#: Bytes of segments whose suffixes are sorted together, at least one minimizer's.
+#: Classes of a block beyond which it is split.
+SPLIT_ABOVE = 1000
+#: Neighbouring places of windows that stay together at each level of splitting; the last must be 1.
+WIDTHS = (8, 1)
+#: Bytes of segments whose suffixes are sorted together, at least one block's.
 SORT_BYTES = 2 << 20
-#: Neighbouring windows of such a segment that are first compared together.
-SLICE = 8
 _OFF = 1 << 20
 _POWERS: dict[int, Powers] = {}
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -84,8 +90,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, min_len: int) -> Iterator[tu
         brk = np.flatnonzero(new | ~valid)
         nxt = np.searchsorted(brk, starts, "right")
         stops = np.where(nxt < len(brk), brk[np.minimum(nxt, len(brk) - 1)], count)
-        q = _powers(1).prefix(raw)
-        ends = stops - 1 + min_len
+        # content: a polynomial over the mixed hashes of all k-grams, which have no structure of the bytes left
+        q = np.zeros(len(h) + 1, U64)
+        np.cumsum(h * _powers(1).up[: len(h)], out=q[1:])
+        ends = stops - k + min_len
         content = fmix(((q[ends] - q[starts]) * _powers(1).down[starts]) ^ (ends - starts).astype(U64))
         doc = np.searchsorted(offsets, starts + a, "right") - 1
         yield doc, starts + a - offsets[doc], stops - starts, h[at[starts]], content, at[starts] - starts
@@ -151,15 +159,16 @@ def _all_segments(docs: DataFrame, min_len: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(s[j]), pa.array(n[j]), pa.array(mh[j].view(np.int64)), pa.array(ch[j].view(np.int64))], ["rk", "id", "s", "n", "mh", "ch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("rk", "id", "text").mapInArrow(run, f"rk bigint, id {kind}, s bigint, n bigint, mh bigint, ch bigint")
+    return docs.select("rk", "id", "text").mapInArrow(run, f"rk binary, id {kind}, s bigint, n bigint, mh bigint, ch bigint")
 
 
 # -- suffix arrays -----------------------------------------------------------------------------
 
 
-def suffix_order(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, at: np.ndarray, depth: int, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array over the positions ``at`` by their first ``depth`` bytes, and LCPs with the one before, up to depth.
 
+    With a number of a block for each position, each block has an array of its own, one after the other.
     Ranks of substrings double in length: a rank of 2 L bytes is a pair of ranks of L bytes.
     """
     n = len(data)
@@ -178,7 +187,8 @@ def suffix_order(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarr
         levels.append((size, rank))
     tail = np.minimum(at + (depth - size), n - 1)
     key = (rank[at] << 32) | rank[tail]
-    sa = at[np.argsort(key, kind="stable")]
+    order = np.argsort(key, kind="stable") if block is None else np.lexsort((key, block))
+    sa = at[order]
     a, b = sa[:-1].copy(), sa[1:].copy()
     lcp = np.zeros(len(sa), np.int64)
     got = np.zeros(len(a), np.int64)
@@ -199,6 +209,8 @@ def suffix_order(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarr
         a[more] += 1
         b[more] += 1
     lcp[1:] = got
+    if block is not None:
+        lcp[1:][block[order][1:] != block[order][:-1]] = 0
     return sa, lcp
 
 
@@ -234,155 +246,196 @@ def factors(sa: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np
     return lpf, lnf
 
 
-def _matched_windows(min_len: int, first_stays: bool):
-    """Over segments sorted by minimizer, then place: ranges of windows that occur again (or before)."""
-
-    def solve(blobs: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"".join(blobs), np.uint8)
-        size = np.array([len(x) for x in blobs])
-        n = np.array(counts)
-        first = np.cumsum(size) - size
-        seg = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = first[seg] + inner
-        sa, lcp = suffix_order(data, at, min_len)
-        lpf, lnf = factors(sa, lcp, min_len)
+def _solve(data: np.ndarray, size: np.ndarray, n: np.ndarray, block: np.ndarray, copied: np.ndarray, min_len: int, first_stays: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(segment, from, to) of ranges of windows that occur again (or before), for first copies and then for later ones."""
+    first = np.cumsum(size) - size
+    seg = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = first[seg] + inner
+    sa, lcp = suffix_order(data, at, min_len, block[seg])
+    # a class of several copies has its suffixes twice: the later copies' stand right behind, alike to their whole depth
+    times = 1 + copied[np.searchsorted(first, sa, "right") - 1]
+    later = np.ones(int(times.sum()), bool)
+    later[np.cumsum(times) - times] = False
+    pos, common = np.repeat(sa, times), np.repeat(lcp, times)
+    common[later] = min_len
+    lpf, lnf = factors(pos + later * len(data), common, min_len)
+    again = lpf >= min_len if first_stays else (lpf >= min_len) | (lnf >= min_len)
+    for of in (False, True):
         hit = np.zeros(len(data) + 1, bool)
-        hit[sa] = lpf >= min_len if first_stays else (lpf >= min_len) | (lnf >= min_len)
+        hit[pos[later == of]] = again[later == of]
         mark = hit[at]
-        edge = np.flatnonzero(mark & np.concatenate([[True], ~mark[:-1] | (seg[1:] != seg[:-1])]))
-        stop = np.flatnonzero(mark & np.concatenate([~mark[1:] | (seg[1:] != seg[:-1]), [True]])) + 1
-        return seg[edge], inner[edge], inner[edge] + (stop - edge)
+        cut = seg[1:] != seg[:-1]
+        edge = np.flatnonzero(mark & np.concatenate([[True], ~mark[:-1] | cut]))
+        stop = np.flatnonzero(mark & np.concatenate([~mark[1:] | cut, [True]])) + 1
+        yield seg[edge], inner[edge], inner[edge] + (stop - edge), of
+
+
+_RANGES = "later boolean, level int, c1 bigint, c2 bigint, rk binary, s bigint, a bigint, b bigint"
+
+
+def _matched_windows(min_len: int, first_stays: bool):
+    """Over classes ``(k, level, c1, c2, rk, s, n, copies, bytes)`` sorted by block k: ranges of windows to remove, from the segment's start."""
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        c1, c2 = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+        new = np.ones(len(c1), bool)  # a repeated row brings a class again
+        new[1:] = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        k, level, c1, c2, rk, s, n, copies, raw = (c.combine_chunks() for c in rows.filter(pa.array(new)).columns)
+        data, offs = as_binary(raw)
+        key = np.frombuffer(as_binary(k)[0].tobytes(), U64).reshape(-1, 2)
+        block = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
+        for seg, a, b, later in _solve(data, np.diff(offs), n.to_numpy(), block, copies.to_numpy() > 1, min_len, first_stays):
+            if len(seg):
+                of = pa.array(seg)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seg), later)), *(x.take(of) for x in (level, c1, c2, rk, s)), pa.array(a), pa.array(b)], ["later", "level", "c1", "c2", "rk", "s", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rk: list[int] = []
-        s: list[int] = []
-        n: list[int] = []
-        blobs: list[bytes] = []
-        held, last, seen = 0, None, set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(blobs) > 1:
-                seg, a, b = solve(blobs, n)
-                if len(seg):
-                    start = np.array(s)[seg]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(rk)[seg]), pa.array(start + a), pa.array(start + b)], ["rk", "a", "b"])
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.frombuffer(as_binary(batch.column(0))[0].tobytes(), U64).reshape(-1, 2)
+            size += len(as_binary(batch.column(8))[0])
+            edges = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if held and (key[0] != last).any():
+                edges = np.concatenate([[0], edges])
+            if size >= SORT_BYTES and len(edges):  # up to the last block that may go on
+                end = int(edges[-1])
+                yield from flush([*held, batch.slice(0, end)] if end else held)
+                batch = batch.slice(end)
+                held, size = [], len(as_binary(batch.column(8))[0])
+            held.append(batch)
+            last = key[-1]
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
+
+def _narrower(width: int, min_len: int, id_type: pa.DataType):
+    """Cuts segments ``(id, rk, s, n, r, bytes)`` into ranges of windows by their place r about the minimizer; a range's block is what its windows share."""
+    types = [pa.binary(), pa.int64(), pa.int64(), id_type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["k", "c1", "c2", "id", "rk", "s", "n", "r", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mh, ch = (batch.column(i).to_pylist() for i in (0, 1))
-            cols = [batch.column(i).to_pylist() for i in range(2, 6)]
-            for i, m in enumerate(mh):
-                if m != last:
-                    if held >= SORT_BYTES:
-                        yield from flush()
-                        rk, s, n, blobs, held = [], [], [], [], 0
-                    last, seen = m, set()
-                if ch[i] in seen:  # a repeated row brought it twice
-                    continue
-                seen.add(ch[i])
-                rk.append(cols[0][i])
-                s.append(cols[1][i])
-                n.append(cols[2][i])
-                blobs.append(cols[3][i])
-                held += len(blobs[-1])
-        yield from flush()
+            out: list[list] = [[] for _ in types]
+            for key, rk, s, n, r, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for q in range(r // width, (r + n - 1) // width + 1):
+                    lo, hi = max(r, q * width), min(r + n, (q + 1) * width)
+                    # from the last place of the range to the end of its first window: within every one of its windows
+                    core = raw[(q + 1) * width - 1 - r : max(0, q * width - r + min_len)]
+                    part = raw[lo - r : hi - 1 - r + min_len]
+                    k = _digest(q.to_bytes(8, "little", signed=True), core)
+                    c = _digest(k, lo.to_bytes(8, "little", signed=True), part)
+                    row = (k, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), key, rk, s + lo - r, hi - lo, lo, part)
+                    for column, v in zip(out, row, strict=True):
+                        column.append(v)
+                if len(out[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+                    out = [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     return run
 
 
+def _fetched(min_len: int):
+    """Bytes of the segments listed with each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = as_binary(batch.column(1))
+            lists = batch.column(2)
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            ids, mh, ch, copies, s, n, split = lists.flatten().flatten()
+            s, (off, n) = s.to_numpy(), np.divmod(n.to_numpy(), _OFF)
+            block = codes(mh.to_numpy(), np.zeros(len(of), np.int64))
+            for i in range(0, len(of), 5000):
+                j = slice(i, i + 5000)
+                yield pa.RecordBatch.from_arrays(
+                    [block.slice(i, 5000), mh.slice(i, 5000), ch.slice(i, 5000), ids.slice(i, 5000), batch.column(0).take(pa.array(of[j])), pa.array(s[j]), pa.array(n[j]), pa.array(-off[j]), copies.slice(i, 5000), split.slice(i, 5000), gathered(data, offs[of[j]] + s[j], n[j] - 1 + min_len)],
+                    ["k", "c1", "c2", "id", "rk", "s", "n", "r", "copies", "split", "bytes"],
+                )
+
+    return run
+
+
+def _heavy(counts: DataFrame, size: str, total: int, on: list[str]) -> list[int]:
+    """Codes of the keys with over 1/HEAVY of all rows, from a table of counts by key."""
+    return [r[0] for r in counts.where(F.col(size) > total / HEAVY).select(F.xxhash64(*on)).collect()]
+
+
+def _split_marks(classes: DataFrame, block: str) -> DataFrame:
+    """``classes`` and whether their block has so many of them that it is split."""
+    wide = materialize(classes.groupBy(block).agg(F.count("*").alias("kinds")).where(F.col("kinds") > SPLIT_ABOVE), "wide")
+    if wide.isEmpty():
+        return classes.withColumn("split", F.lit(False))
+    marked = join_unique(classes, wide, [block], "left", _heavy(wide, "kinds", classes.count(), [block]))
+    return marked.withColumn("split", F.col("kinds").isNotNull()).drop("kinds")
+
+
 def repeated_spans(docs: DataFrame, min_len: int, keep: str) -> DataFrame:
     """``(rk, spans)``: for each text of ``docs(rk, id, text)`` with any, ranges of starts of windows to remove."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     first_stays = keep == "first"
     spark = docs.sparkSession
+    kind = docs.schema["id"].dataType.simpleString()
+    id_type = docs.select("id").limit(0).toArrow().schema.field(0).type
     twice = materialize(_repeated_minimizers(docs, min_len), "minimizers")
     segs = materialize(_all_segments(docs, min_len).join(twice, "mh", "left_semi"), "segments")
     classes = segs.groupBy("mh", "ch").agg(F.count("*").alias("copies"), F.min(F.struct("id", "rk", "s", "n")).alias("r"))
     classes = materialize(classes.select("mh", "ch", "copies", "r.id", "r.rk", "r.s", "r.n"), "classes")
-    many = materialize(classes.groupBy("mh").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
-
-    # segments equal in full: every copy goes, or every copy but the first
-    dup = classes.where("copies > 1").select("mh", "ch", F.col("rk").alias("first_rk"), F.col("s").alias("first_s"))
-    whole = segs.join(dup, ["mh", "ch"])
-    if first_stays:
-        whole = whole.where((F.col("rk") != F.col("first_rk")) | (F.col("s") != F.col("first_s")))
-    whole = whole.select("rk", F.col("s").alias("a"), (F.col("s") + F.col("n") % _OFF).alias("b"))
-
-    # segments that share a minimizer but differ: the first of each class brings its bytes
-    mixed = classes.join(many, "mh").select("rk", F.struct("mh", "ch", "copies", "id", "s", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot")).alias("x"))
-    lists = materialize(mixed.groupBy("rk").agg(F.collect_list("x").alias("xs")), "mixed")
-    kind = docs.schema["id"].dataType.simpleString()
+    # a table of members of classes for each level, and its heavy classes
+    members = [(segs.select(F.col("mh").alias("c1"), F.col("ch").alias("c2"), "rk", "s"), _heavy(classes, "copies", segs.count(), ["mh", "ch"]))]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = as_binary(batch.column(1))
-            out: list[list] = [[] for _ in range(9)]
-            for i, (rk, xs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                text = data[offs[i] : offs[i + 1]].tobytes()
-                for x in xs:
-                    off, n = divmod(x["n"], _OFF)
-                    if x["hot"]:
-                        # slices lie alike in every segment: by their place from the minimizer
-                        edge = [*range((off - n + 1) // SLICE, off // SLICE + 1)]
-                        for e in edge:
-                            lo, hi = max(0, off - e * SLICE - SLICE + 1), min(n, off - e * SLICE + 1)
-                            j = x["s"] + lo
-                            hashes = b"".join(hashlib.blake2b(text[j + i : j + i + min_len], digest_size=16).digest() for i in range(hi - lo))
-                            d = hashlib.blake2b(hashes, digest_size=16).digest()
-                            row = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), rk, x["id"], j, hi - lo, x["copies"], True, hashes)
-                            for c, v in zip(out, row, strict=True):
-                                c.append(v)
-                    else:
-                        row = (x["mh"], x["ch"], rk, x["id"], x["s"], n, x["copies"], False, text[x["s"] : x["s"] + n - 1 + min_len])
-                        for c, v in zip(out, row, strict=True):
-                            c.append(v)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-                    out = [[] for _ in range(9)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    names = ["k1", "k2", "rk", "id", "s", "n", "copies", "hot", "bytes"]
-    id_type = docs.select("id").limit(0).toArrow().schema.field(0).type
-    types = [pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    # the first of each class brings its bytes
+    lists = _split_marks(classes, "mh").select("rk", F.struct("id", "mh", "ch", "copies", "s", "n", "split").alias("x"))
+    lists = materialize(lists.groupBy("rk").agg(F.collect_list("x").alias("xs")), "lists")
+    schema = f"k binary, c1 bigint, c2 bigint, id {kind}, rk binary, s bigint, n bigint, r bigint, copies bigint, split boolean, bytes binary"
     with prefiltered(spark):
-        texts = docs.select("rk", "text").join(lists, "rk")
-        parts = texts.mapInArrow(cut, f"k1 bigint, k2 bigint, rk bigint, id {kind}, s bigint, n int, copies bigint, hot boolean, bytes binary")
-        parts = materialize(parts, "parts")
-    cold = parts.where("not hot").select("k1", "k2", "rk", "s", "n", "bytes", "id")
-    dealt = cold.repartition(shuffle_partitions(spark), "k1").sortWithinPartitions("k1", "id", "rk", "s").select("k1", "k2", "rk", "s", "n", "bytes")
-    sorted_out = dealt.mapInArrow(_matched_windows(min_len, first_stays), "rk bigint, a bigint, b bigint")
-    # windows of hot minimizers: equal slices are counted first, then the windows of each different slice
-    sliced = parts.where("hot").drop("hot").dropDuplicates(["k1", "k2", "rk", "s"])
-    kinds = sliced.groupBy("k1", "k2").agg(F.sum("copies").alias("total"), F.min(F.struct("id", "rk", "s", "n", "bytes")).alias("f"))
-    kinds = materialize(kinds, "slices")
-    again = kinds.where("total > 1").select("k1", "k2", F.col("f.rk").alias("first_rk"), F.col("f.s").alias("first_s"))
-    equal = sliced.select("k1", "k2", "rk", "s", "n").join(again, ["k1", "k2"])
-    if first_stays:
-        equal = equal.where((F.col("rk") != F.col("first_rk")) | (F.col("s") != F.col("first_s")))
-    equal = equal.select("rk", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
-
-    def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(3).to_numpy().astype(np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            key = np.frombuffer(as_binary(batch.column(4))[0].tobytes(), np.int64).reshape(-1, 2)
-            take = pa.array(of)
-            s = batch.column(2).to_numpy()[of] + inner
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), batch.column(0).take(take), batch.column(1).take(take), pa.array(s), batch.column(5).take(take)], ["w1", "w2", "id", "rk", "s", "total"])
-
-    windows = kinds.select("f.id", "f.rk", "f.s", "f.n", "f.bytes", "total").mapInArrow(unroll, f"w1 bigint, w2 bigint, id {kind}, rk bigint, s bigint, total bigint")
-    met = windows.groupBy("w1", "w2").agg(F.sum("total").alias("all"), F.min(F.struct("id", "rk", "s")).alias("first")).where("all > 1")
-    met = materialize(met.select("w1", "w2", F.col("first.rk").alias("first_rk"), F.col("first.s").alias("first_s")), "windows")
-    single = (windows if first_stays else windows.where("total = 1")).join(met, ["w1", "w2"])
-    if first_stays:
-        single = single.where((F.col("rk") != F.col("first_rk")) | (F.col("s") != F.col("first_s")))
-    single = single.select("rk", F.col("s").alias("a"), (F.col("s") + 1).alias("b")).unionByName(equal)
-    spans = whole.unionByName(sorted_out).unionByName(single)
+        level = materialize(docs.select("rk", "text").join(lists, "rk").mapInArrow(_fetched(min_len), schema), "representatives")
+    names = ["k", "level", "c1", "c2", "id", "rk", "s", "n", "copies", "bytes"]
+    blocks = None
+    for depth, width in enumerate((*WIDTHS, None)):
+        level = level.withColumn("level", F.lit(depth))
+        # a class of a block to be split still meets its own copies here, and the other classes in narrower ranges
+        own = F.when(F.col("split"), codes_of("c1", "c2")).otherwise(F.col("k"))
+        ready = level.where("not split or copies > 1").withColumn("k", own).select(*names)
+        blocks = ready if blocks is None else blocks.unionByName(ready)
+        cut = level.where("split").select("id", "rk", "s", "n", "r", "bytes")
+        if width is None or cut.isEmpty():
+            break
+        schema = f"k binary, c1 bigint, c2 bigint, id {kind}, rk binary, s bigint, n bigint, r bigint, bytes binary"
+        rows = materialize(cut.mapInArrow(_narrower(width, min_len, id_type), schema), "narrow")
+        kinds = rows.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "rk", "s", "n", "r", "k", "bytes")).alias("f"))
+        kinds = materialize(kinds.select("c1", "c2", "copies", "f.*"), "narrow-classes")
+        members.append((rows.select("c1", "c2", "rk", "s"), _heavy(kinds, "copies", rows.count(), ["c1", "c2"])))
+        level = _split_marks(kinds, "k")
+    dealt = blocks.repartition(shuffle_partitions(spark), "k").sortWithinPartitions("k", "id", "rk", "s").select("k", "level", "c1", "c2", "rk", "s", "n", "copies", "bytes")
+    found = materialize(dealt.mapInArrow(_matched_windows(min_len, first_stays), _RANGES), "ranges")
+
+    spans = found.where("not later").select("rk", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
+    for depth, (rows, heavy) in enumerate(members):
+        # a later copy matches its first in all windows, so a class has one range here, for all members but the first
+        later = found.where(F.col("later") & (F.col("level") == depth)).select("c1", "c2", F.col("rk").alias("first_rk"), F.col("s").alias("first_s"), "a", "b")
+        others = join_unique(rows, later, ["c1", "c2"], heavy=heavy).where((F.col("rk") != F.col("first_rk")) | (F.col("s") != F.col("first_s")))
+        spans = spans.unionByName(others.select("rk", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")))
     return materialize(spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
+def codes_of(*columns: str) -> Column:
+    """The columns' 64-bit values side by side, as bytes."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in columns]))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, keep: str = "first", with_text: bool = True) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of every row; kept (if with_text) holds the remaining bytes where any were removed, else null.
 
@@ -394,7 +447,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sort first.  Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id_col), text, F.lit(11)).alias("rk"), F.col(id_col).alias("id"), text.alias("text"))
+    rows = docs.select(row_key(F.col(id_col), text).alias("rk"), F.col(id_col).alias("id"), text.alias("text"))
     spans = repeated_spans(rows, min_len, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,10 +465,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 row = (rk, int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(left).hexdigest(), left)
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], ["rk", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], ["rk", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     with prefiltered(docs.sparkSession):
-        changed = rows.select("rk", "text").join(spans, "rk").mapInArrow(run, "rk bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        changed = rows.select("rk", "text").join(spans, "rk").mapInArrow(run, "rk binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
         changed = materialize(changed if with_text else changed.drop("kept"), "changed").dropDuplicates(["rk"])
     base = rows.select("rk", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha"))
     zero = F.lit(0).cast("long")

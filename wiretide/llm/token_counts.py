@@ -18,7 +18,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Counts are those of the tokenizer file without begin, end or added special tokens; special
     strings inside texts are handled as its default.  Null text counts as empty: 0 and 0.
-    Repeated rows are counted each; a null id stays null; other columns are ignored.
+    Texts of any length are counted whole, long ones in parts cut at safe boundaries.  Repeated
+    rows are counted each; a null id stays null; an empty table gives none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
