@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wiretide.functions import frames as R
 from wiretide.functions import protocols as L
-from wiretide.operators.reassembly import Cursor
+from wiretide.operators.reassembly import Direction
 from wiretide.sources.capture_file import packets_of
 
 
@@ -26,20 +26,21 @@ def one(spark, raw, *columns):
         ([(0xFFFFFFFE, b"AAAA"), (2, b"BBBB")], b"AAAABBBB", []),
     ],
 )
-def test_cursor(feeds, out, kinds):
-    c, got, seen = Cursor(), b"", []
-    for seq, data in feeds:
-        found, issue = c.feed(seq, data)
-        got += found
-        seen += [issue[0]] if issue else []
+def test_direction(feeds, out, kinds):
+    d, got, seen = Direction(), b"", []
+    for i, (seq, data) in enumerate(feeds):
+        row = d.row(("s",), i, seq, data)
+        got += row[2] if row else b""
+        seen += [row[3]] if row and row[3] else []
     assert (got, seen) == (out, kinds)
 
 
-def test_cursor_flush():
-    c = Cursor()
-    c.feed(1000, b"AAAA")
-    c.feed(1008, b"DDDD")
-    assert c.flush() == (b"DDDD", ("gap", 1004, "unfilled gap of 4 byte(s) at flush"))
+def test_end_of_direction():
+    d = Direction()
+    d.row(("s",), 1, 1000, b"AAAA")
+    d.row(("s",), 2, 1008, b"DDDD")
+    assert d.end(("s",)) == ("s", None, b"DDDD", "gap", 1004, "unfilled gap of 4 byte(s) at flush", 2)
+    assert d.end(("s",)) is None
 
 
 @pytest.mark.parametrize(
@@ -106,16 +107,12 @@ def test_stream_of_segments(spark):
 
     want = []
     rows = segments(W.tracked(packets(spark, "/root/testdata/sf0.001"))).orderBy("packet_id").collect()
-    cursors = {}
+    directions = {}
     for r in rows:
-        c = cursors.setdefault((r.session_id, r.flow_id, r.resp), Cursor())
-        data, issue = c.feed(r.seq, bytes(r.data))
-        if data or issue:
-            want.append((r.session_id, r.flow_id, r.resp, r.packet_id, data.decode(), *(issue or (None, None, None))))
-    for k, c in cursors.items():
-        if c.waiting:
-            data, issue = c.flush()
-            want.append((*k, None, data.decode(), *(issue or (None, None, None))))
+        key = (r.session_id, r.flow_id, r.resp)
+        want.append(directions.setdefault(key, Direction()).row(key, r.packet_id, r.seq, bytes(r.data)))
+    want += [d.end(k) for k, d in directions.items()]
+    want = [(*r[:4], r[4].decode(), *r[5:8]) for r in want if r]
     got = QUERIES["reassembly"](spark, "/root/testdata/sf0.001").select("session_id", "flow_id", "resp", "packet_id", "text", "issue", "at_seq", "detail").collect()
     assert {x[5] for x in want} >= {"gap", "overlap", None}
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
@@ -135,3 +132,19 @@ def test_reassembly_over_batches(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == {1: (b"AAAA", None), 3: (b"BBBBCCCC", None), 4: (b"", "retransmission")}
+
+
+def test_reassembly_ends_in_a_stream(spark, tmp_path):
+    """A row that is marked as the last of its direction brings out what waits behind a hole."""
+    from wiretide.streaming.flows import ROCKSDB, reassemble_stream, run_to_end
+
+    schema = "session_id string, flow_id long, resp boolean, packet_id long, seq long, data binary, last boolean"
+    for part in ([(1, 1000, b"AAAA", False), (2, 1008, b"CCCC", None)], [(3, None, None, True)]):
+        spark.createDataFrame([("s", 1, False, p, s, d and bytearray(d), e) for p, s, d, e in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = {(r.packet_id, bytes(r.data), r.issue, r.cause_packet) for r in run_to_end(reassemble_stream(stream), "append").collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == {(1, b"AAAA", None, None), (None, b"CCCC", "gap", 2)}

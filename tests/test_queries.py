@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 from wiretide.operators.analysis import domain_features
-from wiretide.plans import frame_queries
+from wiretide.plans import frame_queries, ingest_queries
 from wiretide.plans.oracle import ORACLE as PACKET_SQL
 from wiretide.plans.queries import QUERIES as PACKET_QUERIES
 
-QUERIES, ORACLE = PACKET_QUERIES | frame_queries.QUERIES, PACKET_SQL | frame_queries.ORACLE
+QUERIES, ORACLE = PACKET_QUERIES | frame_queries.QUERIES | ingest_queries.QUERIES, PACKET_SQL | frame_queries.ORACLE | ingest_queries.ORACLE
 
 SF = "/root/testdata/sf0.001"
 

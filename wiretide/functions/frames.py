@@ -5,6 +5,7 @@ Everything is built-in functions on the JVM, so parsing stays in one code-genera
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -211,23 +212,51 @@ def remap(raw: Column, macs: dict[str, str] | None = None, ips: dict[str, str] |
     """
     if any(not 0 <= p <= 65535 for p in (ports or {}).values()):
         raise ValueError("port out of range")
-    mac_hex = {k.replace(":", ""): v.replace(":", "") for k, v in (macs or {}).items()}
-    ip_hex = {"".join(f"{int(x):02x}" for x in k.split(".")): "".join(f"{int(x):02x}" for x in v.split(".")) for k, v in (ips or {}).items()}
+    mac_hex = {mac_octets(k): mac_octets(v) for k, v in (macs or {}).items()}
+    ip_hex = {ipv4_octets(k): ipv4_octets(v) for k, v in (ips or {}).items()}
     port_hex = {f"{k:04x}": f"{v:04x}" for k, v in (ports or {}).items()}
+    return _remapped(raw, lambda at, c: _swap(c, mac_hex), lambda at, c: _swap(c, ip_hex), lambda c: _swap(c, port_hex))
+
+
+def remap_to(raw: Column, dst_mac: Column, src_mac: Column, src_ip: Column, dst_ip: Column) -> Column:
+    """The frame with the given MACs (text with colons) and IPv4 addresses (text) in place of its own, where they are not null."""
+    macs, ips = {0: dst_mac, 6: src_mac}, {26: src_ip, 30: dst_ip}
+    mac = lambda at, c: F.coalesce(F.unhex(F.replace(macs[at], F.lit(":"))), c)
+    return _remapped(raw, mac, lambda at, c: F.coalesce(F.when(ips[at].isNotNull(), ipv4_bytes(ips[at])), c), lambda c: c)
+
+
+def mac_octets(text: str) -> str:
+    """Hexadecimal digits of a MAC; six parts of two digits, else ValueError."""
+    parts = text.split(":")
+    if len(parts) != 6 or any(not re.fullmatch("[0-9A-Fa-f]{2}", x) for x in parts):
+        raise ValueError(f"no MAC address: {text!r}")
+    return "".join(parts).lower()
+
+
+def ipv4_octets(text: str) -> str:
+    """Hexadecimal digits of an IPv4 address; four numbers up to 255, else ValueError."""
+    parts = text.split(".")
+    if len(parts) != 4 or any(not re.fullmatch("[0-9]{1,3}", x) or int(x) > 255 for x in parts):
+        raise ValueError(f"no IPv4 address: {text!r}")
+    return "".join(f"{int(x):02x}" for x in parts)
+
+
+def _remapped(raw: Column, mac: Callable[[int, Column], Column], ip: Callable[[int, Column], Column], port: Callable[[Column], Column]) -> Column:
+    """The frame with each address and port as the functions give it, and repaired checksums."""
     cut = lambda at, size: F.substring(raw, at + 1, F.lit(size))
     n = F.octet_length(raw)
-    link = F.concat(_swap(cut(0, 6), mac_hex), _swap(cut(6, 6), mac_hex), cut(12, 2))
+    link = F.concat(mac(0, cut(0, 6)), mac(6, cut(6, 6)), cut(12, 2))
     ihl = (_and(number(raw, 14, 1), 15) * 4).cast("int")
     base, proto, total = ihl + 14, number(raw, 23, 1), number(raw, 16, 2).cast("int")
     has_ports = proto.isin(6, 17) & (n >= base + 4)
     rest = F.substring(raw, base + 1, n)
     ports_now = F.substring(raw, base + 1, F.lit(4))
-    ports_new = F.concat(_swap(cut(base, 2), port_hex), _swap(cut(base + 2, 2), port_hex))
+    ports_new = F.concat(port(cut(base, 2)), port(cut(base + 2, 2)))
     length = F.when((total - ihl >= 4) & (n >= base + total - ihl), total - ihl).otherwise(n - base)
     place = F.when(proto == 6, 16).otherwise(6)
     first = (_and(number(raw, 20, 2), 0x1FFF) == 0) & (n >= base + place + 2) & ~((proto == 17) & (number(raw, base + 6, 2) == 0))
     new = F.struct(
-        F.concat(_swap(cut(26, 4), ip_hex), _swap(cut(30, 4), ip_hex)).alias("ip"),
+        F.concat(ip(26, cut(26, 4)), ip(30, cut(30, 4))).alias("ip"),
         F.when(has_ports, F.concat(ports_new, F.substring(rest, F.lit(5), n))).otherwise(rest).alias("segment"),
         (has_ports & (ports_now != ports_new)).alias("ports_changed"),
         F.struct(has_ports.alias("has_ports"), length.alias("length"), place.alias("place"), first.alias("first"), (proto == 17).alias("udp"), big_endian(proto, 1).alias("proto")).alias("t"),

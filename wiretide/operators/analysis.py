@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretide.operators.flows import LOSS
+from wiretide.operators.ordered import dealt, numbered, previous
 
 #: Fixed port categories.
 PORT_NAMES = {80: "web", 443: "web-alt", 8080: "web-alt2", 53: "dns", 25: "mail", 587: "mail-alt"}
@@ -41,8 +44,17 @@ def _side(flows: DataFrame, session: str, suffix: str) -> DataFrame:
 PAIR = ["protocol", "host_a", "port_a", "host_b", "port_b"]
 
 
+def _paired(flows: DataFrame, before: str, after: str, how: str) -> DataFrame:
+    """Flows of two sessions side by side by protocol and endpoints; a missing port equals a missing port."""
+    x, y = _side(flows, before, "before").alias("x"), _side(flows, after, "after").alias("y")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in PAIR]
+    j = x.join(y, functools.reduce(lambda a, b: a & b, same), how)
+    rest = [c for c in (*x.columns, *y.columns) if c not in PAIR]
+    return j.select(*[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in PAIR], *rest)
+
+
 def flow_diff(flows: DataFrame, before: str, after: str) -> DataFrame:
-    j = _side(flows, before, "before").join(_side(flows, after, "after"), PAIR, "full_outer")
+    j = _paired(flows, before, after, "full_outer")
     same = (F.col("packet_count_before") == F.col("packet_count_after")) & (F.col("bytes_before") == F.col("bytes_after")) & (F.col("state_before") == F.col("state_after"))
     status = F.when(F.col("packet_count_before").isNull(), "added").when(F.col("packet_count_after").isNull(), "removed").when(same, "unchanged").otherwise("changed")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -50,7 +62,7 @@ def flow_diff(flows: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def timing_diff(flows: DataFrame, before: str, after: str) -> DataFrame:
-    j = _side(flows, before, "before").join(_side(flows, after, "after"), PAIR)
+    j = _paired(flows, before, after, "inner")
     span = lambda s: F.greatest(F.lit(0), F.col(f"end_us_{s}") - F.col(f"start_us_{s}"))
     return j.select(*PAIR, span("before").alias("before_us"), span("after").alias("after_us"), (span("after") - span("before")).alias("delta_us"))
 
@@ -102,13 +114,14 @@ def loss_spans(events: DataFrame) -> DataFrame:
 
 def schedule(packets: DataFrame, speed: float = 1.0, cap: float | None = None, cap_first: bool = False) -> DataFrame:
     """Waits before each packet of a session: scaled then capped, or capped then scaled; the first is 0."""
-    w = Window.partitionBy("session_id").orderBy("ts_us", "packet_id")
-    gap = F.greatest(F.lit(0), F.col("ts_us") - F.coalesce(F.lag("ts_us").over(w), F.col("ts_us"))) / 1e6
+    order = ["ts_us", "packet_id"]
+    p = previous(dealt(packets.select("session_id", "packet_id", "ts_us"), order), order, "ts_us", "before")
+    gap = F.greatest(F.lit(0), F.col("ts_us") - F.coalesce("before", "ts_us")) / 1e6
     if cap is not None and cap_first:
         wait = F.least(gap, F.lit(cap)) / speed
     else:
         wait = gap / speed if cap is None else F.least(gap / speed, F.lit(cap))
-    return packets.select("session_id", "packet_id", "ts_us", wait.alias("wait"))
+    return p.select("session_id", "packet_id", "ts_us", wait.alias("wait"))
 
 
 def duplicate_acks(tracked: DataFrame) -> DataFrame:
@@ -124,8 +137,8 @@ def pseudonyms(packets: DataFrame) -> DataFrame:
     """``(session_id, address, token)``: addresses numbered in first-seen order, source before destination."""
     o = packets.select("session_id", "ts_us", "packet_id", F.posexplode(F.array("source", "destination")).alias("pos", "address")).where("address <> ''")
     first = o.groupBy("session_id", "address").agg(F.min(F.struct("ts_us", "packet_id", "pos")).alias("at"))
-    i = F.row_number().over(Window.partitionBy("session_id").orderBy("at")) - 1
-    return first.withColumn("i", i).select("session_id", "address", F.concat(F.lit("10.255."), F.floor(F.col("i") / 256).cast("string"), F.lit("."), (F.col("i") % 256).cast("string")).alias("token"))
+    placed = numbered(dealt(first, ["at"]), ["at"], "i").withColumn("i", F.col("i") - 1)
+    return placed.select("session_id", "address", F.concat(F.lit("10.255."), F.floor(F.col("i") / 256).cast("string"), F.lit("."), (F.col("i") % 256).cast("string")).alias("token"))
 
 
 def redact_ips(packets: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiretide.operators.ordered import dealt, numbered
+from wiretide.operators.scratch import materialize
+
 KEY = ["session_id", "protocol", "ka", "kb"]
 #: Fixed state names: fine state to coarse state.
 COARSE = {"SYN_SENT": "SYN", "SYN_RECEIVED": "SYN/ACK", "ESTABLISHED": "ESTABLISHED", "FIN_WAIT": "FIN", "CLOSE_WAIT": "FIN", "CLOSED": "CLOSED", "RESET": "RST"}
@@ -39,21 +42,17 @@ def rollup(packets: DataFrame) -> DataFrame:
     return g.select("session_id", "protocol", "f.source", "f.destination", "f.src_port", "f.dst_port", F.col("f.ts_us").alias("start_us"), "end_us", "packet_count", "bytes", F.col("f.packet_id").alias("first_packet"), "ka", "kb")
 
 
-def numbered(flows: DataFrame) -> DataFrame:
-    """Dense flow ids in first-seen order, within each session."""
-    return flows.withColumn("flow_id", F.row_number().over(Window.partitionBy("session_id").orderBy("first_packet")).cast("long"))
-
-
 def tracked(packets: DataFrame) -> DataFrame:
     """Every packet with its flow's id, initiator, direction, fine and coarse TCP state.
 
-    One shuffle by flow serves all windows.  State is the last decisive flag, promoted by a later
-    plain ACK; a reset hides its own SYN and FIN bits.
+    One shuffle by flow serves all windows; the result is stored, so flows and events come from one
+    pass.  State is the last decisive flag, promoted by a later plain ACK; a reset hides its own SYN
+    and FIN bits.  Flow ids are dense, in first-seen order within each session.
     """
     p = keyed(packets)
     w = Window.partitionBy(*KEY).orderBy("packet_id")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("init", F.first(F.struct("source", "src_port", "destination", "dst_port")).over(upto)).withColumn("n", F.row_number().over(w))
+    p = p.withColumn("init", F.first(F.struct("source", "src_port", "destination", "dst_port")).over(upto)).withColumn("n", F.row_number().over(w)).withColumn("first_packet", F.first("packet_id").over(upto))
     p = p.withColumn("resp", (F.col("source") == F.col("init.destination")) & (F.coalesce("src_port", F.lit(0)) == F.coalesce("init.dst_port", F.lit(0))))
     bit = lambda m: F.col("flags").bitwiseAND(F.lit(m)) != 0
     tcp = F.col("protocol") == "TCP"
@@ -71,34 +70,50 @@ def tracked(packets: DataFrame) -> DataFrame:
     state = F.when(F.col("last").isin("SYN_SENT", "SYN_RECEIVED") & (F.col("ack_n") > F.col("last_n")), "ESTABLISHED").otherwise(F.coalesce("last", F.lit("NONE")))
     p = p.withColumn("tcp_state", state).withColumn("state", mapped(state, COARSE, F.lit("NONE")))
     p = p.withColumn("previous", F.lag("state", 1, "NONE").over(w))
-    ids = numbered(rollup(packets)).select(*KEY, "flow_id")
-    return p.drop("cs", "ss", "cf", "sf", "abs", "plain", "last", "last_n", "ack_n").join(ids, KEY)
+    p = materialize(p.drop("cs", "ss", "cf", "sf", "abs", "plain", "last", "last_n", "ack_n", "ka", "kb"), "tracked")
+    starts = dealt(p.where("n = 1").select("session_id", "first_packet"), ["first_packet"])
+    ids = numbered(starts, ["first_packet"], "flow_id").select("session_id", "first_packet", "flow_id")
+    return p.join(ids, ["session_id", "first_packet"]).drop("first_packet")
+
+
+def flows_of(tracked: DataFrame) -> DataFrame:
+    """One row a flow of tracked packets, with its last state."""
+    g = tracked.groupBy("session_id", "flow_id", "protocol", "init")
+    g = g.agg(F.min_by("ts_us", "packet_id").alias("start_us"), F.max_by("ts_us", "packet_id").alias("end_us"), F.count("*").alias("packet_count"), F.sum("length").alias("bytes"), F.max_by("state", "packet_id").alias("state"))
+    return g.select("session_id", "protocol", "init.source", "init.destination", "init.src_port", "init.dst_port", "start_us", "end_us", "packet_count", "bytes", "flow_id", "state")
 
 
 def flows(packets: DataFrame) -> DataFrame:
-    t = tracked(packets)
-    last = t.groupBy("session_id", "flow_id").agg(F.max_by("state", "packet_id").alias("state"))
-    return numbered(rollup(packets)).join(last, ["session_id", "flow_id"]).drop("ka", "kb", "first_packet")
+    return flows_of(tracked(packets))
 
 
-def events(packets: DataFrame) -> DataFrame:
-    """The timeline: several events of one packet in fixed order from one scan, numbered in insertion order."""
-    t = tracked(packets)
+def packet_events(tracked: DataFrame) -> DataFrame:
+    """Events of each packet in fixed order, from one scan: start of its flow, TCP transition, then its messages.
+
+    ``messages`` of the packets, where there are any, is an array of struct(event_type, summary).
+    """
     a, b = endpoint(F.col("init.source"), F.col("init.src_port")), endpoint(F.col("init.destination"), F.col("init.dst_port"))
-    k = F.col("k").cast("string")
-    host = F.concat(F.lit("h"), k, F.lit(".example.com"))
-    dns = F.when(F.col("k") % 2 == 0, F.concat(F.lit("DNS QUERY "), host, F.lit(" (A)"))).otherwise(F.concat(F.lit("DNS RESPONSE "), host, F.lit(" rcode=0 answers=203.0.113."), (F.col("k") % 5 + 1).cast("string")))
-    n = F.col("length").cast("string")
     make = lambda when, kind, text: F.when(when, F.struct(kind.alias("event_type"), text.alias("summary")))
     tcp = F.col("protocol") == "TCP"
-    found = F.array(
+    own = F.array(
         make(F.col("n") == 1, F.col("protocol"), F.concat(F.col("protocol"), F.lit(" flow "), a, F.lit(" -> "), b)),
-        make(tcp & (F.col("state") != F.col("previous")), F.lit("TCP"), F.concat(F.lit("TCP "), a, F.lit(" -> "), b, F.lit(" ["), F.col("state"), F.lit("]"))),
-        make(F.col("protocol") == "DNS", F.lit("DNS"), dns),
-        make(tcp & (F.col("k") == 11), F.lit(LOSS[0]), F.concat(F.lit("missing "), n, F.lit(" byte(s) in gap"))),
-        make(tcp & (F.col("k") == 7), F.lit(LOSS[1]), F.concat(F.lit("retransmitted "), n, F.lit(" byte(s) at seq="), F.col("packet_id").cast("string"))),
-        make(tcp & (F.col("k") == 13), F.lit(LOSS[2]), F.concat(F.lit("overlap of "), n, F.lit(" byte(s)"))),
+        make(tcp & (F.col("state") != F.col("previous")) & (F.col("state") != "NONE"), F.lit("TCP"), F.concat(F.lit("TCP "), a, F.lit(" -> "), b, F.lit(" ["), F.col("state"), F.lit("]"))),
     )
-    e = t.select("session_id", "packet_id", "ts_us", "flow_id", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("pos", "e"))
-    order = Window.partitionBy("session_id").orderBy("packet_id", "pos")
-    return e.select("session_id", F.row_number().over(order).cast("long").alias("event_id"), "packet_id", "ts_us", "flow_id", "e.event_type", "e.summary")
+    found = F.concat(own, F.coalesce("messages", F.array().cast("array<struct<event_type:string,summary:string>>"))) if "messages" in tracked.columns else own
+    e = tracked.select("session_id", "packet_id", "ts_us", "flow_id", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("pos", "e"))
+    return e.select("session_id", "packet_id", "ts_us", "flow_id", "pos", "e.event_type", "e.summary")
+
+
+def in_insertion_order(events: DataFrame) -> DataFrame:
+    """Events ``(.., packet_id, pos)`` numbered by packet and place; those without a packet come last."""
+    e = events.withColumn("at", F.coalesce("packet_id", F.lit((1 << 63) - 1)))
+    return numbered(dealt(e, ["at", "pos"]), ["at", "pos"], "event_id").select("session_id", "event_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
+
+
+def events_of(tracked: DataFrame) -> DataFrame:
+    return in_insertion_order(packet_events(tracked))
+
+
+def events(packets: DataFrame) -> DataFrame:
+    """The timeline of packets, numbered in insertion order."""
+    return events_of(tracked(packets))

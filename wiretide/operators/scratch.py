@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext._jsc.sc()
+        if not context.getCheckpointDir().isDefined() and spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not context.getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wiretide-"))
         base = context.getCheckpointDir().get()

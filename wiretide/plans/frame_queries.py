@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wiretide.functions import frames as R
 from wiretide.functions import protocols as L
+from wiretide.functions.dispatch import applications
 from wiretide.operators import flows as W
 from wiretide.operators.reassembly import reassemble
 from wiretide.operators.scratch import materialize, shared_folder
@@ -46,7 +47,7 @@ def http_messages(s, d):
 
 
 def tls_hellos(s, d):
-    p = _parsed(s, d).where("payload is not null").select("packet_id", L.tls(F.col("payload")).alias("m")).where("m.version is not null")
+    p = applications(_parsed(s, d)).where("tls is not null").select("packet_id", F.col("tls").alias("m"))
     return p.select("packet_id", "m.version", "m.handshake", "m.sni", L.tls_summary(F.col("m")).alias("summary"))
 
 

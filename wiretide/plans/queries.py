@@ -11,6 +11,7 @@ from wiretide.functions.display_filter import apply_filter
 from wiretide.operators import analysis as A
 from wiretide.operators import flows as W
 from wiretide.operators import graph as G
+from wiretide.operators import ordered as O  # noqa: N812
 from wiretide.sources.adapter import packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,12 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return W.events(packets(s, d))
 
 
+def _flows_events(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Flows and events of one pass over the packets."""
+    t = W.tracked(packets(s, d))
+    return W.flows_of(t).select(*FLOW), W.events_of(t)
+
+
 def _span(s: SparkSession, d: str) -> DataFrame:
     """One row: first and last time of all packets."""
     return packets(s, d).agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
@@ -102,16 +109,16 @@ def event_type_counts(s, d):
 
 @query
 def stats(s, d):
-    p = packets(s, d)
-    return A.session_stats(p, W.flows(p), W.events(p))
+    t = W.tracked(packets(s, d))
+    return A.session_stats(t, W.flows_of(t), W.events_of(t))
 
 
 @query
 def session_info(s, d):
-    p = packets(s, d)
-    e = W.events(p).groupBy("session_id").agg(F.count("*").alias("events"))
-    f = W.rollup(p).groupBy("session_id").agg(F.count("*").alias("flows"))
-    return p.groupBy("session_id").agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")).join(f, "session_id").join(e, "session_id")
+    t = W.tracked(packets(s, d))
+    e = W.packet_events(t).groupBy("session_id").agg(F.count("*").alias("events"))
+    p = t.groupBy("session_id").agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count_if(F.col("n") == 1).alias("flows"))
+    return p.join(e, "session_id", "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
 @query
@@ -206,47 +213,48 @@ def event_diff(s, d):
 
 @query
 def identical(s, d):
-    f = A.flow_diff(_flows(s, d), "s0", "s1").agg(F.coalesce(F.bool_and(F.col("status") == "unchanged"), F.lit(True)).alias("flows_same"))
-    e = A.event_diff(_events(s, d), "s0", "s1").agg(F.coalesce(F.bool_and(F.col("delta") == 0), F.lit(True)).alias("events_same"))
+    f, e = _flows_events(s, d)
+    f = A.flow_diff(f, "s0", "s1").agg(F.coalesce(F.bool_and(F.col("status") == "unchanged"), F.lit(True)).alias("flows_same"))
+    e = A.event_diff(e, "s0", "s1").agg(F.coalesce(F.bool_and(F.col("delta") == 0), F.lit(True)).alias("events_same"))
     return f.join(F.broadcast(e)).select((F.col("flows_same") & F.col("events_same")).alias("identical"))
 
 
 @query
 def domain_fingerprint(s, d):
     """Names of the first 50,000 events of a session, as its SQL and the reference have it."""
-    return A.domain_features(_flows(s, d), _events(s, d), SQL_EVENTS)
+    return A.domain_features(*_flows_events(s, d), SQL_EVENTS)
 
 
 @query
 def domain_fingerprint_all(s, d):
-    return A.domain_features(_flows(s, d), _events(s, d))
+    return A.domain_features(*_flows_events(s, d))
 
 
 @query
 def behaviour_fingerprint(s, d):
-    return A.pattern_features(_flows(s, d), _events(s, d))
+    return A.pattern_features(*_flows_events(s, d))
 
 
 @query
 def similar_sessions(s, d):
-    c = A.cosine_to(A.domain_features(_flows(s, d), _events(s, d), SQL_EVENTS), A.DOMAIN_WEIGHTS, "s0")
+    c = A.cosine_to(A.domain_features(*_flows_events(s, d), SQL_EVENTS), A.DOMAIN_WEIGHTS, "s0")
     return c.where("score > 0").orderBy(F.col("score").desc(), "session_id").limit(10)
 
 
 @query
 def similar_sessions_all(s, d):
-    c = A.cosine_to(A.domain_features(_flows(s, d), _events(s, d)), A.DOMAIN_WEIGHTS, "s0")
+    c = A.cosine_to(A.domain_features(*_flows_events(s, d)), A.DOMAIN_WEIGHTS, "s0")
     return c.where("score > 0").orderBy(F.col("score").desc(), "session_id").limit(10)
 
 
 @query
 def similar_incidents(s, d):
-    return A.cosine_to(A.pattern_features(_flows(s, d), _events(s, d)), A.PATTERN_WEIGHTS, "s0")
+    return A.cosine_to(A.pattern_features(*_flows_events(s, d)), A.PATTERN_WEIGHTS, "s0")
 
 
 @query
 def probe_search(s, d):
-    f = A.pattern_features(_flows(s, d), _events(s, d)).groupBy("session_id").agg(F.collect_set(F.when(F.col("kind") == "event", F.col("feature"))).alias("ev"), F.collect_set(F.when(F.col("kind") == "proto", F.col("feature"))).alias("pr"), F.sum("count").alias("score"))
+    f = A.pattern_features(*_flows_events(s, d)).groupBy("session_id").agg(F.collect_set(F.when(F.col("kind") == "event", F.col("feature"))).alias("ev"), F.collect_set(F.when(F.col("kind") == "proto", F.col("feature"))).alias("pr"), F.sum("count").alias("score"))
     return f.where(F.arrays_overlap("ev", F.array(F.lit("STREAM_GAP"))) & F.arrays_overlap("pr", F.array(F.lit("TCP"), F.lit("UDP")))).select("session_id", "score")
 
 
@@ -265,15 +273,15 @@ def loss_report(s, d):
 def integrity(s, d):
     g = _events(s, d).groupBy("session_id").agg(F.count_if(F.col("event_type") == "STREAM_GAP").alias("gaps"))
     m = packets(s, d).groupBy("session_id").agg(F.count_if(F.col("length") < 20).alias("malformed"))
-    j = m.join(g, "session_id")
+    j = m.join(g, "session_id", "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
     return j.select("session_id", "gaps", "malformed", F.when(F.col("malformed") == 0, "complete").otherwise("partial").alias("status"), ((F.col("malformed") == 0) & (F.col("gaps") == 0)).alias("is_complete"))
 
 
 @query
 def story_gaps(s, d):
-    e = _events(s, d)
-    w = Window.partitionBy("session_id").orderBy("ts_us", "event_id")
-    return e.select("session_id", "event_id", (F.greatest(F.lit(0), F.col("ts_us") - F.coalesce(F.lag("ts_us").over(w), F.col("ts_us"))) / 2e6).alias("wait"))
+    order = ["ts_us", "event_id"]
+    e = O.previous(O.dealt(_events(s, d).select("session_id", *order), order), order, "ts_us", "before")
+    return e.select("session_id", "event_id", (F.greatest(F.lit(0), F.col("ts_us") - F.coalesce("before", "ts_us")) / 2e6).alias("wait"))
 
 
 @query
@@ -293,17 +301,18 @@ def build_schedule(s, d):
 
 @query
 def virtual_clock(s, d):
-    p = A.schedule(packets(s, d), 1.0)
-    w = Window.partitionBy("session_id").orderBy("ts_us", "packet_id").rowsBetween(Window.unboundedPreceding, 0)
-    return p.select("session_id", "packet_id", F.sum(F.bround(F.col("wait") * 1e6).cast("long")).over(w).alias("clock_us"))
+    p = A.schedule(packets(s, d), 1.0).withColumn("us", F.bround(F.col("wait") * 1e6).cast("long"))
+    order = ["ts_us", "packet_id"]
+    return O.summed(O.dealt(p, order), order, "us", "clock_us").select("session_id", "packet_id", "clock_us")
 
 
 @query
 def replay_offset_limit(s, d):
-    w = Window.partitionBy("session_id").orderBy("ts_us", "packet_id")
-    p = packets(s, d).withColumn("rn", F.row_number().over(w)).where("rn > 20").withColumn("ok", F.col("length") > 45)
-    done = F.coalesce(F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return p.withColumn("done", done).where("done < 30").select("session_id", "packet_id", "ok")
+    order = ["ts_us", "packet_id"]
+    p = O.numbered(O.dealt(packets(s, d).select("session_id", *order, "length"), order), order, "rn")
+    p = p.withColumn("ok", F.col("length") > 45).withColumn("sent", F.when((F.col("rn") > 20) & F.col("ok"), 1).otherwise(0))
+    p = O.summed(p, order, "sent", "done").where("rn > 20 and done - sent < 30")
+    return p.select("session_id", "packet_id", "ok")
 
 
 @query
@@ -373,8 +382,8 @@ def redact_text(s, d):
 
 @query
 def regression_checks(s, d):
-    p = packets(s, d)
-    return A.regression_checks(A.session_stats(p, W.flows(p), W.events(p)), [("min_packets", "packets", 100), ("max_resets", "resets", 40), ("min_flows", "flows", 10**9), ("max_retransmissions", "retransmissions", 10**6)])
+    t = W.tracked(packets(s, d))
+    return A.regression_checks(A.session_stats(t, W.flows_of(t), W.events_of(t)), [("min_packets", "packets", 100), ("max_resets", "resets", 40), ("min_flows", "flows", 10**9), ("max_retransmissions", "retransmissions", 10**6)])
 
 
 @query

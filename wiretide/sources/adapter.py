@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretide.functions.frames import big_endian, build, octets
@@ -52,9 +52,26 @@ def project(e: DataFrame) -> DataFrame:
         "length",
         flags.alias("flags"),
         "k",
+        _messages().alias("messages"),
     )
 
 
+def _messages() -> Column:
+    """What this table's packets say, by k, as a decoder and a reassembler would report it."""
+    k, n = F.col("k").cast("string"), F.col("length").cast("string")
+    host = F.concat(F.lit("h"), k, F.lit(".example.com"))
+    dns = F.when(F.col("k") % 2 == 0, F.concat(F.lit("DNS QUERY "), host, F.lit(" (A)"))).otherwise(F.concat(F.lit("DNS RESPONSE "), host, F.lit(" rcode=0 answers=203.0.113."), (F.col("k") % 5 + 1).cast("string")))
+    make = lambda when, kind, text: F.when(when, F.struct(F.lit(kind).alias("event_type"), text.alias("summary")))
+    tcp = F.col("protocol") == "TCP"
+    said = F.array(
+        make(F.col("protocol") == "DNS", "DNS", dns),
+        make(tcp & (F.col("k") == 11), "STREAM_GAP", F.concat(F.lit("missing "), n, F.lit(" byte(s) in gap"))),
+        make(tcp & (F.col("k") == 7), "STREAM_RETRANSMISSION", F.concat(F.lit("retransmitted "), n, F.lit(" byte(s) at seq="), F.col("packet_id").cast("string"))),
+        make(tcp & (F.col("k") == 13), "STREAM_OVERLAP", F.concat(F.lit("overlap of "), n, F.lit(" byte(s)"))),
+    )
+    return F.filter(said, lambda x: x.isNotNull())
+
+
 def frames(packets: DataFrame) -> DataFrame:
     """The packets as Ethernet frames with messages of their service: DNS, HTTP, a ClientHello, or filler."""
     k = F.col("k").cast("string")

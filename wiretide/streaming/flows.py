@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wiretide.operators.flows import rollup
-from wiretide.operators.reassembly import DIRECTION, OUTPUT, Cursor
+from wiretide.operators.reassembly import DIRECTION, OUTPUT, Direction, Piece, packed, segments_of
 from wiretide.operators.scratch import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,37 +30,43 @@ def rates(packets: DataFrame, width: str = "1 hour", late: str = "10 minutes") -
 
 
 class Reassembler(StatefulProcessor):
-    """Cursor of one direction over micro-batches; batches arrive in capture order, rows inside are sorted here.
+    """Stream of one direction over micro-batches; batches arrive in capture order, rows inside are sorted here.
 
     State is the next sequence number and at most one waiting segment.  A batch's size bounds memory.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("cursor", "next long, seq long, data binary")
+        self.state = handle.getValueState("edge", "next long, seq long, data binary, packet long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        cursor = Cursor()
+        direction = Direction()
         if self.state.exists():
-            cursor.next, seq, data = self.state.get()
-            cursor.waiting = [(seq, bytes(data))] if seq is not None else []
+            edge, seq, data, packet = self.state.get()
+            direction = Direction(edge, [Piece(seq, bytes(data), packet)] if seq is not None else [])
         out = []
         batch = pd.concat(list(rows)).sort_values(["packet_id", "seq"])
-        for packet, seq, data in zip(batch["packet_id"], batch["seq"], batch["data"], strict=True):
-            found, issue = cursor.feed(int(seq), bytes(data))
-            if found or issue:
-                out.append((*key, packet, found, *(issue or (None, None, None))))
-        seq, data = cursor.waiting[0] if cursor.waiting else (None, None)
-        self.state.update((cursor.next, seq, data))
-        names = [c.split()[0] for c in OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({"packet_id": "int64", "at_seq": "Int64"})
+        for packet, seq, data, last in zip(batch["packet_id"], batch["seq"], batch["data"], batch["last"], strict=True):
+            if seq == seq and data is not None and len(data):
+                out.append(direction.row(key, int(packet), int(seq), bytes(data)))
+            if last:
+                out.append(direction.end(key))
+        if len(batch) and direction.edge is not None:
+            seq, data, packet = direction.waiting[0] if direction.waiting else (None, None, None)
+            self.state.update((direction.edge, seq, data, packet))
+        yield packed([r for r in out if r])
 
     def close(self) -> None:
         pass
 
 
 def reassemble_stream(segments: DataFrame) -> DataFrame:
-    """Contiguous bytes and issues as segments arrive; needs the RocksDB state store.  What waits at a stream's end stays in its state."""
-    s = segments.selectExpr("session_id", "cast(flow_id as long) flow_id", "resp", "cast(packet_id as long) packet_id", "cast(seq as long) seq", "data").where("octet_length(data) > 0 and seq is not null")
+    """Contiguous bytes and issues as segments arrive; needs the RocksDB state store.
+
+    A row with ``last`` true ends its direction after its own data, if any: what waits behind a hole
+    then comes out as it does at the end of a batch.  Without such a column nothing ends.
+    """
+    last = "coalesce(last, false) last" if "last" in segments.columns else "false last"
+    s = segments_of(segments, last).where("last or octet_length(data) > 0 and seq is not null")
     return s.groupBy(*DIRECTION).transformWithStateInPandas(Reassembler(), OUTPUT, "Append", "None")
 
 
