@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,16 @@ def as_binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about ``most`` bytes, so that work space does not follow a batch's size."""
+    ends = as_binary(batch.column(column))[1]
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Binary array of the slices of ``data`` that start at ``starts``."""
     ends = np.cumsum(lengths)

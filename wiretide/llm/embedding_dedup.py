@@ -4,8 +4,9 @@ Unit vectors are rotated at random and split into blocks.  If two lie within squ
 then in some block they lie within that block's share of d2.  Each block is range-joined: a few of
 its coordinates span a grid of cells twice as wide as the block's radius, and a vector goes to
 every cell that its box of half the radius each way meets, so two vectors within the radius share
-the cell of their greater lower corners.  Candidates are verified exactly on the original vectors,
-and each pair counts in its first block and in that one cell only.
+the cell of their greater lower corners.  Only ids and a block's own coordinates go to cells.  The
+union of all blocks' candidate pairs is formed, each pair with the first cell it was found in; the
+original vectors are then fetched once for each such cell, and every pair is verified exactly.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import materialize, shuffle_partitions, table
+from wiretide.llm.common import as_binary, join_unique, materialize, row_key, shuffle_partitions, table
 from wiretide.llm.components import connected_components
-from wiretide.llm.vectors import usable
+from wiretide.llm.vectors import matrix, usable
 
 BLOCKS = 8
 #: Vectors of a cell compared in one task; larger cells are dealt into chunks, and pairs of chunks to tasks.
@@ -42,106 +44,145 @@ def _budget(dim: int, sl: slice, min_cos: float) -> float:
     return (2.0 - 2.0 * min_cos) * (sl.stop - sl.start) / dim + _SLACK
 
 
-_CELLS = "node bigint, copies bigint, grp bigint, block int, low array<int>, cell array<int>, turned binary, vec binary"
+_CELLS = "node binary, grp bigint, dim int, block int, low array<int>, cell array<int>, place binary"
 
 
 def _to_cells(min_cos: float):
+    """``(node, dim, grid, v, grp)`` -> cells of each block, with the block's coordinates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, copies, grp, dims, grid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            vectors = batch.column(5)
+            dims, grid = (batch.column(i).to_numpy() for i in (1, 2))
             for dim, g in sorted(set(zip(dims.tolist(), grid.tolist(), strict=True))):
                 idx = np.flatnonzero((dims == dim) & (grid == g))
-                x = np.asarray(vectors.take(pa.array(idx)).flatten()).astype(np.float64).reshape(-1, dim)
-                # scaled first, so that squares neither overflow nor vanish
-                unit = x / np.abs(x).max(1, keepdims=True)
-                unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-                turned = (unit @ _rotation(dim)).astype(np.float32)
+                node, grp = (batch.column(c).take(pa.array(idx)) for c in (0, 4))
+                turned = (_units(matrix(batch.column(3).take(pa.array(idx)), dim)) @ _rotation(dim)).astype(np.float32)
                 for b, sl in enumerate(_block_slices(dim)):
                     r = np.sqrt(_budget(dim, sl, min_cos))
-                    y = turned[:, sl][:, :g].astype(np.float64)
+                    block = np.ascontiguousarray(turned[:, sl])
+                    y = block[:, :g].astype(np.float64)
                     low, high = np.floor((y - r / 2) / (2 * r)).astype(np.int32), np.floor((y + r / 2) / (2 * r)).astype(np.int32)
                     for corner in itertools.product((0, 1), repeat=y.shape[1]):
                         step = np.array(corner, np.int32)
                         at = np.flatnonzero(((step == 0) | (high > low)).all(1))
-                        for s in range(0, len(at), 2000):
-                            k = at[s : s + 2000]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(node[idx[k]]), pa.array(copies[idx[k]]), pa.array(grp[idx[k]]), pa.array(np.full(len(k), b, np.int32)), pa.array(list(low[k]), pa.list_(pa.int32())), pa.array(list(low[k] + step), pa.list_(pa.int32())), pa.array([t.tobytes() for t in turned[k]], pa.binary()), pa.array([t.tobytes() for t in unit[k]], pa.binary())],
-                                ["node", "copies", "grp", "block", "low", "cell", "turned", "vec"],
-                            )
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), grp.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), b, np.int32)), _lists(low[at]), _lists(low[at] + step), _bytes(block[at])], ["node", "grp", "dim", "block", "low", "cell", "place"])
 
     return run
 
 
-def _join_cells(min_cos: float):
-    """Rows sorted by (cell, i, j): links within a chunk, or between two chunks of a large cell."""
-
-    def solve(rows: list[tuple], i: int, j: int) -> pa.RecordBatch | None:
-        node = np.array([r[0] for r in rows])
-        copies = np.array([r[1] for r in rows])
-        grp = np.array([r[2] for r in rows])
-        block = rows[0][3]
-        low = np.array([r[4] for r in rows])
-        cell = np.array([r[5] for r in rows])
-        chunk = np.array([r[6] for r in rows])
-        turned = np.stack([np.frombuffer(r[7], np.float32) for r in rows]).astype(np.float64)
-        unit = np.stack([np.frombuffer(r[8], np.float64) for r in rows])
-        dim = turned.shape[1]
-        slices = _block_slices(dim)
-        sl, n = slices[block], len(rows)
-        y = turned[:, sl]
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, scaled first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * x.strides[0]), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows that share their first ``keys`` columns, one table a group, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for a, b in itertools.pairwise(cuts):
+            if held and (key[a] != last).any():
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+_PAIRS = "u binary, v binary, block int, key bigint, i int, j int"
+
+
+def _candidates(min_cos: float):
+    """Rows ``(key, i, j, block, chunk, dim, node, low, cell, place)`` sorted by (key, i, j): pairs within the block's share of the distance."""
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, block, dim = (t.column(c)[0].as_py() for c in ("key", "i", "j", "block", "dim"))
+        n = t.num_rows
+        chunk, node = t.column("chunk").to_numpy(), t.column("node").combine_chunks()
+        low, cell = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(n, -1) for c in ("low", "cell"))
+        y = np.frombuffer(as_binary(t.column("place"))[0].tobytes(), np.float32).reshape(n, -1).astype(np.float64)
+        limit = _budget(dim, _block_slices(dim)[block], min_cos)
         sq = (y**2).sum(1)
-        limit = [_budget(dim, s, min_cos) for s in slices]
-        us, vs = [], []
         step = max(1, (4 << 20) // n)
         for a in range(0, n, step):
-            near = sq[a : a + step, None] + sq[None] - 2 * (y[a : a + step] @ y.T) <= limit[block] + 1e-9
-            u, v = np.nonzero(near)
+            u, v = np.nonzero(sq[a : a + step, None] + sq[None] - 2 * (y[a : a + step] @ y.T) <= limit + 1e-9)
             u += a
             keep = u < v
             if i != j:
                 keep &= chunk[u] != chunk[v]
             u, v = u[keep], v[keep]
+            # the pair's own cell; cells that share a key by chance part here
+            own = (np.maximum(low[u], low[v]) == cell[u]).all(1) & (cell[u] == cell[v]).all(1)
+            u, v = u[own], v[own]
             for c in range(0, len(u), 50_000):
-                p, q = u[c : c + 50_000], v[c : c + 50_000]
-                ok = (np.maximum(low[p], low[q]) == cell[p]).all(1) & (cell[p] == cell[q]).all(1) & (grp[p] == grp[q])
-                p, q = p[ok], q[ok]
-                here = ((turned[p, sl] - turned[q, sl]) ** 2).sum(1) <= limit[block]
-                for b in range(block):
-                    here &= ((turned[p, slices[b]] - turned[q, slices[b]]) ** 2).sum(1) > limit[b]
-                p, q = p[here], q[here]
-                linked = (unit[p] * unit[q]).sum(1) >= min_cos
-                us.append(p[linked])
-                vs.append(q[linked])
-        if not sum(map(len, us)):
-            return None
-        u, v = np.concatenate(us), np.concatenate(vs)
-        links = np.bincount(u, copies[v], n) + np.bincount(v, copies[u], n)
-        label = np.arange(n)
-        while True:
-            lower = label.copy()
-            np.minimum.at(lower, u, label[v])
-            np.minimum.at(lower, v, label[u])
-            lower = lower[lower]
-            if (lower == label).all():
-                break
-            label = lower
-        met = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(node[label[met]]), pa.array(node[met]), pa.array(links[met].astype(np.int64))], ["u", "v", "links"])
+                p, q = (node.take(pa.array(x[c : c + 50_000])) for x in (u, v))
+                ones = np.ones(len(p), np.int32)
+                yield pa.RecordBatch.from_arrays([p, q, pa.array(ones * block), pa.array(np.full(len(p), key)), pa.array(ones * i), pa.array(ones * j)], ["u", "v", "block", "key", "i", "j"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
-            for row in zip(*cols, strict=True):
-                if row[:3] != key:
-                    if len(rows) > 1 and (out := solve(rows, *key[1:])) is not None:
-                        yield out
-                    key, rows = row[:3], []
-                rows.append(row[3:])
-        if len(rows) > 1 and (out := solve(rows, *key[1:])) is not None:
-            yield out
+        for t in _groups(batches, 3):
+            # blocks, lengths and labels that share a key by chance part here
+            for block, dim, grp in sorted(set(zip(*(t.column(c).to_pylist() for c in ("block", "dim", "grp")), strict=True))):
+                same = (t.column("block").to_numpy() == block) & (t.column("dim").to_numpy() == dim) & (t.column("grp").to_numpy() == grp)
+                if same.sum() > 1:
+                    yield from pairs(t.filter(pa.array(same)))
+
+    return run
+
+
+def _verify(min_cos: float):
+    """Rows ``(key, i, j, kind, u, v, dim, copies, vec)`` sorted by (key, i, j, kind): vectors (kind 0, u), then pairs to check."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 3):
+            kind = t.column("kind").to_numpy()
+            n = int((kind == 0).sum())
+            nodes = t.column("u").slice(0, n).combine_chunks()
+            u, v = (pc.index_in(t.column(c).slice(n).combine_chunks(), value_set=nodes).to_numpy() for c in ("u", "v"))
+            copies, dims = t.column("copies").slice(0, n).to_numpy(), t.column("dim").slice(0, n).to_numpy()
+            vec = t.column("vec").slice(0, n).combine_chunks()
+            links, us, vs = np.zeros(n, np.int64), [], []
+            for dim in np.unique(dims):
+                mine = np.flatnonzero(dims == dim)
+                unit = np.zeros((n, dim))
+                unit[mine] = _units(matrix(vec.take(pa.array(mine)), int(dim)))
+                here = dims[u] == dim
+                p, q = u[here], v[here]
+                for c in range(0, len(p), 50_000):
+                    a, b = p[c : c + 50_000], q[c : c + 50_000]
+                    linked = (unit[a] * unit[b]).sum(1) >= min_cos
+                    us.append(a[linked])
+                    vs.append(b[linked])
+            a, b = np.concatenate(us), np.concatenate(vs)
+            links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+            label = np.arange(n)
+            while True:
+                lower = label.copy()
+                np.minimum.at(lower, a, label[b])
+                np.minimum.at(lower, b, label[a])
+                lower = lower[lower]
+                if (lower == label).all():
+                    break
+                label = lower
+            met = np.flatnonzero(links)
+            if len(met):
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(label[met])), nodes.take(pa.array(met)), pa.array(links[met].astype(np.int64))], ["u", "v", "links"])
 
     return run
 
@@ -153,35 +194,45 @@ def near_duplicate_vectors(vectors: DataFrame, min_cos: float, id_col: str = "ve
     their cosine in double precision is at least min_cos.  Vectors that are null, empty, zero, or
     hold null or non-finite components link with nothing, nor do rows with a null label: n_links
     0, component_id the row's own id, kept true.  Equal vectors are joined once and counted by
-    their number, so repeated rows link with each other.  Other columns are ignored.
+    their number, so repeated rows link with each other.  A pair at the threshold itself links.
+    An empty table gives an empty result.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
     counts_for = usable(v) & F.col(label_col).isNotNull()
-    node = F.when(counts_for, F.xxhash64(F.lit(1), F.col(label_col), F.size(v), v))
+    node = F.when(counts_for, row_key(F.col(label_col), v))
     rows = vectors.select(F.col(id_col).alias("id"), node.alias("node"), F.xxhash64(F.lit(2), F.col(label_col), F.size(v)).alias("grp"), v.alias("v"))
     classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("grp").alias("grp"), F.first("v").alias("v"))
     classes = materialize(classes.withColumn("dim", F.size("v")), "vectors")
     # more coordinates span the grid where a label has more vectors
     per = classes.groupBy("grp").agg(F.count("*").alias("n"))
     span = F.greatest(F.lit(1), F.least(F.floor(F.col("dim") / BLOCKS), F.ceil(F.log(F.col("n") / CHUNK_ROWS) / F.log(F.lit(2.5))))).cast("int")
-    sized = classes.join(per, "grp").select("node", "copies", "grp", "dim", span.alias("grid"), "v")
-    cells = sized.mapInArrow(_to_cells(min_cos), _CELLS).withColumn("key", F.xxhash64("grp", "block", "cell"))
-    cells = materialize(cells, "cells")
+    sized = join_unique(classes, materialize(per, "groups"), ["grp"]).select("node", "grp", "dim", span.alias("grid"), "v")
+    spots = sized.select("node", "dim", "grid", "v", "grp").mapInArrow(_to_cells(min_cos), _CELLS)
+    cells = materialize(spots.withColumn("key", F.xxhash64("grp", "block", "cell")), "cells")
     load = cells.groupBy("key").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("g"), F.count("*").alias("c")).where("c > 1").drop("c")
     mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("g")).cast("int")
-    routed = cells.join(load, "key").withColumn("chunk", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    routed = routed.select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "node", "copies", "grp", "block", "low", "cell", "chunk", "turned", "vec")
-    dealt = routed.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = materialize(dealt.mapInArrow(_join_cells(min_cos), "u bigint, v bigint, links bigint"), "links")
+    routed = join_unique(cells, materialize(load, "loads"), ["key"]).withColumn("chunk", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    routed = routed.select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "block", "chunk", "dim", "grp", "node", "low", "cell", "place")
+    at = ["key", "i", "j"]
+    dealt = routed.repartition(shuffle_partitions(spark), *at).sortWithinPartitions(*at)
+    near = dealt.mapInArrow(_candidates(min_cos), _PAIRS)
+    union = near.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("block", *at)).alias("where"))
+    union = materialize(union.select("u", "v", "where.key", "where.i", "where.j"), "candidates")
+    ends = union.select(*at, "u").unionByName(union.select(*at, F.col("v").alias("u"))).distinct()
+    held = ends.join(classes.select(F.col("node").alias("u"), "copies", "dim", "v"), "u").select(*at, F.lit(0).alias("kind"), "u", F.lit(None).cast("binary").alias("v"), "dim", "copies", F.col("v").alias("vec"))
+    checks = union.select(*at, F.lit(1).alias("kind"), "u", "v", F.lit(0).alias("dim"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast(vectors.schema[vector_col].dataType).alias("vec"))
+    checked = held.unionByName(checks).repartition(shuffle_partitions(spark), *at).sortWithinPartitions(*at, "kind")
+    found = materialize(checked.mapInArrow(_verify(min_cos), "u binary, v binary, links bigint"), "links")
     labels = connected_components(found)
     links = found.groupBy(F.col("v").alias("ln")).agg(F.sum("links").alias("links"))
     by_class = classes.select("node", "copies").join(links, F.col("node") == F.col("ln"), "left").join(labels.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left")
     by_class = materialize(by_class.select(F.col("node").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "by-class")
-    placed = materialize(rows.select("id", "node").join(by_class, F.col("node") == F.col("k"), "left").select("id", "n_links", "root"), "placed")
+    ids = materialize(rows.select("id", F.col("node").alias("k")), "ids")
+    placed = materialize(join_unique(ids, by_class, ["k"], "left").select("id", "n_links", "root"), "placed")
     lowest = materialize(placed.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "lowest")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
-    out = placed.join(lowest, "root", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    out = join_unique(placed, lowest, ["root"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import U64, as_binary, fmix, join_unique, materialize, row_key, shuffle_partitions, table
+from wiretide.llm.common import U64, as_binary, by_bytes, fmix, join_unique, materialize, row_key, shuffle_partitions, table
 from wiretide.llm.components import connected_components
 from wiretide.llm.shingles import set_ids, shingle_sets
 
@@ -101,7 +101,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 2)):
             sets = shingle_sets(*as_binary(batch.column(2)), k)
             size = np.array([len(s) for s in sets], np.int64)
             ids = set_ids(sets)
@@ -125,7 +125,7 @@ def _met_pairs(rows: DataFrame, shingles: int, k: int, num: int, den: int) -> Da
         keys: list[np.ndarray] = []
         codes: list[np.ndarray] = []
         held = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 0)):
             sets = shingle_sets(*as_binary(batch.column(0)), k)
             for s, code in zip(sets, np.ascontiguousarray(set_ids(sets)[:, 0]).view(np.int64).tolist(), strict=True):
                 if not len(s) or code in seen:
@@ -236,7 +236,7 @@ def _block_links(k: int, num: int, den: int):
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(links_u), pa.binary()), pa.array(np.concatenate(links_v), pa.binary())], ["u", "v"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 4)):
             block, i, j = (batch.column(c).to_numpy() for c in range(3))
             sets = shingle_sets(*as_binary(batch.column(4)), k)
             for x, (s, own, node) in enumerate(zip(sets, set_ids(sets), batch.column(3).to_pylist(), strict=True)):
