@@ -25,7 +25,7 @@ def test_protocol_falls_back_to_event_type(spark):
     assert [r.event_type for r in apply_filter(df, "dns").select(F.col("event_type")).collect()] == ["DNS"]
 
 
-@pytest.mark.parametrize("text", ["port === 1", "'open", "bogus == 1", "(tcp", "port ==", "tcp )"])
+@pytest.mark.parametrize("text", ["port === 1", "'open", "bogus == 1", "bogus", "tcp and bogus", "(tcp", "port ==", "tcp )"])
 def test_errors(spark, text):
     with pytest.raises(FilterError):
         compile_filter(text, COLS.replace(" long", "").replace(" string", "").replace(" int", "").split(", "))

@@ -138,7 +138,7 @@ def compile_filter(text: str, columns: list[str]) -> Column:
             return _leaf(have, word.lower(), op, value[1])
         if word.lower() in PROTOCOLS:
             return _leaf(have, "protocol", "==", word)
-        return _leaf(have, "protocol", "contains", word)
+        raise FilterError(f"unknown field or protocol {word!r}")
 
     out = any_of()
     if at < len(toks):
