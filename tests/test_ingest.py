@@ -242,3 +242,13 @@ def test_order_in_ranges(spark):
         for i, ((at, v), r) in enumerate(zip(mine, sorted((r for r in got if r.session_id == s), key=lambda r: r.n), strict=True)):
             total += v
             assert (r.at, r.v, r.n, r.before, r.total) == (at, v, i + 1, mine[i - 1][1] if i else None, total)
+
+
+@pytest.mark.parametrize("kind", ["pcap", "pcapng"])
+def test_cut_packets_keep_their_length(spark, tmp_path, kind):
+    from wiretide.sources.capture_file import read_captures, write_captures
+
+    rows = [(1_000_001, bytearray(b"abc"), 60), (2_000_002, bytearray(b"defgh"), None)]
+    write_captures(spark.createDataFrame(rows, "ts_us long, raw binary, orig_len int"), str(tmp_path / "c"), kind)
+    got = I.of_captures(read_captures(spark, str(tmp_path / "c"))).orderBy("ts_us").collect()
+    assert [(r.ts_us, bytes(r.raw), r.orig_len) for r in got] == [(1_000_001, b"abc", 60), (2_000_002, b"defgh", 5)]

@@ -1,8 +1,7 @@
 """Display-filter language, compiled on the driver to one Column.
 
 ``or`` binds weaker than ``and``, ``and`` weaker than ``not``.  A comparison is
-``field op value``; a bare protocol word stands for ``protocol == word``; other bare words mean
-``protocol contains word``.  Missing values make every comparison false, before ``not``.
+``field op value``; a bare protocol word stands for ``protocol == word``; other bare words are errors.  Missing values make every comparison false, before ``not``.
 """
 
 from __future__ import annotations

@@ -110,11 +110,11 @@ def read_captures(spark: SparkSession, path: str, skip_bad: bool = False) -> Dat
     return files.select("path", "content").mapInPandas(_decode(skip_bad), SCHEMA)
 
 
-def stream_captures(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """The same as a stream over files that arrive in a folder."""
+def stream_captures(spark: SparkSession, path: str, files_per_batch: int = 64, skip_bad: bool = False) -> DataFrame:
+    """The same as a stream over files that arrive in a folder; unknown content stops it, or is left out with ``skip_bad``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{pcap,pcapng}").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select("path", "content").mapInPandas(_decode(True), SCHEMA)
+    return files.select("path", "content").mapInPandas(_decode(skip_bad), SCHEMA)
 
 
 def _head(kind: str) -> bytes:
@@ -124,11 +124,11 @@ def _head(kind: str) -> bytes:
     return section + struct.pack("<IIHHII", INTERFACE, 20, ETHERNET, 0, SNAPLEN, 20)
 
 
-def _record(kind: str, ts_us: int, raw: bytes) -> bytes:
+def _record(kind: str, ts_us: int, raw: bytes, whole: int) -> bytes:
     if kind == "pcap":
-        return struct.pack("<4I", ts_us // 10**6, ts_us % 10**6, len(raw), len(raw)) + raw
+        return struct.pack("<4I", ts_us // 10**6, ts_us % 10**6, len(raw), whole) + raw
     size = 32 + len(raw) + -len(raw) % 4
-    return struct.pack("<7I", ENHANCED, size, 0, ts_us >> 32, ts_us & 0xFFFFFFFF, len(raw), len(raw)) + raw + bytes(-len(raw) % 4) + struct.pack("<I", size)
+    return struct.pack("<7I", ENHANCED, size, 0, ts_us >> 32, ts_us & 0xFFFFFFFF, len(raw), whole) + raw + bytes(-len(raw) % 4) + struct.pack("<I", size)
 
 
 def _store(path: str):
@@ -153,7 +153,7 @@ class CaptureWriter(DataSourceArrowWriter):
         store.create_dir(root, recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
-            for ts, raw in zip(batch.column("ts_us").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            for ts, raw, whole in zip(*(batch.column(c).to_pylist() for c in ("ts_us", "raw", "orig_len")), strict=True):
                 if out is None or size >= self.roll:
                     if out is not None:
                         out.close()
@@ -161,7 +161,7 @@ class CaptureWriter(DataSourceArrowWriter):
                     files.append((f"{root}/_tmp-{name}", f"{root}/{name}"))
                     out, size = store.open_output_stream(files[-1][0]), 0
                     out.write(_head(self.kind))
-                record = _record(self.kind, ts, raw or b"")
+                record = _record(self.kind, ts, raw or b"", whole)
                 out.write(record)
                 size += len(record)
         if out is not None:
@@ -182,24 +182,28 @@ class CaptureWriter(DataSourceArrowWriter):
 
 
 class CaptureSink(DataSource):
-    """``df.write.format("wiretide_capture").option("kind", "pcapng").save(path)`` for ts_us and raw."""
+    """``df.write.format("wiretide_capture").option("kind", "pcapng").save(path)`` for ts_us, raw and orig_len."""
 
     @classmethod
     def name(cls) -> str:
         return "wiretide_capture"
 
     def schema(self) -> str:
-        return "ts_us long, raw binary"
+        return "ts_us long, raw binary, orig_len long"
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(dict(self.options))
 
 
 def write_captures(packets: DataFrame, path: str, kind: str = "pcap", roll: int = ROLL) -> None:
-    """Writes ts_us and raw as capture files, each in time order; rows without a time are an error of the caller's.
+    """Writes ts_us and raw as capture files, each in time order; rows without a time are left out.
+
+    Where there is a column orig_len it is written as the packet's length before it was cut, else that of raw.
 
     Files cover any share of the packets; a reader that needs one order sorts by ts_us.
     """
     packets.sparkSession.dataSource.register(CaptureSink)
-    rows = packets.select(F.col("ts_us").cast("long").alias("ts_us"), "raw").where("ts_us is not null").sortWithinPartitions("ts_us")
+    kept = F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long")
+    whole = F.greatest(kept, F.coalesce(F.col("orig_len").cast("long"), kept)) if "orig_len" in packets.columns else kept
+    rows = packets.select(F.col("ts_us").cast("long").alias("ts_us"), "raw", whole.alias("orig_len")).where("ts_us is not null").sortWithinPartitions("ts_us")
     rows.write.format("wiretide_capture").option("path", path).option("kind", kind).option("roll", str(roll)).mode("append").save()
