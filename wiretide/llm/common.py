@@ -70,7 +70,9 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
         heavy = [r[0] for r in left.where(known).groupBy(code.alias("h")).count().where(F.col("count") > left.count() / HEAVY).collect()]
     if heavy:
         out = left.where(known & ~code.isin(heavy)).join(right, on, how)
-        out = out.unionByName(left.where(known & code.isin(heavy)).join(F.broadcast(right.where(code.isin(heavy))), on, how))
+        few = right.where(code.isin(heavy)).withColumnsRenamed({c: f"heavy_{c}" for c in on})
+        same = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"heavy_{c}") for c in on])
+        out = out.unionByName(left.where(known & code.isin(heavy)).join(F.broadcast(few), same, how).drop(*[f"heavy_{c}" for c in on]))
     else:
         out = left.where(known).join(right, on, how)
     if how == "left":

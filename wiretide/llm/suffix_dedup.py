@@ -374,11 +374,10 @@ def _heavy(counts: DataFrame, size: str, total: int, on: list[str]) -> list[int]
 
 def _split_marks(classes: DataFrame, block: str) -> DataFrame:
     """``classes`` and whether their block has so many of them that it is split."""
-    wide = materialize(classes.groupBy(block).agg(F.count("*").alias("kinds")).where(F.col("kinds") > SPLIT_ABOVE), "wide")
-    if wide.isEmpty():
-        return classes.withColumn("split", F.lit(False))
-    marked = join_unique(classes, wide, [block], "left", _heavy(wide, "kinds", classes.count(), [block]))
-    return marked.withColumn("split", F.col("kinds").isNotNull()).drop("kinds")
+    wide = classes.groupBy(block).agg(F.count("*").alias("kinds")).where(F.col("kinds") > SPLIT_ABOVE).select(block)
+    wide = materialize(wide, "wide")
+    inside, outside = (classes.join(wide, block, how) for how in ("left_semi", "left_anti"))
+    return inside.withColumn("split", F.lit(True)).unionByName(outside.withColumn("split", F.lit(False)))
 
 
 def repeated_spans(docs: DataFrame, min_len: int, keep: str) -> DataFrame:
