@@ -36,7 +36,7 @@ SPLIT_ABOVE = 1000
 #: Neighbouring places of windows that stay together at each level of splitting; the last must be 1.
 WIDTHS = (8, 1)
 #: Bytes of segments whose suffixes are sorted together, at least one block's.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 18
 _OFF = 1 << 20
 _POWERS: dict[int, Powers] = {}
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
