@@ -93,7 +93,7 @@ def reassembly(s, d):
 
 
 def stream_flow_rollup(s, d):
-    return S.run_to_end(S.flow_rollup(packet_stream(s, d)), "complete")
+    return S.run_to_end(S.flow_rollup(packet_stream(s, d)), "update", S.FLOW_KEY).drop("ka", "kb", "first_packet")
 
 
 def stream_rates(s, d):

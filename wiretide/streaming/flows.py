@@ -18,8 +18,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def flow_rollup(packets: DataFrame) -> DataFrame:
-    """Bidirectional flows so far; state is a row a flow and never expires, as flows have no end of their own."""
-    return rollup(packets).drop("ka", "kb", "first_packet")
+    """Bidirectional flows so far, with their key; in update mode a batch gives the flows it changed.
+
+    State is a row a flow and never expires, as flows have no end of their own.
+    """
+    return rollup(packets)
+
+
+FLOW_KEY = ["session_id", "protocol", "ka", "kb"]
 
 
 def rates(packets: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -70,8 +76,8 @@ def reassemble_stream(segments: DataFrame) -> DataFrame:
     return s.groupBy(*DIRECTION).transformWithStateInPandas(Reassembler(), OUTPUT, "Append", "None")
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there now; gives the last state of "complete", or all rows of "append".
+def run_to_end(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now; gives the last state of "complete", all rows of "append", or of "update" the last row of each key.
 
     Each micro-batch overwrites its own folder, so a repeated batch changes nothing.
     """
@@ -79,7 +85,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     base, done = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}", []
 
     def put(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+        batch.withColumn("batch_number", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/{i}")
         done.append(i)
 
     q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(put).start()
@@ -87,4 +93,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     if not done:
         return spark.createDataFrame([], stream.schema)
     kept = done[-1:] if mode == "complete" else sorted(set(done))
-    return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={i}" for i in kept])
+    out = spark.read.parquet(*[f"{base}/out/{i}" for i in kept])
+    if mode == "update":
+        out = out.groupBy(*key).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in key]), "batch_number").alias("row")).select(*key, "row.*")
+    return out.select(*stream.columns)
