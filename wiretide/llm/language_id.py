@@ -24,7 +24,7 @@ TRAIN_PER_LANGUAGE = 4000
 #: Most different languages that are learned; a column with more is no column of languages.
 MAX_LANGUAGES = 1000
 #: Bytes of text, and texts, handled at once; a longer text is walked in pieces.
-CHUNK, TEXTS = 1 << 20, 2048
+CHUNK, TEXTS = 1 << 19, 1024
 #: n-grams whose vectors exist at once, and texts counted against them.
 GRAM_BLOCK, TEXT_BLOCK = 2048, 1024
 _FOLD: np.ndarray | None = None
