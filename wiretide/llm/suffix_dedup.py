@@ -298,16 +298,17 @@ def _matched_windows(min_len: int, first_stays: bool):
             if not batch.num_rows:
                 continue
             key = np.frombuffer(as_binary(batch.column(0))[0].tobytes(), U64).reshape(-1, 2)
-            size += len(as_binary(batch.column(8))[0])
-            edges = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            ends = as_binary(batch.column(8))[1]
+            edges = (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()
             if held and (key[0] != last).any():
-                edges = np.concatenate([[0], edges])
-            if size >= SORT_BYTES and len(edges):  # up to the last block that may go on
-                end = int(edges[-1])
-                yield from flush([*held, batch.slice(0, end)] if end else held)
-                batch = batch.slice(end)
-                held, size = [], len(as_binary(batch.column(8))[0])
-            held.append(batch)
+                edges.insert(0, 0)
+            start = 0
+            for e in edges:  # where a block begins
+                if size + ends[e] - ends[start] >= SORT_BYTES:
+                    yield from flush([*held, batch.slice(start, e - start)] if e > start else held)
+                    held, size, start = [], 0, e
+            held.append(batch.slice(start))
+            size += int(ends[-1] - ends[start])
             last = key[-1]
         if held:
             yield from flush(held)
