@@ -4,9 +4,10 @@ Unit vectors are rotated at random and split into blocks.  If two lie within squ
 then in some block they lie within that block's share of d2.  Each block is range-joined: a few of
 its coordinates span a grid of cells twice as wide as the block's radius, and a vector goes to
 every cell that its box of half the radius each way meets, so two vectors within the radius share
-the cell of their greater lower corners.  Only ids and a block's own coordinates go to cells.  The
-union of all blocks' candidate pairs is formed, each pair with the first cell it was found in; the
-original vectors are then fetched once for each such cell, and every pair is verified exactly.
+the cell of their greater lower corners.  Only ids and a block's own coordinates go to cells.  Rows
+that are in no candidate pair are dropped there; for the others the original vectors are fetched,
+once for each cell.  Candidates of several blocks are united by rule, not as rows: a pair counts in
+its first block and in its one cell there, where it is verified exactly.  No pair leaves a task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,84 +105,97 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-_PAIRS = "u binary, v binary, block int, key bigint, i int, j int"
+#: A row of a cell: where it is, and which vector.
+_ROW = ["key", "i", "j", "block", "chunk", "dim", "grp", "node", "low", "cell"]
+
+
+def _alike(t: pa.Table) -> Iterator[pa.Table]:
+    """Rows of one block, length and label; others share a key by chance only."""
+    of = [t.column(c).to_numpy() for c in ("block", "dim", "grp")]
+    for kinds in sorted(set(zip(*(x.tolist() for x in of), strict=True))):
+        same = np.all([x == k for x, k in zip(of, kinds, strict=True)], 0)
+        if same.sum() > 1:
+            yield t.filter(pa.array(same)).combine_chunks()
+
+
+def _near(t: pa.Table, y: np.ndarray, min_cos: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the block's share of the distance, in the one cell where they count."""
+    i, j, block, dim = (t.column(c)[0].as_py() for c in ("i", "j", "block", "dim"))
+    n = t.num_rows
+    chunk = t.column("chunk").to_numpy()
+    low, cell = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(n, -1) for c in ("low", "cell"))
+    limit = _budget(dim, _block_slices(dim)[block], min_cos)
+    sq = (y**2).sum(1)
+    step = max(1, (4 << 20) // n)
+    for a in range(0, n, step):
+        u, v = np.nonzero(sq[a : a + step, None] + sq[None] - 2 * (y[a : a + step] @ y.T) <= limit + 1e-9)
+        u += a
+        keep = u < v
+        if i != j:
+            keep &= chunk[u] != chunk[v]
+        u, v = u[keep], v[keep]
+        for c in range(0, len(u), 50_000):
+            p, q = u[c : c + 50_000], v[c : c + 50_000]
+            own = (np.maximum(low[p], low[q]) == cell[p]).all(1) & (cell[p] == cell[q]).all(1)
+            own[own] = ((y[p[own]] - y[q[own]]) ** 2).sum(1) <= limit
+            yield p[own], q[own]
 
 
 def _candidates(min_cos: float):
-    """Rows ``(key, i, j, block, chunk, dim, node, low, cell, place)`` sorted by (key, i, j): pairs within the block's share of the distance."""
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i, j, block, dim = (t.column(c)[0].as_py() for c in ("key", "i", "j", "block", "dim"))
-        n = t.num_rows
-        chunk, node = t.column("chunk").to_numpy(), t.column("node").combine_chunks()
-        low, cell = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(n, -1) for c in ("low", "cell"))
-        y = np.frombuffer(as_binary(t.column("place"))[0].tobytes(), np.float32).reshape(n, -1).astype(np.float64)
-        limit = _budget(dim, _block_slices(dim)[block], min_cos)
-        sq = (y**2).sum(1)
-        step = max(1, (4 << 20) // n)
-        for a in range(0, n, step):
-            u, v = np.nonzero(sq[a : a + step, None] + sq[None] - 2 * (y[a : a + step] @ y.T) <= limit + 1e-9)
-            u += a
-            keep = u < v
-            if i != j:
-                keep &= chunk[u] != chunk[v]
-            u, v = u[keep], v[keep]
-            # the pair's own cell; cells that share a key by chance part here
-            own = (np.maximum(low[u], low[v]) == cell[u]).all(1) & (cell[u] == cell[v]).all(1)
-            u, v = u[own], v[own]
-            for c in range(0, len(u), 50_000):
-                p, q = (node.take(pa.array(x[c : c + 50_000])) for x in (u, v))
-                ones = np.ones(len(p), np.int32)
-                yield pa.RecordBatch.from_arrays([p, q, pa.array(ones * block), pa.array(np.full(len(p), key)), pa.array(ones * i), pa.array(ones * j)], ["u", "v", "block", "key", "i", "j"])
+    """Cells ``(*_ROW, place)`` sorted by (key, i, j) -> their rows that are in some candidate pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
-            # blocks, lengths and labels that share a key by chance part here
-            for block, dim, grp in sorted(set(zip(*(t.column(c).to_pylist() for c in ("block", "dim", "grp")), strict=True))):
-                same = (t.column("block").to_numpy() == block) & (t.column("dim").to_numpy() == dim) & (t.column("grp").to_numpy() == grp)
-                if same.sum() > 1:
-                    yield from pairs(t.filter(pa.array(same)))
+        for group in _groups(batches, 3):
+            for t in _alike(group):
+                y = np.frombuffer(as_binary(t.column("place"))[0].tobytes(), np.float32).reshape(t.num_rows, -1).astype(np.float64)
+                met = np.zeros(t.num_rows, bool)
+                for p, q in _near(t, y, min_cos):
+                    met[p] = met[q] = True
+                if met.any():
+                    yield from t.select(_ROW).filter(pa.array(met)).to_batches()
 
     return run
 
 
 def _verify(min_cos: float):
-    """Rows ``(key, i, j, kind, u, v, dim, copies, vec)`` sorted by (key, i, j, kind): vectors (kind 0, u), then pairs to check."""
+    """Candidate rows ``(*_ROW, copies, vec)`` sorted by (key, i, j): links of pairs whose first block this is."""
+
+    def links(t: pa.Table) -> pa.RecordBatch | None:
+        n, dim, block = t.num_rows, t.column("dim")[0].as_py(), t.column("block")[0].as_py()
+        copies, node = t.column("copies").to_numpy(), t.column("node").combine_chunks()
+        unit = _units(matrix(t.column("vec").combine_chunks(), dim))
+        turned = (unit @ _rotation(dim)).astype(np.float32).astype(np.float64)
+        slices = _block_slices(dim)
+        us, vs = [], []
+        for p, q in _near(t, turned[:, slices[block]], min_cos):
+            first = np.ones(len(p), bool)
+            for earlier in slices[:block]:
+                first &= ((turned[p, earlier] - turned[q, earlier]) ** 2).sum(1) > _budget(dim, earlier, min_cos)
+            p, q = p[first], q[first]
+            linked = (unit[p] * unit[q]).sum(1) >= min_cos
+            us.append(p[linked])
+            vs.append(q[linked])
+        a, b = np.concatenate([np.zeros(0, np.int64), *us]), np.concatenate([np.zeros(0, np.int64), *vs])
+        if not len(a):
+            return None
+        count = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+        label = np.arange(n)
+        while True:
+            lower = label.copy()
+            np.minimum.at(lower, a, label[b])
+            np.minimum.at(lower, b, label[a])
+            lower = lower[lower]
+            if (lower == label).all():
+                break
+            label = lower
+        met = np.flatnonzero(count)
+        return pa.RecordBatch.from_arrays([node.take(pa.array(label[met])), node.take(pa.array(met)), pa.array(count[met].astype(np.int64))], ["u", "v", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
-            kind = t.column("kind").to_numpy()
-            n = int((kind == 0).sum())
-            nodes = t.column("u").slice(0, n).combine_chunks()
-            u, v = (pc.index_in(t.column(c).slice(n).combine_chunks(), value_set=nodes).to_numpy() for c in ("u", "v"))
-            copies, dims = t.column("copies").slice(0, n).to_numpy(), t.column("dim").slice(0, n).to_numpy()
-            vec = t.column("vec").slice(0, n).combine_chunks()
-            links, us, vs = np.zeros(n, np.int64), [], []
-            for dim in np.unique(dims):
-                mine = np.flatnonzero(dims == dim)
-                unit = np.zeros((n, dim))
-                unit[mine] = _units(matrix(vec.take(pa.array(mine)), int(dim)))
-                here = dims[u] == dim
-                p, q = u[here], v[here]
-                for c in range(0, len(p), 50_000):
-                    a, b = p[c : c + 50_000], q[c : c + 50_000]
-                    linked = (unit[a] * unit[b]).sum(1) >= min_cos
-                    us.append(a[linked])
-                    vs.append(b[linked])
-            a, b = np.concatenate(us), np.concatenate(vs)
-            links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
-            label = np.arange(n)
-            while True:
-                lower = label.copy()
-                np.minimum.at(lower, a, label[b])
-                np.minimum.at(lower, b, label[a])
-                lower = lower[lower]
-                if (lower == label).all():
-                    break
-                label = lower
-            met = np.flatnonzero(links)
-            if len(met):
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(label[met])), nodes.take(pa.array(met)), pa.array(links[met].astype(np.int64))], ["u", "v", "links"])
+        for group in _groups(batches, 3):
+            for t in _alike(group):
+                if (out := links(t)) is not None:
+                    yield out
 
     return run
 
@@ -216,13 +229,10 @@ def near_duplicate_vectors(vectors: DataFrame, min_cos: float, id_col: str = "ve
     routed = routed.select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "block", "chunk", "dim", "grp", "node", "low", "cell", "place")
     at = ["key", "i", "j"]
     dealt = routed.repartition(shuffle_partitions(spark), *at).sortWithinPartitions(*at)
-    near = dealt.mapInArrow(_candidates(min_cos), _PAIRS)
-    union = near.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("block", *at)).alias("where"))
-    union = materialize(union.select("u", "v", "where.key", "where.i", "where.j"), "candidates")
-    ends = union.select(*at, "u").unionByName(union.select(*at, F.col("v").alias("u"))).distinct()
-    held = ends.join(classes.select(F.col("node").alias("u"), "copies", "dim", "v"), "u").select(*at, F.lit(0).alias("kind"), "u", F.lit(None).cast("binary").alias("v"), "dim", "copies", F.col("v").alias("vec"))
-    checks = union.select(*at, F.lit(1).alias("kind"), "u", "v", F.lit(0).alias("dim"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast(vectors.schema[vector_col].dataType).alias("vec"))
-    checked = held.unionByName(checks).repartition(shuffle_partitions(spark), *at).sortWithinPartitions(*at, "kind")
+    near = dealt.mapInArrow(_candidates(min_cos), "key bigint, i int, j int, block int, chunk int, dim int, grp bigint, node binary, low array<int>, cell array<int>")
+    near = materialize(near, "candidates")
+    checked = near.join(classes.select("node", "copies", F.col("v").alias("vec")), "node").select(*_ROW, "copies", "vec")
+    checked = checked.repartition(shuffle_partitions(spark), *at).sortWithinPartitions(*at)
     found = materialize(checked.mapInArrow(_verify(min_cos), "u binary, v binary, links bigint"), "links")
     labels = connected_components(found)
     links = found.groupBy(F.col("v").alias("ln")).agg(F.sum("links").alias("links"))
