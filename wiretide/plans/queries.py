@@ -36,9 +36,14 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 def _flows_events(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Flows and events of one pass over the packets."""
+    """Flows and events, not numbered, of one pass over the packets."""
     t = W.tracked(packets(s, d))
-    return W.flows_of(t).select(*FLOW), W.events_of(t)
+    return W.flows_of(t).select(*FLOW), W.packet_events(t)
+
+
+def _said(s: SparkSession, d: str) -> DataFrame:
+    """Events where their numbers don't matter."""
+    return W.packet_events(W.tracked(packets(s, d)))
 
 
 def _span(s: SparkSession, d: str) -> DataFrame:
@@ -104,13 +109,13 @@ def timeline_types(s, d):
 
 @query
 def event_type_counts(s, d):
-    return _events(s, d).groupBy("session_id", "event_type").agg(F.count("*").alias("n"))
+    return _said(s, d).groupBy("session_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query
 def stats(s, d):
     t = W.tracked(packets(s, d))
-    return A.session_stats(t, W.flows_of(t), W.events_of(t))
+    return A.session_stats(t, W.flows_of(t), W.packet_events(t))
 
 
 @query
@@ -208,7 +213,7 @@ def timing_diff(s, d):
 
 @query
 def event_diff(s, d):
-    return A.event_diff(_events(s, d), "s0", "s1")
+    return A.event_diff(_said(s, d), "s0", "s1")
 
 
 @query
@@ -222,7 +227,8 @@ def identical(s, d):
 @query
 def domain_fingerprint(s, d):
     """Names of the first 50,000 events of a session, as its SQL and the reference have it."""
-    return A.domain_features(*_flows_events(s, d), SQL_EVENTS)
+    t = W.tracked(packets(s, d))
+    return A.domain_features(W.flows_of(t), W.events_of(t), SQL_EVENTS)
 
 
 @query
@@ -237,7 +243,8 @@ def behaviour_fingerprint(s, d):
 
 @query
 def similar_sessions(s, d):
-    c = A.cosine_to(A.domain_features(*_flows_events(s, d), SQL_EVENTS), A.DOMAIN_WEIGHTS, "s0")
+    t = W.tracked(packets(s, d))
+    c = A.cosine_to(A.domain_features(W.flows_of(t), W.events_of(t), SQL_EVENTS), A.DOMAIN_WEIGHTS, "s0")
     return c.where("score > 0").orderBy(F.col("score").desc(), "session_id").limit(10)
 
 
@@ -271,7 +278,7 @@ def loss_report(s, d):
 
 @query
 def integrity(s, d):
-    g = _events(s, d).groupBy("session_id").agg(F.count_if(F.col("event_type") == "STREAM_GAP").alias("gaps"))
+    g = _said(s, d).groupBy("session_id").agg(F.count_if(F.col("event_type") == "STREAM_GAP").alias("gaps"))
     m = packets(s, d).groupBy("session_id").agg(F.count_if(F.col("length") < 20).alias("malformed"))
     j = m.join(g, "session_id", "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
     return j.select("session_id", "gaps", "malformed", F.when(F.col("malformed") == 0, "complete").otherwise("partial").alias("status"), ((F.col("malformed") == 0) & (F.col("gaps") == 0)).alias("is_complete"))
@@ -383,7 +390,7 @@ def redact_text(s, d):
 @query
 def regression_checks(s, d):
     t = W.tracked(packets(s, d))
-    return A.regression_checks(A.session_stats(t, W.flows_of(t), W.events_of(t)), [("min_packets", "packets", 100), ("max_resets", "resets", 40), ("min_flows", "flows", 10**9), ("max_retransmissions", "retransmissions", 10**6)])
+    return A.regression_checks(A.session_stats(t, W.flows_of(t), W.packet_events(t)), [("min_packets", "packets", 100), ("max_resets", "resets", 40), ("min_flows", "flows", 10**9), ("max_retransmissions", "retransmissions", 10**6)])
 
 
 @query
