@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from wiretide.llm import common, embedding_dedup, language_id, ngram_join, secrets, shingles, suffix_dedup
 from wiretide.llm.ann import nearest_neighbours
 from wiretide.llm.bitpack import pack_bits, read_token_files, unpack_bits, write_token_files
-from wiretide.llm.common import scratch_dir
+from wiretide.llm.common import row_key, scratch_dir
 from wiretide.llm.language_id import identify
 from wiretide.llm.mixing import mix_sources
 from wiretide.llm.packing import best_fit, document_pieces, pack_pieces
@@ -551,20 +551,39 @@ def test_nearest_neighbours(spark, vectors):
 
 
 def test_pipeline_stages(spark, rows):
+    """Every stage on odd rows, with further columns whose names could clash with its own."""
     import corpus_pipeline as P
 
-    cols = list(P.COLUMNS)
-    df = spark.createDataFrame(rows, SCHEMA).select(*cols)
-    kept = P.language_stage(spark, df, "").collect()
-    assert Counter(r.doc_id for r in kept) == Counter(r[0] for r in rows if any(c.isalpha() for c in r[1] or "")) and all(r.lang for r in kept)
-    near = P.near_duplicate_stage(spark, df, "")
-    ids = [r.doc_id for r in near.collect()]
-    assert len(ids) == len(set(ids)) and 0 in ids and 12 not in ids and 13 not in ids and near.columns == cols
-    red = {r.doc_id: r for r in P.secret_stage(spark, df, "").collect()}
-    assert red[25].text.count("[SECRET]") == 3 and red[25].n_chars == len(red[25].text) and red[0].text == rows[0][1]
-    mixed = P.mixing_stage(spark, df, "")
-    assert mixed.columns == cols and mixed.count() > 0
-    packed = P.packing_stage(spark, mixed, "").collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
+    more = {"score": 7.0, "spans": "p", "_key": "k", "_text": "w", "doc": 1, "key": "x", "rest": "y", "copies": 2, "lang_pred": "z", "hit": True, "id": 5, "size": 3}
+    cols = [*P.COLUMNS, *more]
+    df = spark.createDataFrame(rows, SCHEMA).select(*P.COLUMNS).withColumns({k: F.lit(v) for k, v in more.items()})
+
+    def kept(stage):
+        out = stage(spark, df, "")
+        assert out.columns == cols
+        got = out.collect()
+        assert all({k: r[k] for k in more} == more for r in got)
+        return got
+
+    named = kept(P.language_stage)
+    assert Counter(r.doc_id for r in named) == Counter(r[0] for r in rows if any(c.isalpha() for c in r[1] or "")) and all(r.lang for r in named)
+    ids = [r.doc_id for r in kept(P.near_duplicate_stage)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()} for w in (re.findall(r"[^\x20\x09-\x0d]+", (r[1] or "").lower()) for r in rows)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    root[i] = min(root[i], root[j])
+    assert Counter(ids) == Counter(rows[i][0] for i in range(len(rows)) if root[i] == i)
+    red = {r.doc_id: r for r in kept(P.secret_stage)}
+    assert red[25].text.count("[SECRET]") == 3 and red[25].n_chars == len(red[25].text) and red[0].text == rows[0][1] and len(red) == len({r[0] for r in rows})
+    mixed = Counter(r.doc_id for r in kept(P.mixing_stage))
+    want = Counter()
+    for r in mix_sources(df.select("doc_id", "text", "source", row_key("doc_id", "text").alias("k")), "k", keep=("doc_id",)).collect():
+        want[r.doc_id] += r.copies
+    assert mixed == +want
+    packed = P.packing_stage(spark, df, "").collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in rows)
     for _, stage in P.STAGES:
         assert stage(spark, df.limit(0), "").count() == 0
