@@ -26,8 +26,8 @@ SHARD_ROWS = 50_000
 #: Queries that one task searches in a shard, at most on average.
 TASK_QUERIES = 2048
 DEGREE = 28
-BEAM_BUILD = 64
-BEAM_SEARCH = 128
+BEAM_BUILD = 96
+BEAM_SEARCH = 400
 ALPHA = 1.2
 #: Queries searched together.
 QUERY_BLOCK = 256
