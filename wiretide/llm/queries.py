@@ -5,13 +5,16 @@ from __future__ import annotations
 from wiretide.llm.ann import op9_nearest_neighbours
 from wiretide.llm.bitpack import op10_bitpack
 from wiretide.llm.embedding_dedup import op2_embedding_near_dedup
+from wiretide.llm.exact_dedup import op13_exact_dedup
 from wiretide.llm.language_id import op6_language_id
 from wiretide.llm.mixing import op5_mixing
 from wiretide.llm.ngram_join import op3_ngram_jaccard
 from wiretide.llm.packing import op4_best_fit_packing
 from wiretide.llm.secrets import op8_secret_scan
+from wiretide.llm.spelling import op12_spelling_variants
 from wiretide.llm.suffix_dedup import op1_suffix_dedup
 from wiretide.llm.token_counts import op7_token_counts
+from wiretide.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_bitpack": op10_bitpack,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 OP2_SQL = """
@@ -56,4 +62,10 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.c, d.doc
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_embedding_near_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL}
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER g = 1 AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST)
+"""
+
+ORACLE_SQL = {"op2_embedding_near_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op13_exact_dedup": OP13_SQL}
