@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wiretide.operators.flows import LOSS
 from wiretide.operators.ordered import dealt, numbered, previous
+from wiretide.operators.sanitize import ip_token
 
 #: Fixed port categories.
 PORT_NAMES = {80: "web", 443: "web-alt", 8080: "web-alt2", 53: "dns", 25: "mail", 587: "mail-alt"}
@@ -138,7 +139,7 @@ def pseudonyms(packets: DataFrame) -> DataFrame:
     o = packets.select("session_id", "ts_us", "packet_id", F.posexplode(F.array("source", "destination")).alias("pos", "address")).where("address <> ''")
     first = o.groupBy("session_id", "address").agg(F.min(F.struct("ts_us", "packet_id", "pos")).alias("at"))
     placed = numbered(dealt(first, ["at"]), ["at"], "i").withColumn("i", F.col("i") - 1)
-    return placed.select("session_id", "address", F.concat(F.lit("10.255."), F.floor(F.col("i") / 256).cast("string"), F.lit("."), (F.col("i") % 256).cast("string")).alias("token"))
+    return placed.select("session_id", "address", ip_token(F.col("i")).alias("token"))
 
 
 def redact_ips(packets: DataFrame) -> DataFrame:

@@ -11,17 +11,31 @@ from pyspark.sql import functions as F
 from wiretide.functions.dispatch import applications, messages
 from wiretide.functions.frames import parse
 from wiretide.operators import flows as W
+from wiretide.operators.ordered import dealt, numbered
 from wiretide.operators.reassembly import reassemble
 from wiretide.operators.scratch import materialize
+from wiretide.sources.capture_file import NO_SESSION
 
 #: Fixed event types of reassembly issues.
 ISSUES = {"gap": "STREAM_GAP", "retransmission": "STREAM_RETRANSMISSION", "overlap": "STREAM_OVERLAP"}
 
 
 def of_captures(captures: DataFrame) -> DataFrame:
-    """Frames of capture files: a file is a session named by its path's last part, packets count from 1."""
+    """Frames of capture files: a file is a session named by its path's last part, packets count from 1.
+
+    Files below a folder ``session_id=<name>``, as exports write them, are one session, whose packets count
+    in order of time, then of file and place.
+    """
+    folder = F.regexp_extract("path", r"/session_id=([^/]*)/[^/]*$", 1)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(pcap|pcapng)$", "")
-    return captures.select(name.alias("session_id"), (F.col("capture_seq") + 1).alias("packet_id"), "ts_us", "raw", F.col("orig_len").cast("long").alias("orig_len"))
+    rest = ["ts_us", "raw", F.col("orig_len").cast("long").alias("orig_len")]
+    alone = captures.where(folder == "").select(name.alias("session_id"), (F.col("capture_seq") + 1).alias("packet_id"), *rest)
+    parts = captures.where(folder != "").select(F.nullif(F.url_decode(folder), F.lit(NO_SESSION)).alias("session_id"), "path", "capture_seq", *rest)
+    if parts.isEmpty():
+        return alone
+    order = ["ts_us", "path", "capture_seq"]
+    counted = numbered(dealt(parts.withColumn("session_id", F.coalesce("session_id", F.lit(""))), order), order, "packet_id")
+    return alone.unionByName(counted.select(*alone.columns))
 
 
 def decoded(frames: DataFrame) -> DataFrame:

@@ -19,12 +19,23 @@ ADDRESS = r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"
 
 
 def ip_token(i: Column) -> Column:
-    """10.255.x.y; past 65,536 addresses the second part counts down, so up to 2**24 tokens differ."""
-    return F.concat_ws(".", F.lit("10"), (255 - F.floor(i / 65536)).cast("string"), (F.floor(i / 256) % 256).cast("string"), (i % 256).cast("string"))
+    """10.255.x.y; past 65,536 addresses the second part counts down, past 2**24 they are 240.0.0.0 and on.
+
+    All 2**24 + 2**28 tokens differ; one more is an error.
+    """
+    j = i - (1 << 24)
+    octet = lambda n, at: F.floor(n / (1 << at)) % 256
+    first = F.array(F.lit(10).cast("long"), 255 - octet(i, 16), octet(i, 8), octet(i, 0))
+    more = F.array(240 + octet(j, 24), octet(j, 16), octet(j, 8), octet(j, 0))
+    out = F.array_join(F.transform(F.when(j < 0, first).otherwise(more), lambda x: x.cast("string")), ".")
+    return F.when(j < 1 << 28, out).otherwise(F.raise_error(F.lit("more addresses in a session than there are tokens")))
 
 
 def mac_token(i: Column) -> Column:
-    return F.concat(F.lit("02:00:00:00:"), F.lpad(F.lower(F.hex(F.floor(i / 256).cast("long"))), 2, "0"), F.lit(":"), F.lpad(F.lower(F.hex((i % 256).cast("long"))), 2, "0"))
+    """02:00:00:00:x:y and on; all 2**40 tokens differ, one more is an error."""
+    digits = F.lpad(F.lower(F.hex(i.cast("long"))), 10, "0")
+    out = F.concat(F.lit("02"), F.regexp_replace(digits, "(..)", ":$1"))
+    return F.when(i < 1 << 40, out).otherwise(F.raise_error(F.lit("more MACs in a session than there are tokens")))
 
 
 def _mac(at: int) -> Column:

@@ -1,12 +1,14 @@
 """TLS records, HTTP/1 messages and HTTP/2 frames of reassembled directions.
 
-Rows of ``reassemble`` arrive sorted by direction and order; each direction's scanner keeps the bytes of
-one unfinished unit only, at most 16 MiB.
+Rows of ``reassemble`` arrive sorted by direction and order.  A scanner takes a direction's bytes as they
+come and holds the head of one unfinished unit, or one TLS record: bodies are counted and let go.  What
+can't be read any further is given up at once, and its later bytes are dropped unread, so
+memory is bounded and each byte is looked at once or twice whatever the direction holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame
 from wiretide.functions.protocols import HTTP2_FRAMES, HTTP2_PREFACE, HTTP_METHODS, TLS_VERSIONS, Parts
 from wiretide.operators.reassembly import DIRECTION
 
-#: Longest record or frame, and longest HTTP message.
-MAX_UNIT, MAX_MESSAGE = 1 << 20, 1 << 24
+#: Longest HTTP/2 frame that a scan follows by default, and longest head of an HTTP message.
+MAX_UNIT, MAX_HEAD = 1 << 20, 1 << 24
 #: Fixed names of handshakes and cipher suites in streams.
 STREAM_HANDSHAKES = {1: "ClientHello", 2: "ServerHello", 4: "NewSessionTicket", 8: "EncryptedExtensions", 11: "Certificate", 12: "ServerKeyExchange", 14: "ServerHelloDone", 15: "CertificateVerify", 16: "ClientKeyExchange", 20: "Finished"}
 CIPHERS = {
@@ -77,27 +79,63 @@ def _record(kind: int, version: int, body: bytes) -> Unit:
     return unit
 
 
-def tls_units(held: bytearray) -> Iterator[Unit]:
-    """Whole records at the start of ``held``, which loses them; what is no record stops the scan."""
-    while len(held) >= 5 and 20 <= held[0] <= 24:
-        size = int.from_bytes(held[3:5], "big")
-        if len(held) < 5 + size:
-            return
-        kind, version, body = held[0], int.from_bytes(held[1:3], "big"), bytes(held[5 : 5 + size])
-        del held[: 5 + size]
-        yield _record(kind, version, body)
+class Scanner:
+    """Takes the bytes of a direction piece by piece and gives units; ``live`` is false once nothing can follow."""
 
+    def __init__(self) -> None:
+        self.held, self.live = bytearray(), True
 
-def http2_units(held: bytearray) -> Iterator[Unit]:
-    """Whole frames; a frame over MAX_UNIT stops the scan."""
-    while len(held) >= 9:
-        size, kind, flags = int.from_bytes(held[:3], "big"), held[3], held[4]
-        stream = int.from_bytes(held[5:9], "big") & 0x7FFFFFFF
-        if size > MAX_UNIT or len(held) < 9 + size:
-            return
-        del held[: 9 + size]
-        name = HTTP2_FRAMES[kind] if kind < len(HTTP2_FRAMES) else f"type={kind}"
-        yield {"protocol": "http2", "kind": name, "size": size, "summary": f"HTTP/2 {name} stream={stream} len={size} flags={flags:#x}"}
+    def feed(self, data: bytes) -> Iterator[Unit]:
+        self.held += data
+        yield from self.units()
+        if not self.live:
+            self.held = bytearray()
+
+    def units(self) -> Iterator[Unit]:
+        raise NotImplementedError
+
+
+class Tls(Scanner):
+    """Whole records; what is no record ends the scan."""
+
+    def units(self) -> Iterator[Unit]:
+        at, held = 0, self.held
+        while self.live and len(held) - at >= 5:
+            size = int.from_bytes(held[at + 3 : at + 5], "big")
+            self.live = 20 <= held[at] <= 24
+            if not self.live or len(held) - at < 5 + size:
+                break
+            yield _record(held[at], int.from_bytes(held[at + 1 : at + 3], "big"), bytes(held[at + 5 : at + 5 + size]))
+            at += 5 + size
+        del held[:at]
+
+
+class Http2(Scanner):
+    """Whole frames, whose bodies are counted only; a frame over ``most`` bytes ends the scan."""
+
+    def __init__(self, most: int | None = MAX_UNIT) -> None:
+        super().__init__()
+        self.most, self.pending, self.body = most, None, 0
+
+    def units(self) -> Iterator[Unit]:
+        at, held = 0, self.held
+        while self.live:
+            if self.pending is not None:
+                step = min(self.body, len(held) - at)
+                at, self.body = at + step, self.body - step
+                if self.body:
+                    break
+                unit, self.pending = self.pending, None
+                yield unit
+            if len(held) - at < 9:
+                break
+            size, kind, flags = int.from_bytes(held[at : at + 3], "big"), held[at + 3], held[at + 4]
+            stream = int.from_bytes(held[at + 5 : at + 9], "big") & 0x7FFFFFFF
+            self.live = self.most is None or size <= self.most
+            name = HTTP2_FRAMES[kind] if kind < len(HTTP2_FRAMES) else f"type={kind}"
+            self.pending, self.body = {"protocol": "http2", "kind": name, "size": size, "summary": f"HTTP/2 {name} stream={stream} len={size} flags={flags:#x}"}, size
+            at += 9
+        del held[:at]
 
 
 def _framing(head: bytes) -> int | str | None:
@@ -125,53 +163,108 @@ def _start_line(head: bytes) -> tuple[str, str] | None:
     return None
 
 
-def http1_units(held: bytearray) -> Iterator[Unit]:
-    """Whole messages; a chunked one reaches to the last end of chunks that is there."""
-    while (head := held.find(b"\r\n\r\n") + 4) >= 4:
-        found = _start_line(bytes(held[: head - 4]))
-        if found is None:
-            return
-        length = _framing(bytes(held[:head]))
-        end = held.rfind(b"0\r\n\r\n") + 5 if length == "chunked" else head + (length or 0)
-        if end < head or len(held) < end:
-            break
-        del held[:end]
-        yield {"protocol": "http", "kind": found[0], "size": end, "summary": found[1]}
-    if len(held) > MAX_MESSAGE:
-        del held[: MAX_MESSAGE // 2]
+_STARTS = tuple(m.encode() + b" " for m in HTTP_METHODS)
+
+
+def _may_start(first: bytes) -> bool:
+    """Whether bytes can be the beginning of a message's head."""
+    return first[:5] == b"HTTP/"[: len(first)] or any(first[: len(m)] == m[: len(first)] for m in _STARTS)
+
 
+class Http1(Scanner):
+    """Whole messages: a body is counted by its length, a chunked one reaches to the last end of chunks in the piece that has one.
 
-def scanner(first: bytes) -> tuple[Callable[[bytearray], Iterator[Unit]] | None, int]:
+    A head that is no HTTP ends the scan, as does one that has no end within ``most`` bytes.
+    """
+
+    END = b"0\r\n\r\n"
+
+    def __init__(self, most: int | None = MAX_HEAD) -> None:
+        super().__init__()
+        self.most, self.searched = most, 0
+        self.found, self.size, self.body = None, 0, 0  # head in hand, bytes of the message let go, bytes of its body to come (-1: chunked)
+
+    def units(self) -> Iterator[Unit]:
+        while self.live:
+            if self.found is None and not self._head():
+                return
+            n = len(self.held)
+            if self.body >= 0:
+                take = min(self.body, n)
+                self.body -= take
+                done = self.body == 0
+            else:
+                end = self.held.rfind(self.END)
+                done = end >= 0
+                take = end + len(self.END) if done else max(0, n - len(self.END) + 1)  # an end may be cut in two
+            del self.held[:take]
+            self.size += take
+            if not done:
+                return
+            yield {"protocol": "http", "kind": self.found[0], "size": self.size, "summary": self.found[1]}
+            self.found, self.searched = None, 0
+
+    def _head(self) -> bool:
+        held = self.held
+        if not _may_start(bytes(held[:8])):
+            self.live = False
+            return False
+        at = held.find(b"\r\n\r\n", max(0, self.searched - 3))
+        self.searched = len(held)
+        if at < 0:
+            self.live = self.most is None or len(held) <= self.most
+            return False
+        self.found = _start_line(bytes(held[:at]))
+        if self.found is None:
+            self.live = False
+            return False
+        length = _framing(bytes(held[: at + 4]))
+        self.size, self.body = at + 4, -1 if length == "chunked" else length or 0
+        del held[: at + 4]
+        return True
+
+
+def scanner(first: bytes, most_frame: int | None = MAX_UNIT, most_head: int | None = MAX_HEAD) -> tuple[Scanner | None, int]:
     """The scanner for a direction that begins with these bytes and what it skips; None while they are too few to tell."""
     if first[:1] == b"\x16":
-        return tls_units, 0
+        return Tls(), 0
     n = min(len(first), len(HTTP2_PREFACE))
     if first[:n] == HTTP2_PREFACE[:n]:
-        return (http2_units, n) if len(first) >= len(HTTP2_PREFACE) + 9 else (None, 0)
-    return http1_units, 0
+        return (Http2(most_frame), n) if len(first) >= len(HTTP2_PREFACE) + 9 else (None, 0)
+    return Http1(most_head), 0
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(most_frame: int | None = MAX_UNIT, most_head: int | None = MAX_HEAD):
     names = [c.split()[0] for c in UNITS.split(", ")]
-    key, held, scan, n = None, bytearray(), None, 0
-    for batch in batches:
-        out = []
-        for session, flow, resp, data in batch.itertuples(index=False, name=None):
-            if (session, flow, resp) != key:
-                key, held, scan, n = (session, flow, resp), bytearray(), None, 0
-            held += data
-            if scan is None and held:
-                scan, skip = scanner(bytes(held[: len(HTTP2_PREFACE) + 9]))
-                del held[:skip]
-            for unit in scan(held) if scan else ():
-                n += 1
-                out.append((*key, n, *(unit.get(c) for c in names[4:])))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-
-def stream_units(reassembled: DataFrame) -> DataFrame:
-    """Protocol units of each direction, numbered in order: TLS if it begins with a handshake record, HTTP/2 after its preface, else HTTP/1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, first, scan, n = None, b"", None, 0
+        for batch in batches:
+            out = []
+            for session, flow, resp, data in batch.itertuples(index=False, name=None):
+                if (session, flow, resp) != key:
+                    key, first, scan, n = (session, flow, resp), b"", None, 0
+                if scan is None and data:
+                    first, data = first + bytes(data), b""
+                    scan, skip = scanner(first, most_frame, most_head)
+                    if scan:
+                        data, first = first[skip:], b""
+                if scan is None or not scan.live:
+                    continue
+                for unit in scan.feed(data):
+                    n += 1
+                    out.append((*key, n, *(unit.get(c) for c in names[4:])))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def stream_units(reassembled: DataFrame, most_frame: int | None = MAX_UNIT, most_head: int | None = MAX_HEAD) -> DataFrame:
+    """Protocol units of each direction, numbered in order: TLS if it begins with a handshake record, HTTP/2 after its preface, else HTTP/1.
+
+    A longer HTTP/2 frame or HTTP/1 head than allowed ends its direction's scan; None allows any.  Bodies of any length are counted whole.
+    """
     r = reassembled.where("octet_length(data) > 0").selectExpr("session_id", "flow_id", "resp", "coalesce(packet_id, 9223372036854775807) at", "data")
     r = r.repartition(*DIRECTION).sortWithinPartitions(*DIRECTION, "at").select(*DIRECTION, "data")
-    return r.mapInPandas(_scan, UNITS)
+    return r.mapInPandas(_scan(most_frame, most_head), UNITS)

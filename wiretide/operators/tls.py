@@ -30,12 +30,18 @@ _RECORDS = "session_id string, flow_id long, resp boolean, n long, offset long,
 
 
 def read_keylog(spark: SparkSession, path: str) -> DataFrame:
-    """``(label, client_random, secret)`` of the lines of a key log that have a known label; others are left out, repeated ones count once."""
+    """``(label, client_random, secret)`` of the lines of a key log that have a known label; others are left out.
+
+    Of several secrets for one label and random the last line counts, of the last file by name.
+    """
     words = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).select(words.alias("w")).where(F.size("w") == 3)
+    # blocks of a file hold its lines in order, and rows of a block are numbered upwards
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(words.alias("w"), place.alias("at")).where(F.size("w") == 3)
     known = F.col("w")[0].isin(TLS12_LABEL, *TLS13_LABELS)
-    parsed = lines.where(known).select(F.col("w")[0].alias("label"), F.expr("try_to_binary(w[1], 'hex')").alias("client_random"), F.expr("try_to_binary(w[2], 'hex')").alias("secret"))
-    return parsed.where("client_random is not null and secret is not null").dropDuplicates(["label", "client_random"])
+    parsed = lines.where(known).select(F.col("w")[0].alias("label"), F.expr("try_to_binary(w[1], 'hex')").alias("client_random"), F.expr("try_to_binary(w[2], 'hex')").alias("secret"), "at")
+    known = parsed.where("client_random is not null and secret is not null")
+    return known.groupBy("label", "client_random").agg(F.max_by("secret", "at").alias("secret"))
 
 
 def _hello(body: bytes) -> tuple[int | None, bytes | None, int | None, bool]:

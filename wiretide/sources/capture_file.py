@@ -23,6 +23,8 @@ ROLL = 256 << 20
 MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
 ETHERNET, SNAPLEN = 1, 65535
+#: Folder of rows whose session is null.
+NO_SESSION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def _classic(data: bytes) -> Iterator[tuple[int, bytes, int]]:
@@ -151,14 +153,15 @@ class CaptureWriter(DataSourceArrowWriter):
     def write(self, iterator) -> Written:
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        files, out, size = [], None, 0
+        files, out, size, here = [], None, 0, None
         for batch in iterator:
-            for ts, raw, whole in zip(*(batch.column(c).to_pylist() for c in ("ts_us", "raw", "orig_len")), strict=True):
-                if out is None or size >= self.roll:
+            for folder, ts, raw, whole in zip(*(batch.column(c).to_pylist() for c in ("folder", "ts_us", "raw", "orig_len")), strict=True):
+                if out is None or size >= self.roll or folder != here:
                     if out is not None:
                         out.close()
-                    name = f"part-{uuid.uuid4().hex}.{self.kind}"
-                    files.append((f"{root}/_tmp-{name}", f"{root}/{name}"))
+                    here, name = folder, f"part-{uuid.uuid4().hex}.{self.kind}"
+                    store.create_dir(f"{root}/{folder}", recursive=True)
+                    files.append((f"{root}/{folder}/_tmp-{name}", f"{root}/{folder}/{name}"))
                     out, size = store.open_output_stream(files[-1][0]), 0
                     out.write(_head(self.kind))
                 record = _record(self.kind, ts, raw or b"", whole)
@@ -182,14 +185,14 @@ class CaptureWriter(DataSourceArrowWriter):
 
 
 class CaptureSink(DataSource):
-    """``df.write.format("wiretide_capture").option("kind", "pcapng").save(path)`` for ts_us, raw and orig_len."""
+    """``df.write.format("wiretide_capture").option("kind", "pcapng").save(path)`` for folder, ts_us, raw and orig_len; rows of a folder below the path stand together."""
 
     @classmethod
     def name(cls) -> str:
         return "wiretide_capture"
 
     def schema(self) -> str:
-        return "ts_us long, raw binary, orig_len long"
+        return "folder string, ts_us long, raw binary, orig_len long"
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(dict(self.options))
@@ -199,11 +202,19 @@ def write_captures(packets: DataFrame, path: str, kind: str = "pcap", roll: int
     """Writes ts_us and raw as capture files, each in time order; rows without a time are left out.
 
     Where there is a column orig_len it is written as the packet's length before it was cut, else that of raw.
+    Where there is a column session_id, each session has a folder ``session_id=<name>`` of its own (names
+    with special characters are percent-encoded), else all files are in one.
 
     Files cover any share of the packets; a reader that needs one order sorts by ts_us.
     """
-    packets.sparkSession.dataSource.register(CaptureSink)
+    spark = packets.sparkSession
+    spark.dataSource.register(CaptureSink)
     kept = F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long")
     whole = F.greatest(kept, F.coalesce(F.col("orig_len").cast("long"), kept)) if "orig_len" in packets.columns else kept
-    rows = packets.select(F.col("ts_us").cast("long").alias("ts_us"), "raw", whole.alias("orig_len")).where("ts_us is not null").sortWithinPartitions("ts_us")
+    own = "session_id" in packets.columns
+    folder = F.concat(F.lit("session_id="), F.coalesce(F.url_encode(F.col("session_id").cast("string")), F.lit(NO_SESSION))) if own else F.lit(".")
+    rows = packets.select(folder.alias("folder"), F.col("ts_us").cast("long").alias("ts_us"), "raw", whole.alias("orig_len")).where("ts_us is not null")
+    if own:  # few files a session, and no task with all of a large one
+        rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", "ts_us")
+    rows = rows.sortWithinPartitions("folder", "ts_us")
     rows.write.format("wiretide_capture").option("path", path).option("kind", kind).option("roll", str(roll)).mode("append").save()

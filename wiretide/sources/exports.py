@@ -106,7 +106,12 @@ def _to_csv(path: str, packets: DataFrame, flows: DataFrame, events: DataFrame,
 
 
 def _to_capture(kind: str) -> Callable[..., None]:
-    return lambda path, packets, flows, events: write_captures(packets.select("ts_us", "raw"), path, kind)
+    """A folder of capture files for each session, with original lengths where packets have them."""
+
+    def write(path: str, packets: DataFrame, flows: DataFrame, events: DataFrame) -> None:
+        write_captures(packets.select("session_id", "ts_us", "raw", *[c for c in ("orig_len",) if c in packets.columns]), path, kind)
+
+    return write
 
 
 FORMATS: dict[str, Callable[..., None]] = {"pcap": _to_capture("pcap"), "pcapng": _to_capture("pcapng"), "json": _to_json, "ndjson": _to_ndjson, "csv": _to_csv}
