@@ -1,11 +1,18 @@
-"""Bidirectional flows, TCP states and the event timeline, by windows over each flow in capture order."""
+"""Bidirectional flows, TCP states and the event timeline.
+
+A flow's state after a packet depends on four things of the packets so far: which sides sent a SYN and a FIN, the
+last decisive flag, whether a plain acknowledgement followed it, and who began.  Each is a maximum, a minimum or a
+bit union, so a block of a flow's packets has a small summary, and summaries of blocks add up.  A flow
+of any length is thus worked on in all tasks: blocks are summed up, summaries carried over, and windows run
+within a block only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretide.operators.ordered import dealt, numbered
+from wiretide.operators.ordered import block_of, numbered_in_blocks
 from wiretide.operators.scratch import materialize
 
 KEY = ["session_id", "protocol", "ka", "kb"]
@@ -42,38 +49,94 @@ def rollup(packets: DataFrame) -> DataFrame:
     return g.select("session_id", "protocol", "f.source", "f.destination", "f.src_port", "f.dst_port", F.col("f.ts_us").alias("start_us"), "end_us", "packet_count", "bytes", F.col("f.packet_id").alias("first_packet"), "ka", "kb")
 
 
-def tracked(packets: DataFrame) -> DataFrame:
-    """Every packet with its flow's id, initiator, direction, fine and coarse TCP state.
+#: Bits of sides that sent a SYN and a FIN: side a, side b.
+SYN_A, SYN_B, FIN_A, FIN_B = 1, 2, 4, 8
+#: Decisive flags; a code is packet * CODES + flag * 2 + side, so the greatest code is the last flag.
+RST, FIN, SYN, CODES = 0, 1, 2, 8
+
+
+def _bit(mask: int) -> Column:
+    return F.col("flags").bitwiseAND(F.lit(mask)) != 0
+
+
+def with_flags(keyed: DataFrame) -> DataFrame:
+    """Adds what a packet adds to its flow's state: ``side``, ``bits``, ``code`` of a decisive flag, ``plain`` packet number of an acknowledgement.
 
-    One shuffle by flow serves all windows; the result is stored, so flows and events come from one
-    pass.  State is the last decisive flag, promoted by a later plain ACK; a reset hides its own SYN
-    and FIN bits.  Flow ids are dense, in first-seen order within each session.
+    A reset hides its own SYN, FIN and ACK.
     """
-    p = keyed(packets)
-    w = Window.partitionBy(*KEY).orderBy("packet_id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("init", F.first(F.struct("source", "src_port", "destination", "dst_port")).over(upto)).withColumn("n", F.row_number().over(w)).withColumn("first_packet", F.first("packet_id").over(upto))
-    p = p.withColumn("resp", (F.col("source") == F.col("init.destination")) & (F.coalesce("src_port", F.lit(0)) == F.coalesce("init.dst_port", F.lit(0))))
-    bit = lambda m: F.col("flags").bitwiseAND(F.lit(m)) != 0
+    side = F.when(F.struct(F.col("source").alias("h"), F.coalesce("src_port", F.lit(0)).alias("p")).eqNullSafe(F.col("ka")), 0).otherwise(1)
     tcp = F.col("protocol") == "TCP"
-    rst = tcp & bit(4)
-    syn, fin, ack = tcp & bit(2) & ~bit(4), tcp & bit(1) & ~bit(4), tcp & bit(16) & ~bit(4)
-    seen = lambda c: F.max(c.cast("int")).over(upto) == 1
-    p = p.withColumn("cs", seen(syn & ~F.col("resp"))).withColumn("ss", seen(syn & F.col("resp"))).withColumn("cf", seen(fin & ~F.col("resp"))).withColumn("sf", seen(fin & F.col("resp")))
-    decisive = (
-        F.when(rst, "RESET")
-        .when(fin, F.when(F.col("cf") & F.col("sf"), "CLOSED").when(F.col("resp"), "CLOSE_WAIT").otherwise("FIN_WAIT"))
-        .when(syn, F.when((F.col("cs") & F.col("ss")) | F.col("resp"), "SYN_RECEIVED").otherwise("SYN_SENT"))
+    rst, b = tcp & _bit(4), F.col("side") == 1
+    syn, fin, ack = tcp & _bit(2) & ~_bit(4), tcp & _bit(1) & ~_bit(4), tcp & _bit(16) & ~_bit(4)
+    bits = F.when(syn, F.when(b, SYN_B).otherwise(SYN_A)).otherwise(0) + F.when(fin, F.when(b, FIN_B).otherwise(FIN_A)).otherwise(0)
+    flag = F.when(rst, RST).when(fin, FIN).when(syn, SYN)
+    plain = F.when(ack & ~syn & ~fin, F.col("packet_id"))
+    return keyed.withColumn("side", side).withColumns({"bits": bits, "code": F.col("packet_id") * CODES + flag * 2 + F.col("side"), "plain": plain})
+
+
+def state_of(bits: Column, code: Column, plain: Column, first_side: Column, one: Column) -> Column:
+    """Fine state from the bits so far, the last decisive code and the last plain acknowledgement.
+
+    ``one``: both endpoints are the same, and all packets count as answers.
+    """
+    flag, resp = F.floor(code / 2) % 4, (code % 2 != first_side) | one
+    both = lambda two: (bits.bitwiseAND(F.lit(two)) == two) & ~one
+    decided = (
+        F.when(flag == RST, "RESET")
+        .when(flag == FIN, F.when(both(FIN_A | FIN_B), "CLOSED").when(resp, "CLOSE_WAIT").otherwise("FIN_WAIT"))
+        .when(flag == SYN, F.when(plain > F.floor(code / CODES), "ESTABLISHED").when(both(SYN_A | SYN_B) | resp, "SYN_RECEIVED").otherwise("SYN_SENT"))
     )
-    p = p.withColumn("abs", decisive).withColumn("plain", F.when(ack & ~syn & ~fin, F.col("n")))
-    p = p.withColumn("last", F.last("abs", ignorenulls=True).over(upto)).withColumn("last_n", F.max(F.when(F.col("abs").isNotNull(), F.col("n"))).over(upto)).withColumn("ack_n", F.max("plain").over(upto))
-    state = F.when(F.col("last").isin("SYN_SENT", "SYN_RECEIVED") & (F.col("ack_n") > F.col("last_n")), "ESTABLISHED").otherwise(F.coalesce("last", F.lit("NONE")))
-    p = p.withColumn("tcp_state", state).withColumn("state", mapped(state, COARSE, F.lit("NONE")))
-    p = p.withColumn("previous", F.lag("state", 1, "NONE").over(w))
-    p = materialize(p.drop("cs", "ss", "cf", "sf", "abs", "plain", "last", "last_n", "ack_n", "ka", "kb"), "tracked")
-    starts = dealt(p.where("n = 1").select("session_id", "first_packet"), ["first_packet"])
-    ids = numbered(starts, ["first_packet"], "flow_id").select("session_id", "first_packet", "flow_id")
-    return p.join(ids, ["session_id", "first_packet"]).drop("first_packet")
+    return F.coalesce(decided, F.lit("NONE"))
+
+
+def summaries(packets: DataFrame) -> DataFrame:
+    """``(*KEY, block, count, first, bits, code, plain)``: each flow's packets in each block, combined before they are shuffled."""
+    first = F.min(F.struct("packet_id", "source", "src_port", "destination", "dst_port", "side")).alias("first")
+    p = with_flags(keyed(packets)).withColumn("block", block_of(F.col("packet_id")))
+    return p.groupBy(*KEY, "block").agg(F.count("*").alias("count"), first, F.bit_or("bits").alias("bits"), F.max("code").alias("code"), F.max("plain").alias("plain"))
+
+
+def _carried(blocks: DataFrame) -> DataFrame:
+    """Each block's state before its first packet, its flow's number and first packet."""
+    w = Window.partitionBy(*KEY).orderBy("block")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    c = blocks.select(
+        *KEY, "block", F.first("first").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("init"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("n0"),
+        F.coalesce(F.bit_or("bits").over(before), F.lit(0)).alias("bits0"), F.max("code").over(before).alias("code0"), F.max("plain").over(before).alias("plain0"), (F.row_number().over(w) == 1).alias("begins"),
+    )
+    c = materialize(c.withColumn("first_packet", F.col("init.packet_id")), "carried")
+    starts = c.where("begins").select("session_id", "first_packet")
+    ids = numbered_in_blocks(starts, block_of(F.col("first_packet")), ["first_packet"], "flow_id")
+    return c.join(ids, ["session_id", "first_packet"]).drop("begins", "first_packet")
+
+
+def tracked(packets: DataFrame) -> DataFrame:
+    """Every packet with its flow's id, initiator, direction, fine and coarse TCP state, stored.
+
+    State is the last decisive flag, promoted by a later plain ACK.  Flow ids are dense, in first-seen
+    order within each session.  packet_id tells the packets of a session apart and orders them.
+    """
+    own = packets.columns
+    carried = _carried(materialize(summaries(packets), "blocks"))
+    # null parts of keys meet too
+    at = ["session_id", "protocol", "ka", "kb", "block"]
+    p = with_flags(keyed(packets)).withColumn("block", block_of(F.col("packet_id")))
+    c = carried.select(*[F.col(x).alias(f"_{x}") for x in at], *[x for x in carried.columns if x not in at])
+    p = p.join(c, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in at]).drop(*[f"_{x}" for x in at])
+    w = Window.partitionBy(*at).orderBy("packet_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumns({
+        "n": F.row_number().over(w) + F.col("n0"), "bits": F.bit_or("bits").over(upto).bitwiseOR(F.col("bits0")),
+        "code": F.greatest(F.max("code").over(upto), F.col("code0")), "plain": F.greatest(F.max("plain").over(upto), F.col("plain0")),
+    })
+    first_side, one = F.col("init.side"), F.col("ka") == F.col("kb")
+    state = state_of(F.col("bits"), F.col("code"), F.col("plain"), first_side, one)
+    carried_state = state_of(F.col("bits0"), F.col("code0"), F.col("plain0"), first_side, one)
+    p = p.withColumn("tcp_state", state).withColumn("state", mapped(F.col("tcp_state"), COARSE, F.lit("NONE")))
+    p = p.withColumn("previous", F.coalesce(F.lag("state", 1).over(w), mapped(carried_state, COARSE, F.lit("NONE"))))
+    init = F.struct("init.source", "init.src_port", "init.destination", "init.dst_port")
+    out = p.select(*own, init.alias("init"), F.col("n").cast("long").alias("n"), ((F.col("side") != first_side) | one).alias("resp"), "tcp_state", "state", "previous", "flow_id")
+    return materialize(out, "tracked")
 
 
 def flows_of(tracked: DataFrame) -> DataFrame:
@@ -105,9 +168,11 @@ def packet_events(tracked: DataFrame) -> DataFrame:
 
 
 def in_insertion_order(events: DataFrame) -> DataFrame:
-    """Events ``(.., packet_id, pos)`` numbered by packet and place; those without a packet come last."""
+    """Events ``(.., packet_id, pos)`` numbered by packet and place; those without a packet come last.  events should be stored."""
     e = events.withColumn("at", F.coalesce("packet_id", F.lit((1 << 63) - 1)))
-    return numbered(dealt(e, ["at", "pos"]), ["at", "pos"], "event_id").select("session_id", "event_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
+    # blocks of those without a packet follow all others
+    block = F.coalesce(block_of(F.col("packet_id")), F.lit(1 << 62) + block_of(F.col("pos")))
+    return numbered_in_blocks(e, block, ["at", "pos"], "event_id").select("session_id", "event_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
 
 
 def events_of(tracked: DataFrame) -> DataFrame:

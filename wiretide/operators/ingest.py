@@ -69,7 +69,7 @@ def issue_events(tracked: DataFrame) -> DataFrame:
 def timeline(tracked: DataFrame) -> DataFrame:
     """All events of tracked packets with payloads, numbered: packets' own, then reassembly's of each packet, the open holes last."""
     own = W.packet_events(tracked).withColumn("pos", F.col("pos").cast("long"))
-    return W.in_insertion_order(own.unionByName(issue_events(tracked)))
+    return W.in_insertion_order(materialize(own.unionByName(issue_events(tracked)), "events"))
 
 
 def ingest(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,8 +1,9 @@
 """Row numbers, previous values and running sums in one order within each session.
 
-A window by session alone would put a whole capture into one task.  Here rows are dealt into ranges
-of (session, order); windows run within a range, and a small table of range totals carries
-numbers, last values and sums over from the ranges before.
+A window by session alone would put a whole capture into one task.  Orders that begin with a packet's
+number are cut into blocks of BLOCK numbers: windows run within a block of a session or flow, by
+one hash shuffle, and a small table of block totals carries numbers and states over from the
+blocks before.  For other orders rows are dealt into ranges of (session, order), found by sampling.
 """
 
 from __future__ import annotations
@@ -13,6 +14,27 @@ from pyspark.sql import functions as F
 from wiretide.operators.scratch import materialize
 
 KEY = "session_id"
+#: Packets of a session in a block.
+BLOCK = 1 << 17
+
+
+def block_of(packet_id: Column) -> Column:
+    """The block of a packet; null for null."""
+    return F.floor(packet_id / F.lit(BLOCK)).cast("long")
+
+
+def numbered_in_blocks(df: DataFrame, block: Column, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, 1, 2, ... in order within each session.
+
+    Blocks must follow the order, so that all rows of one come before those of the next.  df is read
+    twice, the first time for its session and block alone, so it should be stored.
+    """
+    d = df.withColumn("_block", block)
+    w = Window.partitionBy(KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(KEY, "_block").agg(F.count("*").alias("_n"))
+    before = per.select(KEY, "_block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(KEY, "_block").orderBy(*order))
+    return d.withColumn(name, own).join(before, [KEY, "_block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_block", "_before")
 
 
 def dealt(df: DataFrame, order: list[str]) -> DataFrame:
