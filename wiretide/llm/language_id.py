@@ -16,13 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import as_binary, table
+from wiretide.llm.common import as_binary, materialize, table
 
 DIMENSIONS = 1024
 #: Training documents for each language, in expectation; more are not needed for a prototype.
 TRAIN_PER_LANGUAGE = 4000
-#: Most different languages that are learned; a column with more is no column of languages.
-MAX_LANGUAGES = 1000
 #: Bytes of text, and texts, handled at once; a longer text is walked in pieces.
 CHUNK, TEXTS = 1 << 19, 1024
 #: n-grams whose vectors exist at once, and texts counted against them.
@@ -163,17 +161,16 @@ def train_prototypes(labelled: DataFrame, text_col: str, lang_col: str, id_col:
     """Prototype of each language: sums are made in tasks and by lang; one vector a language reaches the driver.
 
     At most about ``per_language`` documents of a language are used, chosen by a hash of id and
-    text.  Rows without lang or text teach nothing; an empty table gives no prototypes.
+    text.  Every value of lang is a language, however many there are; what is gathered, and sent to
+    tasks, is ``dims`` numbers for each.  Rows without lang or text teach nothing; an empty table
+    gives no prototypes.
     """
     rows = labelled.where(F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col)).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} different values")
-    if not counts:
-        return {}
+    # stored, so its size is known before texts are read: the few rows are broadcast by Spark's own rule
+    per = materialize(rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_count")), "languages")
     share = F.pmod(F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    odds = F.create_map(*[F.lit(x) for name, c in counts for x in (name, per_language / c)])
-    picked = rows.where((share < F.element_at(odds, F.col(lang_col))) & F.col(text_col).isNotNull())
+    taught = rows.where(F.col(text_col).isNotNull()).withColumn("_share", share).join(per, F.col(lang_col) == F.col("_lang"))
+    picked = taught.where(F.col("_share") < per_language / F.col("_count"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
