@@ -8,15 +8,16 @@ that was written before it.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed tables: rows that are only added, and records with their keys.
-TABLES = ("packets", "events", "facts", "chunks")
-RECORDS = {"flows": ["session_id", "flow_id"], "meta": ["session_id", "name"], "scenarios": ["session_id", "id"], "runs": ["session_id", "id"], "annotations": ["session_id", "id"]}
+#: Fixed tables: rows that are only added, and records with their keys; those of a stream name a flow by its first packet.
+TABLES = ("packets", "events", "facts", "chunks", "live_events")
+RECORDS = {"flows": ["session_id", "flow_id"], "live_flows": ["session_id", "first_packet"], "meta": ["session_id", "name"], "scenarios": ["session_id", "id"], "runs": ["session_id", "id"], "annotations": ["session_id", "id"]}
 #: Fixed order of lists of records.
-ORDER = {"flows": ["start_us", "flow_id"], "meta": ["name"], "scenarios": ["created_at", "id"], "runs": ["started_at", "id"], "annotations": ["created_at", "id"]}
+ORDER = {"flows": ["start_us", "flow_id"], "live_flows": ["first_packet"], "meta": ["name"], "scenarios": ["created_at", "id"], "runs": ["started_at", "id"], "annotations": ["created_at", "id"]}
 
 
 class Store:
@@ -27,26 +28,28 @@ class Store:
 
     def _read(self, name: str) -> DataFrame | None:
         try:
-            return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{name}")
+            return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{name}").drop("batch")
         except Exception as e:  # a table that nothing was written to
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
-    def _write(self, name: str, rows: DataFrame) -> None:
-        rows.withColumn("_version", F.lit(time.time_ns())).repartition("session_id", F.spark_partition_id()).write.partitionBy("session_id").mode("append").parquet(f"{self.path}/{name}")
+    def _write(self, name: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Rows go into a folder of their batch; a batch that is written again takes the place of its first writing."""
+        folder = f"{self.path}/{name}/batch={batch or uuid.uuid4().hex}"
+        rows.withColumn("_version", F.lit(time.time_ns())).repartition("session_id", F.spark_partition_id()).write.partitionBy("session_id").mode("overwrite").parquet(folder)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Adds rows with a session_id to a table of TABLES."""
+    def append(self, name: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Adds rows with a session_id to a table of TABLES; a named batch counts once, however often it is added."""
         if name not in TABLES:
             raise ValueError(f"unknown table: {name!r}")
-        self._write(name, rows)
+        self._write(name, rows, batch)
 
-    def put(self, name: str, records: DataFrame) -> None:
-        """Adds records, or newer versions of records with the same key, to a table of RECORDS."""
+    def put(self, name: str, records: DataFrame, batch: str | None = None) -> None:
+        """Adds records, or newer versions of records with the same key, to a table of RECORDS; batch as in append."""
         if name not in RECORDS:
             raise ValueError(f"unknown table: {name!r}")
-        self._write(name, records)
+        self._write(name, records, batch)
 
     def remove(self, name: str, keys: DataFrame) -> None:
         """Removes the records with these keys: a version that says so."""
