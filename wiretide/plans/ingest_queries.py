@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,12 @@ from wiretide.operators import ingest as I  # noqa: E741
 from wiretide.operators import sanitize as Z
 from wiretide.operators import sessions as V
 from wiretide.operators import tcp_metrics as T
-from wiretide.operators.scratch import materialize
+from wiretide.operators.scratch import materialize, shared_folder
 from wiretide.plans.oracle import BASE
 from wiretide.sources import exports as X
-from wiretide.sources.adapter import frames, packets
+from wiretide.sources.adapter import frames, packet_stream, packets
+from wiretide.sources.store import Store
+from wiretide.streaming.ingest import ingest_stream, ingested
 
 
 def _decoded(s, d) -> DataFrame:
@@ -31,6 +35,16 @@ def frame_timeline(s, d):
     return I.ingest(materialize(frames(packets(s, d)), "frames"))[2]
 
 
+def stream_frame_events(s, d):
+    """The events of ``frame_events``, from a stream of frames through the store."""
+    base = f"{shared_folder(s)}/live-{uuid.uuid4().hex[:12]}"
+    stream = frames(packet_stream(s, d)).select("session_id", "packet_id", "ts_us", "raw")
+    store = Store(s, f"{base}/store")
+    ingest_stream(stream, store, f"{base}/state").awaitTermination()
+    issue = F.col("event_type").isin(*I.ISSUES.values())
+    return ingested(store)[1].where(~issue).select("session_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
+
+
 def frame_facts(s, d):
     return V.facts(_decoded(s, d))
 
@@ -79,7 +93,7 @@ def sanitize_report(s, d):
     return Z.sanitize(materialize(raw, "captured"), W.flows_of(t), W.events_of(t))[3]
 
 
-QUERIES = {f.__name__: f for f in (frame_events, frame_timeline, frame_facts, tcp_metrics, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
+QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, tcp_metrics, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
 
 _WEB = "concat('GET /', k, ' HTTP/1.1', chr(13), chr(10), 'Host: h', k, '.example.com', chr(13), chr(10), chr(13), chr(10))"
 _REPLY = "concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), chr(13), chr(10))"
@@ -130,6 +144,7 @@ SELECT session_id, event_id, ancestor_id, distance FROM an"""
 _SELECTS = {
     "event_ancestors": _PARENTS,
     "frame_events": _OWN,
+    "stream_frame_events": _OWN,
     "frame_facts": " UNION ALL ".join(_FACT.format(*f) for f in _FACTS),
     "tcp_metrics": _METRICS,
     "payload_hex": _HEX,

@@ -56,12 +56,6 @@ st AS (
     (SELECT session_id, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM p GROUP BY 1) a
     JOIN (SELECT session_id, sum(bytes)::BIGINT AS bytes, count(*) AS flows, count(*) FILTER (state = 'RST') AS resets FROM f GROUP BY 1) b USING (session_id)
     JOIN (SELECT session_id, count(*) AS events, count(*) FILTER (event_type IN ('STREAM_RETRANSMISSION', 'STREAM_OVERLAP')) AS retransmissions FROM ev GROUP BY 1) c USING (session_id)),
-dom AS (
-  SELECT session_id, kind, feature, count(*) AS count FROM (
-    SELECT session_id, 'domain' AS kind, lower(regexp_extract(summary, 'DNS (?:QUERY|RESPONSE) ([^\s(]+)', 1)) AS feature FROM ev WHERE event_type IN ('DNS', 'TLS') AND event_id <= 50000
-    UNION ALL SELECT session_id, 'domain', lower(regexp_extract(summary, 'sni=([^\s]+)', 1)) FROM ev WHERE event_type IN ('DNS', 'TLS') AND event_id <= 50000
-    UNION ALL SELECT session_id, 'ip', source FROM f UNION ALL SELECT session_id, 'ip', destination FROM f
-    UNION ALL SELECT session_id, 'port', concat(protocol, ':', dst_port) FROM f WHERE dst_port <> 0) WHERE feature <> '' GROUP BY 1, 2, 3),
 cat AS (SELECT *, CASE dst_port WHEN 80 THEN 'web' WHEN 443 THEN 'web-alt' WHEN 8080 THEN 'web-alt2' WHEN 53 THEN 'dns' WHEN 25 THEN 'mail' WHEN 587 THEN 'mail-alt' ELSE CASE WHEN dst_port IS NULL THEN 'none' WHEN dst_port < 1024 THEN 'well-known' ELSE 'ephemeral' END END AS category FROM f),
 pat AS (
   SELECT session_id, kind, feature, count(*) AS count FROM (
@@ -88,7 +82,7 @@ ps AS (
 """
 
 _TIMING = """
-, cl AS (SELECT session_id, protocol, CASE WHEN source LIKE '10.0.%' THEN 'client' ELSE source END AS source, CASE WHEN destination LIKE '10.0.%' THEN 'client' ELSE destination END AS destination, src_port, dst_port, start_us, end_us, flow_id FROM f),
+, cl AS (SELECT session_id, protocol, CASE WHEN source LIKE '10.0.%' THEN 'client' ELSE source END AS source, CASE WHEN destination LIKE '10.0.%' THEN 'client' ELSE destination END AS destination, CASE WHEN source LIKE '10.0.%' THEN 1 ELSE src_port END AS src_port, CASE WHEN destination LIKE '10.0.%' THEN 1 ELSE dst_port END AS dst_port, start_us, end_us, flow_id FROM f),
 cs2 AS (SELECT *, CASE WHEN source < destination THEN source ELSE destination END AS host_a, CASE WHEN source < destination THEN src_port ELSE dst_port END AS port_a, CASE WHEN source < destination THEN destination ELSE source END AS host_b, CASE WHEN source < destination THEN dst_port ELSE src_port END AS port_b FROM cl),
 ta AS (SELECT * FROM cs2 WHERE session_id = 's0' QUALIFY row_number() OVER (PARTITION BY protocol, host_a, port_a, host_b, port_b ORDER BY start_us DESC, flow_id DESC) = 1),
 tb AS (SELECT * FROM cs2 WHERE session_id = 's1' QUALIFY row_number() OVER (PARTITION BY protocol, host_a, port_a, host_b, port_b ORDER BY start_us DESC, flow_id DESC) = 1)
@@ -131,8 +125,7 @@ SELECT session_id, packet_id, flow_id, concat('FLOW_', upper(replace(now, '-', '
     "flows_by_bytes": "SELECT session_id, flow_id, bytes FROM f ORDER BY bytes DESC, session_id, flow_id LIMIT 50",
     "packets_page": f"SELECT {_PACKET} FROM p ORDER BY ts_us, packet_id LIMIT 100 OFFSET 200",
     "keyset_page": f"SELECT {_PACKET} FROM p WHERE (ts_us, packet_id) > (SELECT (ts_us, packet_id) FROM p WHERE packet_id = 500) ORDER BY ts_us, packet_id LIMIT 512",
-    "flow_packets": "SELECT session_id, string_agg(packet_id::VARCHAR, ',' ORDER BY packet_id) AS packet_ids, sum(length)::BIGINT AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM t WHERE flow_id = 3 GROUP BY 1",
-    "flow_packets_all": "SELECT session_id, flow_id, string_agg(packet_id::VARCHAR, ',' ORDER BY packet_id) AS packet_ids, sum(length)::BIGINT AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM t GROUP BY 1, 2",
+    "flow_packets_all": "SELECT session_id, flow_id, count(*) AS packets, min(packet_id) AS first_packet, max(packet_id) AS last_packet, sum(packet_id)::BIGINT AS packet_ids, sum(length)::BIGINT AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM t GROUP BY 1, 2",
     "filter_proto_port": f"SELECT {_PACKET} FROM p WHERE protocol = 'TCP' AND (src_port = 443 OR dst_port = 443)",
     "filter_not_null": "SELECT session_id, event_id FROM ev WHERE NOT lower(event_type) = 'tcp'",
     "filter_ip_ne": "SELECT session_id, packet_id FROM p WHERE (source <> '203.0.113.1' OR destination <> '203.0.113.1') AND length < 90",
@@ -146,10 +139,8 @@ SELECT session_id, packet_id, flow_id, concat('FLOW_', upper(replace(now, '-', '
     "timing_diff": _TIMING,
     "event_diff": "SELECT * FROM ed",
     "identical": "SELECT (SELECT coalesce(bool_and(status = 'unchanged'), true) FROM fd) AND (SELECT coalesce(bool_and(delta = 0), true) FROM ed) AS identical",
-    "domain_fingerprint": "SELECT * FROM dom",
     "domain_fingerprint_all": _DOM_ALL + "SELECT * FROM dom_all",
     "behaviour_fingerprint": "SELECT * FROM pat",
-    "similar_sessions": _cosine("dom", "WHEN 'domain' THEN 3 WHEN 'ip' THEN 1 WHEN 'port' THEN 0.5", "HAVING score > 0 ORDER BY score DESC, session_id LIMIT 10"),
     "similar_sessions_all": _DOM_ALL + _cosine("dom_all", "WHEN 'domain' THEN 3 WHEN 'ip' THEN 1 WHEN 'port' THEN 0.5", "HAVING score > 0 ORDER BY score DESC, session_id LIMIT 10"),
     "similar_incidents": _cosine("pat", "WHEN 'proto' THEN 1 WHEN 'event' THEN 1.5 WHEN 'port' THEN 0.75"),
     "probe_search": "SELECT session_id, sum(count)::BIGINT AS score FROM pat GROUP BY 1 HAVING bool_or(kind = 'event' AND feature = 'STREAM_GAP') AND bool_or(kind = 'proto' AND feature IN ('TCP', 'UDP'))",
@@ -181,8 +172,4 @@ tr(session_id, root, event_id, depth) AS (SELECT session_id, event_id, event_id,
 SELECT session_id, root, count(*) AS events, max(depth) AS depth FROM tr GROUP BY 1, 2""",
 }
 ORACLE = {k: BASE + v for k, v in _SELECTS.items()} | {
-    "hex_rows": "SELECT item_id, (i * 16)::BIGINT AS \"offset\", lower(substr(hex(encode(text)), (i * 32 + 1)::BIGINT, 32)) AS hex FROM (SELECT item_id, text, unnest(range(greatest(1, (octet_length(encode(text)) + 15) // 16))) AS i FROM benchmark)",
-    "printable_runs": "SELECT page_id, len(regexp_extract_all(html, '[ -~]{3,}'))::BIGINT AS runs FROM pages",
-    "http_parse": "SELECT page_id, host, path, concat('HTTP GET ', CASE WHEN host <> '' THEN host ELSE path END, ' HTTP/1.1') AS summary FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
-    "conversation_turns": "SELECT conv_id, count(*) AS turns, count(*) FILTER (prev IS NOT NULL AND prev <> role) AS switches, sum(length(text))::BIGINT AS chars FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY 1",
 }

@@ -17,8 +17,6 @@ from wiretide.sources.adapter import packets
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 FLOW = ["session_id", "flow_id", "source", "destination", "protocol", "src_port", "dst_port", "start_us", "end_us", "packet_count", "bytes", "state"]
-#: Events of a session that the SQL of domain_fingerprint and similar_sessions searches for names.
-SQL_EVENTS = 50_000
 PACKET = ["session_id", "packet_id", "ts_us", "source", "destination", "protocol", "src_port", "dst_port", "length"]
 
 
@@ -143,16 +141,10 @@ def keyset_page(s, d):
     return p.select(*PACKET).orderBy("ts_us", "packet_id").limit(512)
 
 
-@query
-def flow_packets(s, d):
-    t = W.tracked(packets(s, d)).where("flow_id = 3")
-    return t.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("packet_id")), lambda x: x.cast("string")), ",").alias("packet_ids"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-
-
 @query
 def flow_packets_all(s, d):
     t = W.tracked(packets(s, d))
-    return t.groupBy("session_id", "flow_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("packet_id")), lambda x: x.cast("string")), ",").alias("packet_ids"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return t.groupBy("session_id", "flow_id").agg(F.count("*").alias("packets"), F.min("packet_id").alias("first_packet"), F.max("packet_id").alias("last_packet"), F.sum("packet_id").alias("packet_ids"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
 @query
@@ -208,7 +200,11 @@ def flow_diff(s, d):
 
 @query
 def timing_diff(s, d):
-    return A.timing_diff(_flows(s, d).withColumn("source", F.regexp_replace("source", r"^10\.0\.\d+\.\d+$", "client")).withColumn("destination", F.regexp_replace("destination", r"^10\.0\.\d+\.\d+$", "client")), "s0", "s1")
+    """Clients of the sessions never meet, so they and their ports are put under one name first."""
+    f, client = _flows(s, d), r"^10\.0\.\d+\.\d+$"
+    for host, port in (("source", "src_port"), ("destination", "dst_port")):
+        f = f.withColumn(port, F.when(F.col(host).rlike(client), 1).otherwise(F.col(port))).withColumn(host, F.regexp_replace(host, client, "client"))
+    return A.timing_diff(f, "s0", "s1")
 
 
 @query
@@ -224,13 +220,6 @@ def identical(s, d):
     return f.join(F.broadcast(e)).select((F.col("flows_same") & F.col("events_same")).alias("identical"))
 
 
-@query
-def domain_fingerprint(s, d):
-    """Names of the first 50,000 events of a session, as its SQL and the reference have it."""
-    t = W.tracked(packets(s, d))
-    return A.domain_features(W.flows_of(t), W.events_of(t), SQL_EVENTS)
-
-
 @query
 def domain_fingerprint_all(s, d):
     return A.domain_features(*_flows_events(s, d))
@@ -241,13 +230,6 @@ def behaviour_fingerprint(s, d):
     return A.pattern_features(*_flows_events(s, d))
 
 
-@query
-def similar_sessions(s, d):
-    t = W.tracked(packets(s, d))
-    c = A.cosine_to(A.domain_features(W.flows_of(t), W.events_of(t), SQL_EVENTS), A.DOMAIN_WEIGHTS, "s0")
-    return c.where("score > 0").orderBy(F.col("score").desc(), "session_id").limit(10)
-
-
 @query
 def similar_sessions_all(s, d):
     c = A.cosine_to(A.domain_features(*_flows_events(s, d)), A.DOMAIN_WEIGHTS, "s0")
@@ -398,25 +380,6 @@ def port_category(s, d):
     return _flows(s, d).groupBy("session_id", A.port_category(F.col("dst_port")).alias("category")).agg(F.count("*").alias("flows"))
 
 
-@query
-def hex_rows(s, d):
-    x = s.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.encode("text", "UTF-8").alias("raw"))
-    x = x.select("item_id", "raw", F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length("raw") - 1), F.lit(16))).alias("row", "at"))
-    return x.select("item_id", F.col("at").cast("long").alias("offset"), F.lower(F.hex(F.substring("raw", F.col("at") + 1, F.lit(16)))).alias("hex"))
-
-
-@query
-def printable_runs(s, d):
-    x = s.read.parquet(f"{d}/pages.parquet")
-    return x.select("page_id", F.size(F.regexp_extract_all("html", F.lit("[ -~]{3,}"), F.lit(0))).cast("long").alias("runs"))
-
-
-@query
-def http_parse(s, d):
-    u = s.read.parquet(f"{d}/pages.parquet").select("page_id", F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)).alias("host"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    return u.select("page_id", "host", "path", F.concat(F.lit("HTTP GET "), F.coalesce(F.nullif("host", F.lit("")), "path"), F.lit(" HTTP/1.1")).alias("summary"))
-
-
 @query
 def event_tree(s, d):
     return G.descendants(G.with_parents(_events(s, d)))
@@ -426,11 +389,3 @@ def event_tree(s, d):
 def export_ndjson_rows(s, d):
     p = packets(s, d).select(*PACKET)
     return p.select("packet_id", F.to_json(F.struct("packet_id", "ts_us", "source", "destination", "protocol", "src_port", "dst_port", "length"), {"ignoreNullFields": "false"}).alias("line"))
-
-
-@query
-def conversation_turns(s, d):
-    c = s.read.parquet(f"{d}/conversations.parquet")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("prev", F.lag("role").over(w))
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("prev").isNotNull() & (F.col("prev") != F.col("role"))).alias("switches"), F.sum(F.length("text")).alias("chars"))
