@@ -14,6 +14,7 @@ from wiretide.operators import flows as W
 from wiretide.operators.ordered import dealt, numbered
 from wiretide.operators.reassembly import reassemble
 from wiretide.operators.scratch import materialize
+from wiretide.operators.tls import decrypt_events, records
 from wiretide.sources.capture_file import NO_SESSION
 
 #: Fixed event types of reassembly issues.
@@ -57,8 +58,7 @@ def packets_of(decoded: DataFrame) -> DataFrame:
 
 def issue_events(tracked: DataFrame) -> DataFrame:
     """Events of TCP reassembly; holes that are open at the end have no packet and the time of the packet behind them."""
-    s = tracked.where("protocol = 'TCP' and payload is not null").select("session_id", "flow_id", "resp", "packet_id", F.col("tcp_seq").alias("seq"), F.col("payload").alias("data"))
-    r = reassemble(s).where("issue is not null").drop("data")
+    r = reassemble(segments_of(tracked)).where("issue is not null").drop("data")
     at = tracked.select("session_id", F.col("packet_id").alias("cause_packet"), "ts_us")
     kind = W.mapped(F.col("issue"), ISSUES, F.lit("STREAM_ERROR"))
     # after all other events of a packet; at the end by flow, the initiator's direction first
@@ -66,13 +66,24 @@ def issue_events(tracked: DataFrame) -> DataFrame:
     return r.join(at, ["session_id", "cause_packet"]).select("session_id", "packet_id", "ts_us", "flow_id", pos.cast("long").alias("pos"), kind.alias("event_type"), F.col("detail").alias("summary"))
 
 
-def timeline(tracked: DataFrame) -> DataFrame:
-    """All events of tracked packets with payloads, numbered: packets' own, then reassembly's of each packet, the open holes last."""
+def segments_of(tracked: DataFrame) -> DataFrame:
+    """TCP segments of tracked packets, as ``reassemble`` takes them."""
+    return tracked.where("protocol = 'TCP' and payload is not null").select("session_id", "flow_id", "resp", "packet_id", F.col("tcp_seq").alias("seq"), F.col("payload").alias("data"))
+
+
+def timeline(tracked: DataFrame, keylog: DataFrame | None = None) -> DataFrame:
+    """All events of tracked packets with payloads, numbered: packets' own, then reassembly's of each packet, the open holes last.
+
+    With a key log, events of what it opens follow all others.
+    """
     own = W.packet_events(tracked).withColumn("pos", F.col("pos").cast("long"))
-    return W.in_insertion_order(materialize(own.unionByName(issue_events(tracked)), "events"))
+    events = own.unionByName(issue_events(tracked))
+    if keylog is not None:
+        events = events.unionByName(decrypt_events(records(reassemble(segments_of(tracked))), keylog, tracked))
+    return W.in_insertion_order(materialize(events, "events"))
 
 
-def ingest(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(packets with flow ids, flows, events) of frames."""
+def ingest(frames: DataFrame, keylog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packets with flow ids, flows, events) of frames, and of their TLS records as far as a key log opens them."""
     t = W.tracked(packets_of(decoded(frames)))
-    return t, W.flows_of(t), timeline(t)
+    return t, W.flows_of(t), timeline(t, keylog)
