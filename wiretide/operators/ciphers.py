@@ -104,8 +104,7 @@ def _open_some(keys: list[bytes], nonces: list[bytes], sealed: list[bytes], aads
     key_words, nonce_words = np.frombuffer(b"".join(keys), "<u4").reshape(-1, 8), np.frombuffer(b"".join(nonces), "<u4").reshape(-1, 3)
     stream = chacha20_blocks(key_words[of], nonce_words[of], (np.arange(len(of)) - first[of]).astype(np.uint32))
     texts = [s[:-16] for s in sealed]
-    padded = [a + bytes(-len(a) % 16) + t + bytes(-len(t) % 16) + len(a).to_bytes(8, "little") + len(t).to_bytes(8, "little") for a, t in zip(aads, texts, strict=True)]
-    tags = poly1305(stream[first, :32], padded)
+    tags = poly1305(stream[first, :32], [_authenticated(a, t) for a, t in zip(aads, texts, strict=True)])
     out: list[bytes | None] = []
     for i, (text, tag) in enumerate(zip(texts, tags, strict=True)):
         if len(sealed[i]) < 16 or tag != sealed[i][-16:]:
@@ -116,15 +115,44 @@ def _open_some(keys: list[bytes], nonces: list[bytes], sealed: list[bytes], aads
     return out
 
 
-def _chacha(key: pd.Series, nonce: pd.Series, sealed: pd.Series, aad: pd.Series) -> pd.Series:
-    some = [i for i, x in enumerate(zip(key, nonce, sealed, aad, strict=True)) if all(v is not None for v in x) and len(x[0]) == 32 and len(x[1]) == 12]
+def chacha20_poly1305_seal(keys: list[bytes], nonces: list[bytes], texts: list[bytes], aads: list[bytes]) -> list[bytes]:
+    """Ciphertexts with their tags."""
+    lanes = np.array([1 + -(-len(t) // 64) for t in texts], np.int64)
+    first = np.cumsum(lanes) - lanes
+    of = np.repeat(np.arange(len(texts)), lanes)
+    key_words, nonce_words = np.frombuffer(b"".join(keys), "<u4").reshape(-1, 8), np.frombuffer(b"".join(nonces), "<u4").reshape(-1, 3)
+    stream = chacha20_blocks(key_words[of], nonce_words[of], (np.arange(len(of)) - first[of]).astype(np.uint32))
+    sealed = [(np.frombuffer(t, np.uint8) ^ stream[f + 1 : f + n].reshape(-1)[: len(t)]).tobytes() for t, f, n in zip(texts, first, lanes, strict=True)]
+    tags = poly1305(stream[first, :32], [_authenticated(a, s) for a, s in zip(aads, sealed, strict=True)])
+    return [s + t for s, t in zip(sealed, tags, strict=True)]
+
+
+def _authenticated(aad: bytes, text: bytes) -> bytes:
+    return aad + bytes(-len(aad) % 16) + text + bytes(-len(text) % 16) + len(aad).to_bytes(8, "little") + len(text).to_bytes(8, "little")
+
+
+def _each(work, key: pd.Series, nonce: pd.Series, data: pd.Series, aad: pd.Series) -> pd.Series:
+    some = [i for i, x in enumerate(zip(key, nonce, data, aad, strict=True)) if all(v is not None for v in x) and len(x[0]) == 32 and len(x[1]) == 12]
     out = pd.Series([None] * len(key), dtype=object)
-    opened = chacha20_poly1305_open(*[[bytes(c.iloc[i]) for i in some] for c in (key, nonce, sealed, aad)])
-    for i, text in zip(some, opened, strict=True):
+    done = work(*[[bytes(c.iloc[i]) for i in some] for c in (key, nonce, data, aad)]) if some else []
+    for i, text in zip(some, done, strict=True):
         out.iloc[i] = text
     return out
 
 
+def _chacha(key: pd.Series, nonce: pd.Series, sealed: pd.Series, aad: pd.Series) -> pd.Series:
+    return _each(chacha20_poly1305_open, key, nonce, sealed, aad)
+
+
+def _chacha_sealed(key: pd.Series, nonce: pd.Series, text: pd.Series, aad: pd.Series) -> pd.Series:
+    return _each(chacha20_poly1305_seal, key, nonce, text, aad)
+
+
+def chacha_seal(key: Column, nonce: Column, text: Column, aad: Column) -> Column:
+    """Ciphertext and tag; null as for ``chacha_open``."""
+    return F.pandas_udf(_chacha_sealed, "binary")(key, nonce, text, aad)
+
+
 def chacha_open(key: Column, nonce: Column, sealed: Column, aad: Column) -> Column:
     """Plaintext, or null for a wrong tag, and for keys and nonces of another size or null."""
     return F.pandas_udf(_chacha, "binary")(key, nonce, sealed, aad)

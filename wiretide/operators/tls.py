@@ -287,7 +287,7 @@ def _open(nonce: Column, sealed: Column, key: Column, aad: Column) -> Column:
     return F.try_aes_decrypt(F.concat(nonce, sealed), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
-def _counted(iv: Column, number: Column) -> Column:
+def counted(iv: Column, number: Column) -> Column:
     """A nonce of 12 bytes: iv with the record's number added without carry."""
     low = F.conv(F.hex(F.substring(iv, 5, 8)), 16, -10).cast("long").bitwiseXOR(number)
     return F.concat(F.substring(iv, 1, 4), big_endian(low, 8))
@@ -349,7 +349,7 @@ def _opened(r: DataFrame, known: DataFrame) -> DataFrame:
     aad = F.concat(octets("170303"), big_endian(size, 2))
 
     def sealed13(keys: str, number: Column) -> Column:
-        nonce, chacha = _counted(F.col(f"{keys}.iv"), number), F.col("new") & F.col("chacha") & (number >= 0)
+        nonce, chacha = counted(F.col(f"{keys}.iv"), number), F.col("new") & F.col("chacha") & (number >= 0)
         other = chacha_open(F.when(chacha, F.col(f"{keys}.key")), nonce, F.col("body"), aad)
         return F.when(F.col("chacha"), other).when(number >= 0, _open(nonce, F.col("body"), F.col(f"{keys}.key"), aad))
 

@@ -12,10 +12,13 @@ from wiretide.operators import graph as G
 from wiretide.operators import ingest as I  # noqa: E741
 from wiretide.operators import sanitize as Z
 from wiretide.operators import sessions as V
+from wiretide.operators import streams as U
 from wiretide.operators import tcp_metrics as T
+from wiretide.operators import tls as L
 from wiretide.operators.scratch import materialize, shared_folder
 from wiretide.plans.oracle import BASE
 from wiretide.sources import exports as X
+from wiretide.sources import sealed
 from wiretide.sources.adapter import frames, packet_stream, packets
 from wiretide.sources.store import Store
 from wiretide.streaming.ingest import ingest_stream, ingested
@@ -45,6 +48,38 @@ def stream_frame_events(s, d):
     return ingested(store)[1].where(~issue).select("session_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
 
 
+def _stored_sessions(s, d) -> tuple[DataFrame, DataFrame]:
+    streams, log = sealed.tls_sessions(s, d)
+    return materialize(streams, "streams"), materialize(log, "key-log")
+
+
+def tls_plaintexts(s, d):
+    """What a key log opens of conversations that were sealed as TLS sessions, by the turn that carried it."""
+    streams, log = _stored_sessions(s, d)
+    opened = L.plaintexts(L.records(streams), log).join(streams.select("session_id", "resp", "packet_id", "ts_us"), ["session_id", "resp", "packet_id"])
+    one = opened.groupBy("session_id", "resp", F.col("ts_us").alias("turn")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "plaintext"))), lambda x: x["plaintext"]).alias("parts"))
+    text = F.aggregate("parts", F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
+    return one.select("session_id", "resp", "turn", F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+
+
+def decrypt_events(s, d):
+    streams, log = _stored_sessions(s, d)
+    times = streams.select("session_id", "packet_id", "ts_us").distinct()
+    return L.decrypt_events(L.records(streams), log, times).select("session_id", "flow_id", F.col("ts_us").alias("turn"), "event_type", "summary")
+
+
+def tls_handshakes(s, d):
+    """Messages that are not sealed, in streams that begin in the middle of a record."""
+    streams, _ = _stored_sessions(s, d)
+    late = streams.withColumn("data", F.when(F.col("packet_id") == 0, F.concat(F.encode(F.lit("tail of a record"), "UTF-8"), "data")).otherwise(F.col("data")))
+    return L.handshakes(late).select("session_id", "resp", "type", F.lower(F.hex("random")).alias("random"), F.coalesce("suite", F.lit(0)).alias("suite"))
+
+
+def stream_units(s, d):
+    """HTTP messages of pages' exchanges, in segments."""
+    return U.stream_units(sealed.web_exchanges(s, d)).select("flow_id", "resp", "n", "protocol", "kind", "size", "summary")
+
+
 def frame_facts(s, d):
     return V.facts(_decoded(s, d))
 
@@ -93,7 +128,7 @@ def sanitize_report(s, d):
     return Z.sanitize(materialize(raw, "captured"), W.flows_of(t), W.events_of(t))[3]
 
 
-QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, tcp_metrics, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
+QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
 
 _WEB = "concat('GET /', k, ' HTTP/1.1', chr(13), chr(10), 'Host: h', k, '.example.com', chr(13), chr(10), chr(13), chr(10))"
 _REPLY = "concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), chr(13), chr(10))"
@@ -155,4 +190,16 @@ _SELECTS = {
     "export_document": _DOCUMENT,
     "sanitize_report": _REPORT,
 }
-ORACLE = {k: (BASE.rstrip() + v if v.startswith(",") else BASE + v) for k, v in _SELECTS.items()}
+_CONV = "SELECT concat('c', conv_id) AS session_id, role = 'assistant' AS resp, turn, text FROM conversations WHERE text <> ''"
+_FOLDED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_SUITE = "[49199, 60, 49171, 4865, 4867][conv_id % 5 + 1]"
+_HOST_PATH = "SELECT page_id, regexp_extract(coalesce(url, ''), '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*([^?# ]*)', 1) AS path, octet_length(encode(coalesce(html, ''))) AS n FROM pages"
+_OWN_TABLES = {
+    "tls_plaintexts": f"SELECT session_id, resp, turn, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM ({_CONV})",
+    "decrypt_events": f"SELECT session_id, 1::BIGINT AS flow_id, turn, 'DECRYPT' AS event_type, CASE WHEN t = '' THEN concat('<', octet_length(encode(text)), ' plaintext bytes>') WHEN length(t) > 140 THEN concat(substr(t, 1, 140), '...') ELSE t END AS summary FROM (SELECT *, {_FOLDED} AS t FROM ({_CONV}))",
+    "tls_handshakes": f"SELECT DISTINCT concat('c', conv_id) AS session_id, resp, CASE WHEN resp THEN 2 ELSE 1 END AS type, sha256(concat(CASE WHEN resp THEN 'server' ELSE 'client' END, conv_id)) AS random, CASE WHEN resp THEN {_SUITE} ELSE 0 END AS suite FROM conversations, (SELECT unnest([false, true]) AS resp) WHERE text <> ''",
+    "stream_units": f"""SELECT page_id AS flow_id, false AS resp, 1::BIGINT AS n, 'http' AS protocol, 'request' AS kind, octet_length(encode(concat('GET ', p, ' HTTP/1.1', chr(13), chr(10), 'Host: ', host)))::BIGINT + 4 AS size, concat('HTTP GET ', CASE WHEN host <> '' THEN host ELSE p END, ' HTTP/1.1') AS summary
+  FROM (SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS p FROM ({_HOST_PATH}))
+  UNION ALL SELECT page_id, true, 1, 'http', 'response', 37 + length(n::VARCHAR) + n, 'HTTP 200 HTTP/1.1' FROM ({_HOST_PATH})""",
+}
+ORACLE = _OWN_TABLES | {k: (BASE.rstrip() + v if v.startswith(",") else BASE + v) for k, v in _SELECTS.items()}
