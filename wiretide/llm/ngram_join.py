@@ -29,11 +29,13 @@ from wiretide.llm.components import connected_components
 from wiretide.llm.shingles import set_ids, shingle_sets
 
 #: Rows, and shingles of all rows, of one side of a block product.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 #: Keys that a task holds before it passes them on.
 KEYS_HELD = 1_000_000
 #: Bytes of keys that meet in one task.
-MEET_BYTES = 24 << 20
+MEET_BYTES = 12 << 20
+#: Bytes of texts that are shingled at once.
+TEXT_BYTES = 2 << 20
 
 
 @functools.cache
@@ -89,9 +91,10 @@ def _emit_keys(keys: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBa
     keys, nodes = keys[new], nodes[new]
     bucket = (keys >> U64(40)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(1, buckets))
-    parts = [[x.tobytes() for x in np.split(col[order], cut)] for col in (keys, nodes)]
-    return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["bucket", "keys", "nodes"])
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    parts = [[x.tobytes() for x in np.split(col[order], first[1:])] for col in (keys, nodes)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["bucket", "keys", "nodes"])
 
 
 def signatures(rows: DataFrame, k: int) -> DataFrame:
@@ -101,7 +104,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in by_bytes(whole, 2)):
+        for batch in (part for whole in batches for part in by_bytes(whole, 2, TEXT_BYTES)):
             sets = shingle_sets(*as_binary(batch.column(2)), k)
             size = np.array([len(s) for s in sets], np.int64)
             ids = set_ids(sets)
@@ -125,7 +128,7 @@ def _met_pairs(rows: DataFrame, shingles: int, k: int, num: int, den: int) -> Da
         keys: list[np.ndarray] = []
         codes: list[np.ndarray] = []
         held = 0
-        for batch in (part for whole in batches for part in by_bytes(whole, 0)):
+        for batch in (part for whole in batches for part in by_bytes(whole, 0, TEXT_BYTES)):
             sets = shingle_sets(*as_binary(batch.column(0)), k)
             for s, code in zip(sets, np.ascontiguousarray(set_ids(sets)[:, 0]).view(np.int64).tolist(), strict=True):
                 if not len(s) or code in seen:
@@ -165,7 +168,7 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     g = len(rows)
     count = np.zeros((g, g), np.int64)
     tok = np.concatenate(rows)
-    row = np.repeat(np.arange(g), [len(r) for r in rows])
+    row = np.repeat(np.arange(g, dtype=np.int32), [len(r) for r in rows])
     order = np.argsort(tok, kind="stable")
     tok, row = tok[order], row[order]
     start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
@@ -185,7 +188,7 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
         same = np.flatnonzero(tok[step:] == tok[:-step])
         if not len(same):
             break
-        a, b = row[same], row[same + step]
+        a, b = row[same].astype(np.int64), row[same + step].astype(np.int64)
         count += np.bincount(a * g + b, minlength=g * g).reshape(g, g)
         count += np.bincount(b * g + a, minlength=g * g).reshape(g, g)
     return count
@@ -236,7 +239,7 @@ def _block_links(k: int, num: int, den: int):
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(links_u), pa.binary()), pa.array(np.concatenate(links_v), pa.binary())], ["u", "v"])
 
-        for batch in (part for whole in batches for part in by_bytes(whole, 4)):
+        for batch in (part for whole in batches for part in by_bytes(whole, 4, TEXT_BYTES)):
             block, i, j = (batch.column(c).to_numpy() for c in range(3))
             sets = shingle_sets(*as_binary(batch.column(4)), k)
             for x, (s, own, node) in enumerate(zip(sets, set_ids(sets), batch.column(3).to_pylist(), strict=True)):
