@@ -19,6 +19,7 @@ from wiretide.operators.scratch import materialize, shared_folder
 from wiretide.plans.oracle import BASE
 from wiretide.sources import exports as X
 from wiretide.sources import sealed
+from wiretide.sources import session_file as Q
 from wiretide.sources.adapter import frames, packet_stream, packets
 from wiretide.sources.store import Store
 from wiretide.streaming.ingest import ingest_stream, ingested
@@ -80,6 +81,16 @@ def stream_units(s, d):
     return U.stream_units(sealed.web_exchanges(s, d)).select("flow_id", "resp", "n", "protocol", "kind", "size", "summary")
 
 
+def session_file_roundtrip(s, d):
+    """Packets written as session files and read back, with their frames."""
+    path = f"{shared_folder(s)}/sessions-{uuid.uuid4().hex[:12]}"
+    p = packets(s, d)
+    raw = p.join(frames(p).select("packet_id", "raw"), "packet_id")
+    Q.write_sessions(raw, path)
+    back = Q.read_sessions(s, path, 1000)["packets"]
+    return back.select("session_id", "packet_id", "ts_us", "source", "destination", "protocol", "src_port", "dst_port", "length", (F.octet_length("raw") > 41).alias("framed"))
+
+
 def frame_facts(s, d):
     return V.facts(_decoded(s, d))
 
@@ -128,7 +139,7 @@ def sanitize_report(s, d):
     return Z.sanitize(materialize(raw, "captured"), W.flows_of(t), W.events_of(t))[3]
 
 
-QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
+QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, session_file_roundtrip, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
 
 _WEB = "concat('GET /', k, ' HTTP/1.1', chr(13), chr(10), 'Host: h', k, '.example.com', chr(13), chr(10), chr(13), chr(10))"
 _REPLY = "concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), chr(13), chr(10))"
@@ -178,6 +189,7 @@ an(session_id, event_id, ancestor_id, distance) AS (SELECT session_id, event_id,
 SELECT session_id, event_id, ancestor_id, distance FROM an"""
 _SELECTS = {
     "event_ancestors": _PARENTS,
+    "session_file_roundtrip": "SELECT session_id, packet_id, ts_us, source, destination, protocol, src_port, dst_port, length::BIGINT AS length, true AS framed FROM p",
     "frame_events": _OWN,
     "stream_frame_events": _OWN,
     "frame_facts": " UNION ALL ".join(_FACT.format(*f) for f in _FACTS),
