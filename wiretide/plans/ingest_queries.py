@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wiretide.operators import facts as FA
 from wiretide.operators import flows as W
 from wiretide.operators import graph as G
 from wiretide.operators import ingest as I  # noqa: E741
@@ -100,6 +101,22 @@ def tcp_metrics(s, d):
     return m.select("session_id", "flow_id", "handshake_us", "dup_acks", "zero_window", "window_min", "window_max", "rtt_count", "rtt_min_us", "rtt_max_us", "rtt_sum_us")
 
 
+def frame_infos(s, d):
+    """Decoders' findings as VARIANT values, read by path."""
+    i = FA.infos(_decoded(s, d)).where(FA.info_of(F.col("info"), "dns.qname").isNotNull() | FA.info_of(F.col("info"), "http.status", "int").isNotNull())
+    text = lambda path, kind="string": FA.info_of(F.col("info"), path, kind)
+    return i.select("session_id", "packet_id", text("dns.qname").alias("qname"), text("dns.is_query", "boolean").alias("is_query"), text("dns.answers[0]").alias("answer"), text("http.path").alias("path"), text("http.status", "int").alias("status"))
+
+
+def facts_page(s, d):
+    """The first page of DNS facts."""
+    return FA.in_order(V.facts(_decoded(s, d)), protocol="dns", limit=50)
+
+
+def stream_facts(s, d):
+    return FA.stream_facts(W.tracked(I.packets_of(_decoded(s, d)))).where("name <> 'retransmissions'")
+
+
 def payload_hex(s, d):
     web = _decoded(s, d).where(F.col("src_port").isin(80, 8080) | F.col("dst_port").isin(80, 8080))
     return V.hex_rows(web, ["packet_id"], "payload")
@@ -139,7 +156,7 @@ def sanitize_report(s, d):
     return Z.sanitize(materialize(raw, "captured"), W.flows_of(t), W.events_of(t))[3]
 
 
-QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, session_file_roundtrip, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
+QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, session_file_roundtrip, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, frame_infos, facts_page, stream_facts, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
 
 _WEB = "concat('GET /', k, ' HTTP/1.1', chr(13), chr(10), 'Host: h', k, '.example.com', chr(13), chr(10), chr(13), chr(10))"
 _REPLY = "concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), chr(13), chr(10))"
@@ -187,7 +204,21 @@ _PARENTS = """, fi AS (SELECT *, first_value(event_id) OVER w AS first, lag(even
 pa AS (SELECT session_id, event_id, CASE WHEN event_type = 'TCP' THEN before ELSE first END AS parent_id FROM fi WHERE event_id <> first),
 an(session_id, event_id, ancestor_id, distance) AS (SELECT session_id, event_id, parent_id, 1 FROM pa UNION ALL SELECT an.session_id, an.event_id, pa.parent_id, an.distance + 1 FROM an JOIN pa ON pa.session_id = an.session_id AND pa.event_id = an.ancestor_id)
 SELECT session_id, event_id, ancestor_id, distance FROM an"""
+_SECONDS = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} < 10 AND {0} > 0 THEN concat({0}, 'e-06') WHEN {0} < 100 AND {0} > 0 THEN concat({0} // 10, CASE WHEN {0} % 10 > 0 THEN concat('.', {0} % 10) ELSE '' END, 'e-05') ELSE concat({0} // 1000000, '.', coalesce(nullif(rtrim(lpad(({0} % 1000000)::VARCHAR, 6, '0'), '0'), ''), '0')) END"
+_TCP_FACTS = [("dup_acks", "dup_acks::VARCHAR"), ("zero_window", "zero_window::VARCHAR"), ("handshake_rtt", _SECONDS.format("handshake_us")), ("rtt_count", "CASE WHEN rtt_count > 0 THEN rtt_count::VARCHAR END"), ("rtt_min", _SECONDS.format("rtt_min_us")), ("rtt_avg", _SECONDS.format("rtt_avg_us")), ("rtt_max", _SECONDS.format("rtt_max_us")), ("window_min", "window_min::VARCHAR"), ("window_max", "window_max::VARCHAR")]
+_UDP_FACTS = [("datagrams", "n::VARCHAR"), ("avg_size", "round(b / n, 3)::VARCHAR"), ("datagrams_per_second", "round(n / CASE WHEN us > 0 THEN us / 1e6 ELSE 1.0 END, 3)::VARCHAR")]
+_STREAM_FACTS = (
+    _METRICS.replace("SELECT r1.session_id, r1.flow_id, handshake_us", ", mm AS (SELECT r1.session_id, r1.flow_id, handshake_us", 1)
+    + "), m9 AS (SELECT *, CASE WHEN rtt_count > 0 THEN round(rtt_sum_us / rtt_count)::BIGINT END AS rtt_avg_us FROM mm), u9 AS (SELECT session_id, flow_id, count(*) AS n, sum(72 + length(concat('h', k)) + CASE WHEN k % 2 = 1 THEN 16 ELSE 0 END)::BIGINT AS b, max(ts_us) - min(ts_us) AS us FROM t WHERE protocol = 'DNS' GROUP BY 1, 2), f9 AS ("
+    + " UNION ALL ".join(f"SELECT session_id, flow_id AS stream_id, 'tcp' AS protocol, '{n}' AS name, {v} AS value FROM m9" for n, v in _TCP_FACTS)
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT session_id, flow_id, 'udp', '{n}', {v} FROM u9" for n, v in _UDP_FACTS)
+    + ") SELECT * FROM f9 WHERE value IS NOT NULL"
+)
+_FACTS_SQL = " UNION ALL ".join(_FACT.format(*f) for f in _FACTS)
 _SELECTS = {
+    "frame_infos": f"SELECT session_id, packet_id, CASE WHEN sport = 53 THEN {_HOSTED} END AS qname, CASE WHEN sport = 53 THEN k % 2 = 0 END AS is_query, CASE WHEN sport = 53 AND k % 2 = 1 THEN concat('203.0.113.', k % 5 + 1) END AS answer, CASE WHEN sport IN (80, 8080) THEN CASE WHEN k % 2 = 0 THEN concat('/', k) ELSE '' END END AS path, CASE WHEN sport IN (80, 8080) THEN CASE WHEN k % 2 = 0 THEN 0 ELSE 200 END END AS status FROM p WHERE sport IN (53, 80, 8080)",
+    "facts_page": f"SELECT * FROM ({_FACTS_SQL}) WHERE protocol = 'dns' ORDER BY session_id, packet_id, list_position(['qname', 'qtype', 'rcode', 'answers'], name) LIMIT 50",
+    "stream_facts": _STREAM_FACTS,
     "event_ancestors": _PARENTS,
     "session_file_roundtrip": "SELECT session_id, packet_id, ts_us, source, destination, protocol, src_port, dst_port, length::BIGINT AS length, true AS framed FROM p",
     "frame_events": _OWN,
