@@ -23,8 +23,9 @@ from wiretide.llm.vectors import matrix, usable
 
 #: Distinct vectors of a shard, on average; 64 dimensions take about 1 kB a vector while a graph grows.
 SHARD_ROWS = 50_000
-#: Queries that one task searches in a shard, at most on average.
-TASK_QUERIES = 2048
+#: Queries that one task streams past a shard, at most on average: an index row is copied once for so many.  Their number costs
+#: a task time, not memory; with few shards there are more splits, so that all tasks have work.
+TASK_QUERIES = 500_000
 DEGREE = 28
 BEAM_BUILD = 96
 BEAM_SEARCH = 400
