@@ -136,6 +136,21 @@ def packet_detail(events: DataFrame) -> DataFrame:
     return out.select("session_id", "packet_id", "f.event_id", "f.event_type", "f.summary", "f.flow_id", "upstream", F.coalesce("downstream", F.lit(0)).alias("downstream"), "has_error")
 
 
+def capture_integrity(packets: DataFrame, events: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
+    """``(session_id, dropped, malformed, gaps, status, is_complete)`` of each session.
+
+    malformed are frames that parse as nothing, gaps the holes of streams.  status is complete without dropped and
+    malformed packets; is_complete asks for no gaps besides.  dropped is ``(session_id, dropped)``, 0 where there is none.
+    """
+    m = packets.groupBy("session_id").agg(F.count_if(F.col("protocol") == "UNKNOWN").alias("malformed"))
+    g = events.where("event_type = 'STREAM_GAP'").groupBy("session_id").agg(F.count("*").alias("gaps"))
+    out = m.join(g, "session_id", "left")
+    out = out.join(dropped, "session_id", "left") if dropped is not None else out.withColumn("dropped", F.lit(0).cast("long"))
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("gaps", "dropped")})
+    whole = (F.col("dropped") == 0) & (F.col("malformed") == 0)
+    return out.select("session_id", "dropped", "malformed", "gaps", F.when(whole, "complete").otherwise("partial").alias("status"), (whole & (F.col("gaps") == 0)).alias("is_complete"))
+
+
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
     """``(file, name, session, key, value)``: a row for each expectation of the regression cases below ``path`` (``*.check.json``).
 

@@ -117,6 +117,18 @@ def stream_facts(s, d):
     return FA.stream_facts(W.tracked(I.packets_of(_decoded(s, d)))).where("name <> 'retransmissions'")
 
 
+def integrity(s, d):
+    """One frame in 97 is cut off inside its Ethernet head."""
+    p = packets(s, d)
+    cut = frames(p).withColumn("raw", F.when(F.col("k") % 97 == 0, F.substring("raw", 1, 10)).otherwise(F.col("raw")))
+    return V.capture_integrity(I.decoded(materialize(cut, "cut-frames")), W.packet_events(W.tracked(p)))
+
+
+def window_stats(s, d):
+    t = W.tracked(I.packets_of(_decoded(s, d))).where("protocol = 'TCP'")
+    return t.groupBy("session_id", "flow_id", "resp").agg(F.min("tcp_window").alias("win_min"), F.max("tcp_window").alias("win_max"), F.count_if(F.col("tcp_window") == 0).alias("zero_windows"))
+
+
 def payload_hex(s, d):
     web = _decoded(s, d).where(F.col("src_port").isin(80, 8080) | F.col("dst_port").isin(80, 8080))
     return V.hex_rows(web, ["packet_id"], "payload")
@@ -156,7 +168,7 @@ def sanitize_report(s, d):
     return Z.sanitize(materialize(raw, "captured"), W.flows_of(t), W.events_of(t))[3]
 
 
-QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, session_file_roundtrip, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, frame_infos, facts_page, stream_facts, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
+QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, session_file_roundtrip, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, frame_infos, facts_page, stream_facts, integrity, window_stats, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
 
 _WEB = "concat('GET /', k, ' HTTP/1.1', chr(13), chr(10), 'Host: h', k, '.example.com', chr(13), chr(10), chr(13), chr(10))"
 _REPLY = "concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), chr(13), chr(10))"
@@ -219,6 +231,8 @@ _SELECTS = {
     "frame_infos": f"SELECT session_id, packet_id, CASE WHEN sport = 53 THEN {_HOSTED} END AS qname, CASE WHEN sport = 53 THEN k % 2 = 0 END AS is_query, CASE WHEN sport = 53 AND k % 2 = 1 THEN concat('203.0.113.', k % 5 + 1) END AS answer, CASE WHEN sport IN (80, 8080) THEN CASE WHEN k % 2 = 0 THEN concat('/', k) ELSE '' END END AS path, CASE WHEN sport IN (80, 8080) THEN CASE WHEN k % 2 = 0 THEN 0 ELSE 200 END END AS status FROM p WHERE sport IN (53, 80, 8080)",
     "facts_page": f"SELECT * FROM ({_FACTS_SQL}) WHERE protocol = 'dns' ORDER BY session_id, packet_id, list_position(['qname', 'qtype', 'rcode', 'answers'], name) LIMIT 50",
     "stream_facts": _STREAM_FACTS,
+    "integrity": "SELECT session_id, 0::BIGINT AS dropped, malformed, coalesce(gaps, 0) AS gaps, CASE WHEN malformed = 0 THEN 'complete' ELSE 'partial' END AS status, malformed = 0 AND coalesce(gaps, 0) = 0 AS is_complete FROM (SELECT session_id, count(*) FILTER (k % 97 = 0) AS malformed FROM p GROUP BY 1) LEFT JOIN (SELECT session_id, count(*) AS gaps FROM ev WHERE event_type = 'STREAM_GAP' GROUP BY 1) USING (session_id)",
+    "window_stats": "SELECT session_id, flow_id, resp, min(k * 100) AS win_min, max(k * 100) AS win_max, count(*) FILTER (k = 0) AS zero_windows FROM t WHERE protocol = 'TCP' GROUP BY 1, 2, 3",
     "event_ancestors": _PARENTS,
     "session_file_roundtrip": "SELECT session_id, packet_id, ts_us, source, destination, protocol, src_port, dst_port, length::BIGINT AS length, true AS framed FROM p",
     "frame_events": _OWN,

@@ -146,7 +146,6 @@ SELECT session_id, packet_id, flow_id, concat('FLOW_', upper(replace(now, '-', '
     "probe_search": "SELECT session_id, sum(count)::BIGINT AS score FROM pat GROUP BY 1 HAVING bool_or(kind = 'event' AND feature = 'STREAM_GAP') AND bool_or(kind = 'proto' AND feature IN ('TCP', 'UDP'))",
     "loss_spans": "SELECT * FROM sp",
     "loss_report": "SELECT session_id, count(*) FILTER (severity = 'gap') AS gaps, count(*) FILTER (severity = 'retransmission') AS retransmissions, count(*) FILTER (severity = 'overlap') AS overlaps, sum(end_us - start_us)::BIGINT AS lost_us FROM sp GROUP BY 1",
-    "integrity": "SELECT session_id, gaps, malformed, CASE WHEN malformed = 0 THEN 'complete' ELSE 'partial' END AS status, malformed = 0 AND gaps = 0 AS is_complete FROM (SELECT session_id, count(*) FILTER (length < 20) AS malformed FROM p GROUP BY 1) JOIN (SELECT session_id, count(*) FILTER (event_type = 'STREAM_GAP') AS gaps FROM ev GROUP BY 1) USING (session_id)",
     "story_gaps": "SELECT session_id, event_id, greatest(0, ts_us - coalesce(lag(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, event_id), ts_us)) / 2e6 AS wait FROM ev",
     "replay_schedule_story": "SELECT session_id, packet_id, ts_us, least(greatest(0, ts_us - coalesce(lag(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, packet_id), ts_us)) / 1e6 / 2.0::DOUBLE, 5.0::DOUBLE) AS wait FROM p WHERE protocol = 'TCP'",
     "replay_schedule_faithful": "SELECT session_id, packet_id, ts_us, g AS wait FROM gap",
@@ -157,7 +156,6 @@ SELECT session_id, packet_id, flow_id, concat('FLOW_', upper(replace(now, '-', '
     "scenario_select": "SELECT session_id, packet_id, flow_id FROM t, x WHERE ts_us BETWEEN lo + (hi - lo) // 10 AND lo + (hi - lo) // 3 AND protocol = 'DNS' AND flow_id IN (1, 2, 3, 5, 8)",
     "udp_metrics": "SELECT session_id, flow_id, datagrams, bytes, round(bytes / datagrams, 6) AS avg_size, round(datagrams / CASE WHEN duration > 0 THEN duration ELSE 1 END, 6) AS per_second FROM (SELECT session_id, flow_id, count(*) AS datagrams, sum(length)::BIGINT AS bytes, (max(ts_us) - min(ts_us)) / 1e6 AS duration FROM t WHERE protocol = 'DNS' GROUP BY 1, 2)",
     "dup_acks": ", q AS (SELECT session_id, flow_id, flags & 2 = 0 AND length <= 60 AS pure, k % 7 AS ack, lag(k % 7) OVER (PARTITION BY session_id, flow_id, resp ORDER BY packet_id) AS was FROM t WHERE protocol = 'TCP' AND flags & 16 <> 0) SELECT session_id, flow_id, count(*) FILTER (pure AND ack = was) AS dup_acks, count(*) AS acks FROM q GROUP BY 1, 2",
-    "window_stats": "SELECT session_id, flow_id, resp, min(k * 100) AS win_min, max(k * 100) AS win_max, count(*) FILTER (k = 0) AS zero_windows FROM t WHERE protocol = 'TCP' GROUP BY 1, 2, 3",
     "handshake_rtt": ", q AS (SELECT *, last_value(CASE WHEN NOT resp AND flags & 2 <> 0 AND flags & 16 = 0 THEN ts_us END IGNORE NULLS) OVER (PARTITION BY session_id, flow_id ORDER BY packet_id ROWS UNBOUNDED PRECEDING) AS syn_us FROM t WHERE protocol = 'TCP') SELECT session_id, flow_id, arg_min(greatest(0, ts_us - syn_us), packet_id) AS rtt_us FROM q WHERE resp AND flags & 2 <> 0 AND flags & 16 <> 0 AND syn_us IS NOT NULL GROUP BY 1, 2",
     "protocol_facts": r", q AS (SELECT * FROM ev WHERE event_type = 'DNS' AND summary LIKE 'DNS %' AND summary NOT LIKE 'DNS flow%') SELECT * FROM (SELECT session_id, packet_id, 'qname' AS name, regexp_extract(summary, 'DNS (?:QUERY|RESPONSE) ([^\s(]+)', 1) AS value FROM q UNION ALL SELECT session_id, packet_id, 'rcode', regexp_extract(summary, 'rcode=(\d+)', 1) FROM q UNION ALL SELECT session_id, packet_id, 'answers', regexp_extract(summary, 'answers=([^\s]+)', 1) FROM q) WHERE value <> ''",
     "pseudonym_table": "SELECT * FROM ps",

@@ -258,14 +258,6 @@ def loss_report(s, d):
     return A.loss_spans(_events(s, d)).groupBy("session_id").agg(n("gap").alias("gaps"), n("retransmission").alias("retransmissions"), n("overlap").alias("overlaps"), F.sum(F.col("end_us") - F.col("start_us")).alias("lost_us"))
 
 
-@query
-def integrity(s, d):
-    g = _said(s, d).groupBy("session_id").agg(F.count_if(F.col("event_type") == "STREAM_GAP").alias("gaps"))
-    m = packets(s, d).groupBy("session_id").agg(F.count_if(F.col("length") < 20).alias("malformed"))
-    j = m.join(g, "session_id", "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
-    return j.select("session_id", "gaps", "malformed", F.when(F.col("malformed") == 0, "complete").otherwise("partial").alias("status"), ((F.col("malformed") == 0) & (F.col("gaps") == 0)).alias("is_complete"))
-
-
 @query
 def story_gaps(s, d):
     order = ["ts_us", "event_id"]
@@ -329,12 +321,6 @@ def dup_acks(s, d):
     return A.duplicate_acks(t)
 
 
-@query
-def window_stats(s, d):
-    t = W.tracked(packets(s, d)).where("protocol = 'TCP'").withColumn("win", F.col("k") * 100)
-    return t.groupBy("session_id", "flow_id", "resp").agg(F.min("win").alias("win_min"), F.max("win").alias("win_max"), F.count_if(F.col("win") == 0).alias("zero_windows"))
-
-
 @query
 def handshake_rtt(s, d):
     t = W.tracked(packets(s, d)).where("protocol = 'TCP'")
