@@ -107,6 +107,13 @@ _DOM_ALL = r""", dom_all AS (
 """
 _PACKET = "session_id, packet_id, ts_us, source, destination, protocol, src_port, dst_port, length"
 _SELECTS = {
+    "replay_selection": "SELECT session_id, packet_id, flow_id FROM t, x WHERE packet_id BETWEEN 100 AND 4000 AND flow_id BETWEEN 1 AND 40 AND ts_us >= lo + (hi - lo) // 10 AND ts_us <= hi",
+    "packet_page_total": "SELECT session_id, packet_id, ts_us, (SELECT count(*) FROM p WHERE session_id = 's1') AS total FROM p WHERE session_id = 's1' ORDER BY ts_us, packet_id LIMIT 25 OFFSET 50",
+    "flows_by_packets": "SELECT session_id, flow_id, packet_count FROM f ORDER BY packet_count DESC, session_id, flow_id LIMIT 100",
+    "event_children": ", fi AS (SELECT *, first_value(event_id) OVER w AS first, lag(event_id) OVER w AS before FROM ev WINDOW w AS (PARTITION BY session_id, flow_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)), pa AS (SELECT session_id, event_id, CASE WHEN event_type = 'TCP' THEN before ELSE first END AS parent_id FROM fi WHERE event_id <> first) SELECT session_id, parent_id AS event_id, row_number() OVER (PARTITION BY session_id, parent_id ORDER BY event_id)::INT AS place, event_id AS child_id FROM pa",
+    "shared_features": _DOM_ALL + "SELECT a.session_id, kind, feature, a.count AS count, b.count AS target_count FROM dom_all a JOIN (SELECT * FROM dom_all WHERE session_id = 's0') b USING (kind, feature) WHERE a.session_id <> 's0'",
+    "session_flags": "SELECT session_id, true AS has_traffic, coalesce(bool_or(event_type LIKE 'STREAM_%'), false) AS has_loss FROM ev GROUP BY 1",
+    "clock_times": "SELECT session_id, packet_id, strftime(make_timestamp(ts_us), '%H:%M:%S.%g') AS clock FROM p",
     "flow_rollup": "SELECT * FROM f",
     "flow_ids": "SELECT session_id, packet_id, flow_id FROM t",
     "flow_started": "SELECT session_id, packet_id, flow_id, source, destination FROM t WHERE n = 1",

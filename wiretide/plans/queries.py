@@ -12,6 +12,8 @@ from wiretide.operators import analysis as A
 from wiretide.operators import flows as W
 from wiretide.operators import graph as G
 from wiretide.operators import ordered as O  # noqa: N812
+from wiretide.operators import views as V
+from wiretide.operators.selection import ReplaySelection
 from wiretide.sources.adapter import packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,3 +377,43 @@ def event_tree(s, d):
 def export_ndjson_rows(s, d):
     p = packets(s, d).select(*PACKET)
     return p.select("packet_id", F.to_json(F.struct("packet_id", "ts_us", "source", "destination", "protocol", "src_port", "dst_port", "length"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+@query
+def replay_selection(s, d):
+    """Packets 100 to 4000 of flows 1 to 40, in a middle part of the capture."""
+    lo, hi = _span(s, d).first()
+    chosen = ReplaySelection(frozenset(range(100, 4001)), frozenset(range(1, 41)), lo + (hi - lo) // 10, hi)
+    return chosen.select(W.tracked(packets(s, d))).select("session_id", "packet_id", "flow_id")
+
+
+@query
+def packet_page_total(s, d):
+    return V.packet_page(packets(s, d), "s1", 25, 50).select("session_id", "packet_id", "ts_us", "total")
+
+
+@query
+def flows_by_packets(s, d):
+    return V.flows_sorted(_flows(s, d), "packets", 100).select("session_id", "flow_id", "packet_count")
+
+
+@query
+def event_children(s, d):
+    return V.children(G.with_parents(_events(s, d)))
+
+
+@query
+def shared_features(s, d):
+    return V.shared_features(A.domain_features(*_flows_events(s, d)), "s0")
+
+
+@query
+def session_flags(s, d):
+    t = W.tracked(packets(s, d))
+    e = W.packet_events(t)
+    return V.with_flags(A.session_stats(t, W.flows_of(t), e), e.where(F.col("event_type").isin(*W.LOSS))).select("session_id", "has_traffic", "has_loss")
+
+
+@query
+def clock_times(s, d):
+    return packets(s, d).select("session_id", "packet_id", V.clock_text(F.col("ts_us")).alias("clock"))
