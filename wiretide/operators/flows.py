@@ -117,7 +117,7 @@ def tracked(packets: DataFrame) -> DataFrame:
     order within each session.  packet_id tells the packets of a session apart and orders them.
     """
     own = packets.columns
-    carried = _carried(materialize(summaries(packets), "blocks"))
+    carried = _carried(summaries(packets))
     # null parts of keys meet too
     at = ["session_id", "protocol", "ka", "kb", "block"]
     p = with_flags(keyed(packets)).withColumn("block", block_of(F.col("packet_id")))
