@@ -60,7 +60,11 @@ def seconds_text(us: Column) -> Column:
 def datagrams(tracked: DataFrame) -> DataFrame:
     """One row a UDP flow: datagrams, their mean size and their number a second (of at least one, where all came at once)."""
     g = tracked.where(F.col("protocol").isin("UDP", "DNS")).groupBy(*FLOW)
-    g = g.agg(F.count("*").alias("datagrams"), F.sum("length").alias("bytes"), (F.max("ts_us") - F.min("ts_us")).alias("us"))
+    return rates(g.agg(F.count("*").alias("datagrams"), F.sum("length").alias("bytes"), (F.max("ts_us") - F.min("ts_us")).alias("us")))
+
+
+def rates(g: DataFrame) -> DataFrame:
+    """``datagrams`` from flows' ``datagrams, bytes, us``: their number, their bytes and the time between the first and the last."""
     window = F.when(F.col("us") > 0, F.col("us") / 1e6).otherwise(1.0)
     return g.select(*FLOW, "datagrams", F.round(F.col("bytes") / F.col("datagrams"), 3).alias("avg_size"), F.round(F.col("datagrams") / window, 3).alias("datagrams_per_second"))
 
@@ -70,7 +74,11 @@ def stream_facts(tracked: DataFrame, rfc: bool = False) -> DataFrame:
 
     A stream is a flow, by its number.  What could not be measured is left out.
     """
-    m = metrics(tracked, rfc)
+    return facts_of(metrics(tracked, rfc), datagrams(tracked))
+
+
+def facts_of(m: DataFrame, d: DataFrame) -> DataFrame:
+    """``stream_facts`` from rows as ``metrics`` and ``datagrams`` give them."""
     text = lambda c: F.col(c).cast("string")
     tcp = {
         "dup_acks": text("dup_acks"), "retransmissions": text("retransmissions"), "zero_window": text("zero_window"), "handshake_rtt": seconds_text(F.col("handshake_us")), "rtt_count": F.when(F.col("rtt_count") > 0, text("rtt_count")),
@@ -78,7 +86,7 @@ def stream_facts(tracked: DataFrame, rfc: bool = False) -> DataFrame:
     }
     udp = {c: text(c) for c in ("datagrams", "avg_size", "datagrams_per_second")}
     out = None
-    for protocol, rows, values in (("tcp", m, tcp), ("udp", datagrams(tracked), udp)):
+    for protocol, rows, values in (("tcp", m, tcp), ("udp", d, udp)):
         pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in values.items()]), lambda x: x["value"].isNotNull())
         some = rows.select("session_id", F.col("flow_id").alias("stream_id"), F.lit(protocol).alias("protocol"), F.explode(pairs).alias("f")).select("session_id", "stream_id", "protocol", "f.*")
         out = some if out is None else out.unionByName(some)

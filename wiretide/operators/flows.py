@@ -9,6 +9,8 @@ within a block only.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,12 +169,12 @@ def packet_events(tracked: DataFrame) -> DataFrame:
     return e.select("session_id", "packet_id", "ts_us", "flow_id", "pos", "e.event_type", "e.summary")
 
 
-def in_insertion_order(events: DataFrame) -> DataFrame:
-    """Events ``(.., packet_id, pos)`` numbered by packet and place; those without a packet come last.  events should be stored."""
+def in_insertion_order(events: DataFrame, ties: Iterable[str] = ()) -> DataFrame:
+    """Events ``(.., packet_id, pos)`` numbered by packet, place and ``ties``; those without a packet come last.  events should be stored."""
     e = events.withColumn("at", F.coalesce("packet_id", F.lit((1 << 63) - 1)))
     # blocks of those without a packet follow all others
     block = F.coalesce(block_of(F.col("packet_id")), F.lit(1 << 62) + block_of(F.col("pos")))
-    return numbered_in_blocks(e, block, ["at", "pos"], "event_id").select("session_id", "event_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
+    return numbered_in_blocks(e, block, ["at", "pos", *ties], "event_id").select("session_id", "event_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
 
 
 def events_of(tracked: DataFrame) -> DataFrame:

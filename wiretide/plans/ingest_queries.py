@@ -23,7 +23,7 @@ from wiretide.sources import sealed
 from wiretide.sources import session_file as Q
 from wiretide.sources.adapter import frames, packet_stream, packets
 from wiretide.sources.store import Store
-from wiretide.streaming.ingest import ingest_stream, ingested
+from wiretide.streaming.ingest import ingest_stream, ingested, live_facts
 
 
 def _decoded(s, d) -> DataFrame:
@@ -40,14 +40,18 @@ def frame_timeline(s, d):
     return I.ingest(materialize(frames(packets(s, d)), "frames"))[2]
 
 
-def stream_frame_events(s, d):
-    """The events of ``frame_events``, from a stream of frames through the store."""
+def _live(s, d, **how) -> Store:
     base = f"{shared_folder(s)}/live-{uuid.uuid4().hex[:12]}"
     stream = frames(packet_stream(s, d)).select("session_id", "packet_id", "ts_us", "raw")
     store = Store(s, f"{base}/store")
-    ingest_stream(stream, store, f"{base}/state").awaitTermination()
+    ingest_stream(stream, store, f"{base}/state", **how).awaitTermination()
+    return store
+
+
+def stream_frame_events(s, d):
+    """The events of ``frame_events``, from a stream of frames through the store."""
     issue = F.col("event_type").isin(*I.ISSUES.values())
-    return ingested(store)[1].where(~issue).select("session_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
+    return ingested(_live(s, d))[1].where(~issue).select("session_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
 
 
 def _stored_sessions(s, d) -> tuple[DataFrame, DataFrame]:
@@ -117,6 +121,11 @@ def stream_facts(s, d):
     return FA.stream_facts(W.tracked(I.packets_of(_decoded(s, d)))).where("name <> 'retransmissions'")
 
 
+def live_stream_facts(s, d):
+    """The facts of ``stream_facts``, measured while frames come and read off the store."""
+    return live_facts(_live(s, d, measured=True)).where("name <> 'retransmissions'")
+
+
 def integrity(s, d):
     """One frame in 97 is cut off inside its Ethernet head."""
     p = packets(s, d)
@@ -168,7 +177,7 @@ def sanitize_report(s, d):
     return Z.sanitize(materialize(raw, "captured"), W.flows_of(t), W.events_of(t))[3]
 
 
-QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, session_file_roundtrip, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, frame_infos, facts_page, stream_facts, integrity, window_stats, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
+QUERIES = {f.__name__: f for f in (frame_events, stream_frame_events, frame_timeline, frame_facts, session_file_roundtrip, tls_plaintexts, decrypt_events, tls_handshakes, stream_units, tcp_metrics, frame_infos, facts_page, stream_facts, live_stream_facts, integrity, window_stats, payload_hex, flow_rates, search_everything, event_ancestors, export_csv, export_ndjson, export_document, sanitize_report)}
 
 _WEB = "concat('GET /', k, ' HTTP/1.1', chr(13), chr(10), 'Host: h', k, '.example.com', chr(13), chr(10), chr(13), chr(10))"
 _REPLY = "concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), chr(13), chr(10))"
@@ -231,6 +240,7 @@ _SELECTS = {
     "frame_infos": f"SELECT session_id, packet_id, CASE WHEN sport = 53 THEN {_HOSTED} END AS qname, CASE WHEN sport = 53 THEN k % 2 = 0 END AS is_query, CASE WHEN sport = 53 AND k % 2 = 1 THEN concat('203.0.113.', k % 5 + 1) END AS answer, CASE WHEN sport IN (80, 8080) THEN CASE WHEN k % 2 = 0 THEN concat('/', k) ELSE '' END END AS path, CASE WHEN sport IN (80, 8080) THEN CASE WHEN k % 2 = 0 THEN 0 ELSE 200 END END AS status FROM p WHERE sport IN (53, 80, 8080)",
     "facts_page": f"SELECT * FROM ({_FACTS_SQL}) WHERE protocol = 'dns' ORDER BY session_id, packet_id, list_position(['qname', 'qtype', 'rcode', 'answers'], name) LIMIT 50",
     "stream_facts": _STREAM_FACTS,
+    "live_stream_facts": _STREAM_FACTS,
     "integrity": "SELECT session_id, 0::BIGINT AS dropped, malformed, coalesce(gaps, 0) AS gaps, CASE WHEN malformed = 0 THEN 'complete' ELSE 'partial' END AS status, malformed = 0 AND coalesce(gaps, 0) = 0 AS is_complete FROM (SELECT session_id, count(*) FILTER (k % 97 = 0) AS malformed FROM p GROUP BY 1) LEFT JOIN (SELECT session_id, count(*) AS gaps FROM ev WHERE event_type = 'STREAM_GAP' GROUP BY 1) USING (session_id)",
     "window_stats": "SELECT session_id, flow_id, resp, min(k * 100) AS win_min, max(k * 100) AS win_max, count(*) FILTER (k = 0) AS zero_windows FROM t WHERE protocol = 'TCP' GROUP BY 1, 2, 3",
     "event_ancestors": _PARENTS,
