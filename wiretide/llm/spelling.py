@@ -184,8 +184,9 @@ def spelling_variants(words: DataFrame, ratio: int = 10, long_from: int = LONG)
     is_long = F.length("word") > long_from
     ident = F.when(is_long, F.concat(F.lit("#"), F.sha2("word", 256))).otherwise(F.col("word"))
     words = materialize(words.where("word <> ''").select("word", F.col("n").cast("long").alias("n"), ident.alias("id")), "words")
-    rotations = _written_out(words.where(~is_long))
-    rotations = rotations.unionByName(words.where(F.length("word") >= long_from).select("word", "n", "id").mapInArrow(_hashed(long_from), _ROW))
+    spread = words.repartition(shuffle_partitions(spark), "id")  # a small table is read back in few parts, and each row becomes dozens
+    rotations = _written_out(spread.where(~is_long))
+    rotations = rotations.unionByName(spread.where(F.length("word") >= long_from).select("word", "n", "id").mapInArrow(_hashed(long_from), _ROW))
     dealt = rotations.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", F.desc("n"), "last")
     found = materialize(dealt.mapInArrow(_scan, "id string, near bigint, best_n bigint, best string"), "near")
     long = words.where(is_long).select(F.col("id").alias("best"), F.col("word").alias("text"))
