@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from wiretide.operators import flows as W
 from wiretide.operators import ordered as O  # noqa: N812
+from wiretide.plans.queries import QUERIES
+from wiretide.sources.adapter import packets
 
 SCHEMA = "session_id string, packet_id long, ts_us long, source string, destination string, protocol string, src_port int, dst_port int, length int, flags int"
 
@@ -85,3 +87,20 @@ def test_one_long_flow_is_shared_out(spark):
     assert got == {"SYN_SENT": (1, 0), "SYN_RECEIVED": (1, 1), "ESTABLISHED": (n - 4, 2), "FIN_WAIT": (1, n - 2), "CLOSED": (1, n - 1)}
     assert t.agg(F.max("n"), F.countDistinct("flow_id")).first()[:] == (n, 1)
     assert t.rdd.getNumPartitions() > 1 and time.time() - start < 120
+
+
+@pytest.mark.parametrize("block", [3, 1 << 17])
+def test_packet_lists_name_every_packet(spark, monkeypatch, block):
+    monkeypatch.setattr(O, "BLOCK", block)
+    rows = [("s", 1, i, 10 * i, 5) for i in (9, 10, 2, 100, 30, 3)] + [("s", 2, 4, 40, 7), ("r", 1, 10, 1, 1), ("r", 1, 9, 2, 1), ("r", 2, None, 3, 1)]
+    t = spark.createDataFrame(rows, "session_id string, flow_id long, packet_id long, ts_us long, length int").repartition(3)
+    got = {(r[0], r[1]): tuple(r)[2:] for r in W.packet_lists(t).collect()}
+    assert got == {("s", 1): (6, 2, 100, "2,3,9,10,30,100", 30, 20, 1000), ("s", 2): (1, 4, 4, "4", 7, 40, 40), ("r", 1): (2, 9, 10, "9,10", 2, 1, 2), ("r", 2): (1, None, None, None, 1, 3, 3)}
+
+
+def test_flow_packets_all_names_every_packet(spark):
+    """Sums of numbers don't tell which packets a flow has."""
+    d = "/root/testdata/sf0.001"
+    want = sorted((r.session_id, r.flow_id, r.packet_id) for r in W.tracked(packets(spark, d)).collect())
+    got = sorted((r.session_id, r.flow_id, int(i)) for r in QUERIES["flow_packets_all"](spark, d).collect() for i in r.packet_ids.split(","))
+    assert got == want

@@ -148,6 +148,24 @@ def flows_of(tracked: DataFrame) -> DataFrame:
     return g.select("session_id", "protocol", "init.source", "init.destination", "init.src_port", "init.dst_port", "start_us", "end_us", "packet_count", "bytes", "flow_id", "state")
 
 
+def packet_lists(tracked: DataFrame) -> DataFrame:
+    """``(session_id, flow_id, packets, first_packet, last_packet, packet_ids, bytes, first_us, last_us)`` of every flow.
+
+    packet_ids names all packets of the flow in order, with commas between; null where no packet has
+    a number.  A block's part is put together on its own, so numbers of a long flow are sorted in
+    many tasks, and only text, a part a block, meets in the flow's row.
+    """
+    key = ["session_id", "flow_id"]
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("packet_id")), lambda x: x.cast("string")), ",")
+    part = tracked.groupBy(*key, block_of(F.col("packet_id")).alias("block")).agg(
+        F.count("*").alias("packets"), F.min("packet_id").alias("first_packet"), F.max("packet_id").alias("last_packet"), F.nullif(ids, F.lit("")).alias("ids"),
+        F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("block", "ids"))))
+    return part.groupBy(*key).agg(
+        F.sum("packets").alias("packets"), F.min("first_packet").alias("first_packet"), F.max("last_packet").alias("last_packet"), F.nullif(F.array_join(F.transform(parts, lambda x: x["ids"]), ","), F.lit("")).alias("packet_ids"),
+        F.sum("bytes").alias("bytes"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
 def flows(packets: DataFrame) -> DataFrame:
     return flows_of(tracked(packets))
 

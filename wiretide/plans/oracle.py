@@ -132,7 +132,7 @@ SELECT session_id, packet_id, flow_id, concat('FLOW_', upper(replace(now, '-', '
     "flows_by_bytes": "SELECT session_id, flow_id, bytes FROM f ORDER BY bytes DESC, session_id, flow_id LIMIT 50",
     "packets_page": f"SELECT {_PACKET} FROM p ORDER BY ts_us, packet_id LIMIT 100 OFFSET 200",
     "keyset_page": f"SELECT {_PACKET} FROM p WHERE (ts_us, packet_id) > (SELECT (ts_us, packet_id) FROM p WHERE packet_id = 500) ORDER BY ts_us, packet_id LIMIT 512",
-    "flow_packets_all": "SELECT session_id, flow_id, count(*) AS packets, min(packet_id) AS first_packet, max(packet_id) AS last_packet, sum(packet_id)::BIGINT AS packet_ids, sum(length)::BIGINT AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM t GROUP BY 1, 2",
+    "flow_packets_all": "SELECT session_id, flow_id, count(*) AS packets, min(packet_id) AS first_packet, max(packet_id) AS last_packet, string_agg(packet_id::VARCHAR, ',' ORDER BY packet_id) AS packet_ids, sum(length)::BIGINT AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM t GROUP BY 1, 2",
     "filter_proto_port": f"SELECT {_PACKET} FROM p WHERE protocol = 'TCP' AND (src_port = 443 OR dst_port = 443)",
     "filter_not_null": "SELECT session_id, event_id FROM ev WHERE NOT lower(event_type) = 'tcp'",
     "filter_ip_ne": "SELECT session_id, packet_id FROM p WHERE (source <> '203.0.113.1' OR destination <> '203.0.113.1') AND length < 90",

@@ -145,8 +145,7 @@ def keyset_page(s, d):
 
 @query
 def flow_packets_all(s, d):
-    t = W.tracked(packets(s, d))
-    return t.groupBy("session_id", "flow_id").agg(F.count("*").alias("packets"), F.min("packet_id").alias("first_packet"), F.max("packet_id").alias("last_packet"), F.sum("packet_id").alias("packet_ids"), F.sum("length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return W.packet_lists(W.tracked(packets(s, d)))
 
 
 @query
