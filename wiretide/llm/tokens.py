@@ -3,11 +3,17 @@
 A safe boundary lies before a single space whose neighbours are both visible: the tokenizers used
 here end a pre-token there, so the parts' ids, joined, are the text's ids.  Long texts thus never
 reach the library whole, batches are cut by bytes, and parts that repeat are looked up.
+
+For tokenizers of the form WORDS, which drop whitespace and lower-case, parts are folded before they
+are told apart and also end before a full stop or comma; parts that are one word of letters go to
+the library's model many at once, split at spaces alone, as nothing is left to normalise in them.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +27,48 @@ REMEMBERED = 900_000
 #: Parts longer than this are encoded but not remembered.
 LONG_PART = 64
 
+#: Normaliser and pre-tokeniser of tokenizers whose parts may be folded.
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+#: Words that go to the model in one text.
+JOINED = 256
+
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
+_SPACE, _LETTER, _STOP = (np.isin(np.arange(256), list(x)) for x in (b"\t\n\r", b"abcdefghijklmnopqrstuvwxyz", b".,"))
+#: A word of a-z and the lower-case letters U+00DF-U+00FF.
+_WORD = re.compile(rb" ?(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _MEMORY: dict[tuple[str, bool], PartEncoder] = {}
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of parts: every text's start, every safe boundary, and the end."""
+def folded(data: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """A copy with A-Z and U+00C0-U+00DE in lower case and tabs and line ends as spaces.
+
+    A letter whose next byte might begin a combining mark stays: composed first, it may have another
+    lower case.  What only folding would turn into a special string stays as well.
+    """
+    out = data.copy()
+    out[_SPACE[data]] = 0x20
+    upper = (data >= 0x41) & (data <= 0x5A)
+    upper[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    upper[:-1] &= (data[1:] < 0x80) | (data[1:] == 0xC3)
+    out[upper] += 0x20
+    text, raw = out.tobytes(), memoryview(data)
+    for s in special:
+        at = text.find(s)
+        while at >= 0:
+            if raw[at : at + len(s)] != s:
+                out[at : at + len(s)] = data[at : at + len(s)]
+            at = text.find(s, at + 1)
+    return out
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray, stops: bool = False) -> np.ndarray:
+    """Starts of parts: every text's start, every safe boundary, and the end.  stops: also before a stop or comma after a-z."""
     mark = np.zeros(len(data) + 1, bool)
     if len(data) > 2:
         space = np.flatnonzero(data[1:-1] == 0x20) + 1
@@ -35,6 +76,8 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         # letters U+00C0-U+00FF are two bytes, the first 0xC3; other bytes above 0x7F might belong to a Unicode space
         ok = (_VISIBLE[before] | ((before >= 0x80) & (data[space - 2] == 0xC3))) & (_VISIBLE[after] | (after == 0xC3))
         mark[space[ok]] = True
+    if stops and len(data):
+        mark[1:-1] |= _STOP[data[1:]] & _LETTER[data[:-1]]
     mark[offsets] = True
     return np.flatnonzero(mark)
 
@@ -44,11 +87,21 @@ class PartEncoder:
 
     def __init__(self, path: str, with_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words = self.ends = None
+        form = json.loads(self.tokenizer.to_str())
+        added, model = form["added_tokens"], form["model"]
+        ends = {c + "</w>" for c in pre_tokenizers.ByteLevel.alphabet()}
+        if (form["normalizer"], form["pre_tokenizer"]) == WORDS and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and ends <= model["vocab"].keys() and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
+        self.special = [t["content"].encode() for t in added]
         self.with_ids = with_ids
         self.forget()
 
@@ -65,21 +118,32 @@ class PartEncoder:
         self.ids = np.zeros(4096, np.uint32)
         self.n = self.used = 0
 
-    def _add(self, parts: list[bytes]) -> None:
+    def _add_words(self, words: list[bytes]) -> None:
+        """Words of letters, JOINED to a text; an id with the suffix ends each."""
+        lines = [b" ".join(words[i : i + JOINED]).decode() for i in range(0, len(words), JOINED)]
+        for i in range(0, len(lines), 64):
+            ids = np.concatenate([np.array(g.ids, np.uint32) for g in self.words.encode_batch_fast(lines[i : i + 64], add_special_tokens=False)])
+            count = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(count) != min(len(words) - i * JOINED, 64 * JOINED) or not self.ends[ids[-1]]:
+                raise ValueError("the model's ids don't tell where words end")
+            self._keep(count.astype(np.int32), ids)
+
+    def _keep(self, count: np.ndarray, ids: np.ndarray) -> None:
+        self.count = _room(self.count, self.n + len(count))
+        self.count[self.n : self.n + len(count)] = count
+        if self.with_ids:
+            self.start = _room(self.start, self.n + len(count))
+            self.ids = _room(self.ids, self.used + len(ids))
+            self.start[self.n : self.n + len(count)] = self.used + np.cumsum(count) - count
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        self.n += len(count)
+
+    def _add_parts(self, parts: list[bytes]) -> None:
         for i in range(0, len(parts), 8192):
             got = self.tokenizer.encode_batch_fast([p.decode() for p in parts[i : i + 8192]], add_special_tokens=False)
             count = np.fromiter((len(g) for g in got), np.int32, len(got))
-            self.count = _room(self.count, self.n + len(got))
-            self.count[self.n : self.n + len(got)] = count
-            if self.with_ids:
-                self.start = _room(self.start, self.n + len(got))
-                self.ids = _room(self.ids, self.used + int(count.sum()))
-                self.start[self.n : self.n + len(got)] = self.used + np.cumsum(count) - count
-                for g in got:
-                    ids = g.ids
-                    self.ids[self.used : self.used + len(ids)] = ids
-                    self.used += len(ids)
-            self.n += len(got)
+            self._keep(count, np.fromiter((x for g in got for x in g.ids), np.uint32, int(count.sum())) if self.with_ids else count[:0])
 
     def lookup(self, parts: list[bytes]) -> np.ndarray:
         """Slots of distinct parts."""
@@ -89,9 +153,15 @@ class PartEncoder:
         slot = np.fromiter((at.get(p, -1) for p in parts), np.int64, len(parts))
         new = np.flatnonzero(slot < 0)
         if len(new):
+            if self.words is not None:
+                word = np.fromiter((_WORD.fullmatch(parts[i]) is not None for i in new.tolist()), bool, len(new))
+                new, words = np.concatenate([new[~word], new[word]]), int(word.sum())
+            else:
+                words = 0
             slot[new] = self.n + np.arange(len(new))
-            fresh = [parts[i] for i in new]
-            self._add(fresh)
+            fresh = [parts[i] for i in new.tolist()]
+            self._add_parts(fresh[: len(fresh) - words])
+            self._add_words(fresh[len(fresh) - words :])
             at.update((p, s) for p, s in zip(fresh, slot[new].tolist(), strict=True) if len(p) <= LONG_PART)
         return slot
 
@@ -116,7 +186,9 @@ def _by_bytes(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 def _slots(data: np.ndarray, offsets: np.ndarray, enc: PartEncoder) -> tuple[np.ndarray, np.ndarray]:
     """(slot of each part, first part of each text and one more at the end)."""
-    cuts = cut_points(data, offsets)
+    if enc.words is not None:
+        data = folded(data, enc.special)
+    cuts = cut_points(data, offsets, enc.words is not None)
     n = len(cuts) - 1
     parts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
     coded = parts.dictionary_encode()
