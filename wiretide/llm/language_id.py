@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import as_binary, materialize, table
+from wiretide.llm.common import as_binary, materialize, table, tidied
 
 DIMENSIONS = 1024
 #: Training documents for each language, in expectation; more are not needed for a prototype.
@@ -185,7 +185,7 @@ def train_prototypes(labelled: DataFrame, text_col: str, lang_col: str, id_col:
             name = [k for k in total for _ in range(dims)]
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(np.tile(np.arange(dims, dtype=np.int32), len(total))), pa.array(np.concatenate(list(total.values())))], ["lang", "place", "value"])
 
-    parts = picked.select(text_col, lang_col).mapInArrow(run, "lang string, place int, value double")
+    parts = picked.select(text_col, lang_col).mapInArrow(tidied(run), "lang string, place int, value double")
     sums = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():  # dims rows for each language
@@ -223,7 +223,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*cols, "lang_pred", "score"])
 
     schema = docs.select(*cols).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(tidied(run), schema)
 
 
 def held_out(id_col: str) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import U64, as_binary, by_bytes, fmix, join_unique, materialize, row_key, shuffle_partitions, table
+from wiretide.llm.common import U64, as_binary, by_bytes, fmix, join_unique, materialize, row_key, shuffle_partitions, table, tidied
 from wiretide.llm.components import connected_components
 from wiretide.llm.shingles import set_ids, shingle_sets
 
@@ -113,7 +113,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size), node, code], ["id", "rk", "n_shingles", "node", "code"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "rk", "text").mapInArrow(run, f"id {kind}, rk binary, n_shingles bigint, node binary, code bigint")
+    return rows.select("id", "rk", "text").mapInArrow(tidied(run), f"id {kind}, rk binary, n_shingles bigint, node binary, code bigint")
 
 
 def _met_pairs(rows: DataFrame, shingles: int, k: int, num: int, den: int) -> DataFrame:
@@ -155,8 +155,8 @@ def _met_pairs(rows: DataFrame, shingles: int, k: int, num: int, den: int) -> Da
         for i in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["leader", "code"])
 
-    dealt = rows.select("text").mapInArrow(keyed, _KEYED).repartition(buckets, "bucket")
-    return materialize(dealt.mapInArrow(met, "leader bigint, code bigint").distinct(), "pairs")
+    dealt = rows.select("text").mapInArrow(tidied(keyed), _KEYED).repartition(buckets, "bucket")
+    return materialize(dealt.mapInArrow(tidied(met), "leader bigint, code bigint").distinct(), "pairs")
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
@@ -269,7 +269,7 @@ def _multiply(rows: DataFrame, routes: DataFrame, k: int, num: int, den: int) ->
     with prefiltered(spark):  # the filter on keys reaches the scan before texts are shuffled
         texts = rows.select("rk", "text").join(routes, "rk").select("block", "i", "j", "node", "text")
         dealt = texts.repartition(shuffle_partitions(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j")
-        return materialize(dealt.mapInArrow(_block_links(k, num, den), "u binary, v binary"), "links")
+        return materialize(dealt.mapInArrow(tidied(_block_links(k, num, den)), "u binary, v binary"), "links")
 
 
 def _home_routes(pairs: DataFrame, carriers: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import materialize, table
+from wiretide.llm.common import give_back, materialize, table, tidied
 from wiretide.llm.tokens import token_ids
 
 #: Pieces of one shard, on average.
@@ -47,7 +47,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_token
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + at)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_cost: float, weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +126,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_pieces: int | Non
         b, o = best_fit(df["length"].to_numpy(), max_tokens, top_pieces, top_cost)
         df["sequence_id"] = df.pop("shard").astype("int64") * (1 << 32) + b
         df["offset"] = o
+        give_back()
         return df
 
     out = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)

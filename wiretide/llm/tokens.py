@@ -18,12 +18,14 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from wiretide.llm.common import as_binary
+from wiretide.llm.common import as_binary, give_back
 
 #: Bytes of text in one batch of calls.
 BATCH_BYTES = 8 << 20
 #: Distinct parts that a worker remembers; beyond them it starts afresh.
 REMEMBERED = 900_000
+#: The same, where parts are folded: there are fewer forms, and new ones cost less.
+REMEMBERED_FOLDED = 300_000
 #: Parts longer than this are encoded but not remembered.
 LONG_PART = 64
 
@@ -102,6 +104,8 @@ class PartEncoder:
             self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
         self.special = [t["content"].encode() for t in added]
+        del form, model
+        give_back()
         self.with_ids = with_ids
         self.forget()
 
@@ -147,7 +151,7 @@ class PartEncoder:
 
     def lookup(self, parts: list[bytes]) -> np.ndarray:
         """Slots of distinct parts."""
-        if self.n > REMEMBERED:
+        if self.n > (REMEMBERED if self.words is None else REMEMBERED_FOLDED):
             self.forget()
         at = self.at
         slot = np.fromiter((at.get(p, -1) for p in parts), np.int64, len(parts))
