@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import materialize, scratch_dir, shuffle_partitions, table
-from wiretide.llm.tokens import token_ids
+from wiretide.llm.common import by_bytes, give_back, materialize, scratch_dir, shuffle_partitions, table
+from wiretide.llm.tokens import PartEncoder, token_ids
 
 MAGIC = b"WTIDPAK1"
 BLOCK = 4096
 _FOOT = 6 * 8
+#: Bytes of text that a task encodes at once; two workers share an executor with the rows being sorted.
+SLICE_BYTES = 2 << 20
 #: Stands for a null document id in a file.
 NULL_ID = -(1 << 63)
 
@@ -140,24 +142,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         writer, first, total = None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if writer is None:
-                size = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
+                size = PartEncoder.get(tokenizer_path, True).tokenizer.get_vocab_size(with_added_tokens=True)
                 path = f"{folder}/ids-{uuid.uuid4().hex}.bin"
                 writer, first = Writer(path, bits_for(max(size, (end_id or 0) + 1))), int(doc[0])
-            for at, ids, offs in token_ids(batch.column(1), tokenizer_path):
-                n = np.diff(offs)
-                if end_id is not None:
-                    ids = np.insert(ids, offs[1:], np.uint32(end_id))
-                    n = n + 1
-                writer.add(doc[at : at + len(n)], n, ids)
-                total += len(n)
+            for part in by_bytes(batch, 1, SLICE_BYTES):
+                for at, ids, offs in token_ids(part.column(1), tokenizer_path):
+                    n = np.diff(offs)
+                    if end_id is not None:
+                        ids = np.insert(ids, offs[1:], np.uint32(end_id))
+                        n = n + 1
+                    writer.add(doc[at : at + len(n)], n, ids)
+                    total += len(n)
+                doc = doc[part.num_rows :]
+            give_back()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([writer.n], pa.int64())], ["path", "first_id", "n_docs", "n_ids"])
