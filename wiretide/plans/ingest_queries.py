@@ -21,7 +21,7 @@ from wiretide.plans.oracle import BASE
 from wiretide.sources import exports as X
 from wiretide.sources import sealed
 from wiretide.sources import session_file as Q
-from wiretide.sources.adapter import frames, packet_stream, packets
+from wiretide.sources.adapter import frames, named, packet_stream, packets
 from wiretide.sources.store import Store
 from wiretide.streaming.ingest import ingest_stream, ingested, live_facts
 
@@ -30,14 +30,18 @@ def _decoded(s, d) -> DataFrame:
     return I.decoded(materialize(frames(packets(s, d)), "frames"))
 
 
+def _named(s, d) -> DataFrame:
+    return W.tracked(named(I.packets_of(_decoded(s, d))))
+
+
 def frame_events(s, d):
-    t = W.tracked(I.packets_of(_decoded(s, d)))
+    t = _named(s, d)
     return W.packet_events(t).select("session_id", "packet_id", "ts_us", "flow_id", "event_type", "summary")
 
 
 def frame_timeline(s, d):
     """All events of the frames, those of reassembly with them."""
-    return I.ingest(materialize(frames(packets(s, d)), "frames"))[2]
+    return I.timeline(_named(s, d))
 
 
 def _live(s, d, **how) -> Store:
