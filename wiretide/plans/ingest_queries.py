@@ -48,7 +48,7 @@ def _live(s, d, **how) -> Store:
     base = f"{shared_folder(s)}/live-{uuid.uuid4().hex[:12]}"
     stream = frames(packet_stream(s, d)).select("session_id", "packet_id", "ts_us", "raw")
     store = Store(s, f"{base}/store")
-    ingest_stream(stream, store, f"{base}/state", **how).awaitTermination()
+    ingest_stream(stream, store, f"{base}/state", named=named, **how).awaitTermination()
     return store
 
 
