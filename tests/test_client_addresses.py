@@ -44,7 +44,7 @@ def test_frames_keep_clients_apart(spark, grown):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, p.select("packet_id", "source", "destination").collect()))
 
 
-@pytest.mark.parametrize("name", ["stream_facts", "window_stats", "tcp_metrics", "frame_events", "stream_frame_events", "live_stream_facts", "remap_frames", "frame_fields", "pcap_roundtrip"])
+@pytest.mark.parametrize("name", ["stream_facts", "window_stats", "tcp_metrics", "frame_events", "stream_frame_events", "live_stream_facts", "remap_frames", "frame_fields", "pcap_roundtrip", "pcapng_roundtrip"])
 def test_matches_sql_with_more_clients(spark, grown, name):
     got = QUERIES[name](spark, grown)
     c = duckdb.connect()
